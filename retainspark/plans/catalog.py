@@ -6,30 +6,14 @@ derives everything else from them, so its work grows with the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from ..operators import evaluate as ev
 from ..operators import reports as rp
 from ..operators.features import train_serve_skew
 from . import base
 from . import oracle as O
+from .registry import register
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
+_div0 = O.div0
 
 _RAW_COLS = ("RowNumber, CustomerId, Surname, CreditScore, Geography, Gender, Age, Tenure, Balance, "
              "NumOfProducts, HasCrCard, IsActiveMember, EstimatedSalary, Exited")
@@ -98,10 +82,6 @@ def q_confusion(spark, sf):
     return ev.confusion(base.prob(spark, sf), 0.5)
 
 
-def _div0(n: str, d: str) -> str:
-    return f"CASE WHEN ({d}) = 0 THEN 0.0e0 ELSE CAST({n} AS DOUBLE) / ({d}) END"
-
-
 @register("classification_metrics", O.with_ctes(*O.BASE_TO_PROB) + f"""
  , cm AS (SELECT count(*) FILTER (WHERE churn_probability >= 0.5e0 AND Exited = 1) AS tp,
         count(*) FILTER (WHERE churn_probability >= 0.5e0 AND Exited = 0) AS fp,

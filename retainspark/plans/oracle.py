@@ -236,3 +236,99 @@ def msum(x: str) -> str:
 
 def mavg(x: str, digits: int = 4) -> str:
     return f"round_even(CAST(sum(CAST(round({x} * 100, 0) AS BIGINT)) AS DOUBLE) / 100.0e0 / count({x}), {digits})"
+
+
+def div0(n: str, d: str) -> str:
+    return f"CASE WHEN ({d}) = 0 THEN 0.0e0 ELSE CAST({n} AS DOUBLE) / ({d}) END"
+
+
+def _lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return f"'{_q(v)}'"
+    if isinstance(v, float):
+        return f(v)
+    return str(v)
+
+
+def requests_sql(src: str = "cust") -> str:
+    """Twin of sources.requests.requests_from_base as a CTE named ``req``."""
+    from ..schema import REQUEST_SCHEMA
+    from ..sources.requests import DEFECTS
+    sqltype = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR"}
+    cols = []
+    for fld in REQUEST_SCHEMA.fields:
+        whens = [f"WHEN _k = {code} THEN {_lit(v)}" for code, (field, v) in DEFECTS.items() if field == fld.name]
+        expr = f"CASE {' '.join(whens)} ELSE {fld.name} END" if whens else fld.name
+        cols.append(f"CAST({expr} AS {sqltype[type(fld.dataType).__name__]}) AS {fld.name}")
+    return f"req AS (SELECT {', '.join(cols)} FROM (SELECT *, (RowNumber * 37) % 101 AS _k FROM {src}))"
+
+
+CONTRACT_SQL = {
+    "CreditScore_range": "CreditScore BETWEEN 300 AND 850",
+    "Age_range": "Age BETWEEN 18 AND 95",
+    "Tenure_range": "Tenure BETWEEN 0 AND 10",
+    "NumOfProducts_range": "NumOfProducts BETWEEN 1 AND 4",
+    "HasCrCard_range": "HasCrCard BETWEEN 0 AND 1",
+    "IsActiveMember_range": "IsActiveMember BETWEEN 0 AND 1",
+    "Balance_range": "Balance >= 0",
+    "EstimatedSalary_range": "EstimatedSalary > 0",
+    "Geography_value": "Geography IN ('France', 'Germany', 'Spain')",
+    "Gender_value": "Gender IN ('Female', 'Male')",
+}
+
+
+def valid_where() -> str:
+    return " AND ".join(f"coalesce({c}, false)" for c in CONTRACT_SQL.values())
+
+
+# scorecard terms over coded columns, and which feature each is attributed to
+TERM_SQL = {
+    "germany": "Geography = 1", "inactive": "IsActiveMember = 0", "age_over_60": "Age > 60",
+    "age_over_45": "Age > 45", "inactive_high_balance": "IsActiveMember = 0 AND Balance > 50000",
+    "products_3_plus": "NumOfProducts >= 3", "tenure_2_or_less": "Tenure <= 2",
+    "credit_below_580": "CreditScore < 580",
+}
+
+
+def term_means_sql(src: str) -> str:
+    cols = ", ".join(f"CAST(sum(CAST(coalesce({c}, false) AS INTEGER)) AS DOUBLE) / count(*) AS m_{n}"
+                     for n, c in TERM_SQL.items())
+    return f"SELECT {cols} FROM {src}"
+
+
+def phi_sql(feature: str) -> str:
+    from ..functions.scorecard import TERM_FEATURES
+    names = TERM_FEATURES.get(feature)
+    if not names:
+        return "0.0e0"
+    parts = [f"{f(SCORECARD_WEIGHTS[n])} * (CAST(coalesce({TERM_SQL[n]}, false) AS INTEGER) - m_{n})" for n in names]
+    expr = parts[0]
+    for p in parts[1:]:
+        expr = f"({expr} + {p})"
+    return f"round_even({expr}, 6)"
+
+
+def att_select(src: str, means: str) -> str:
+    phis = ", ".join(f"{phi_sql(x)} AS phi_{x}" for x in FEATURES)
+    return f"SELECT {src}.*, {phis} FROM {src} CROSS JOIN ({means}) bgm"
+
+
+def long_phi_sql(src: str, id_col: str = "CustomerId") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {id_col}, {i} AS feature_index, '{x}' AS feature, phi_{x} AS phi FROM {src}"
+        for i, x in enumerate(FEATURES))
+
+
+def feature_label_case(col: str = "feature") -> str:
+    labels = {x: RISK_LABELS.get(x, x.replace("_", " ").title()) for x in FEATURES}
+    return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN '{_q(v)}'" for k, v in labels.items()) + " END"
+
+
+def factor_text_sql(with_magnitude: bool) -> str:
+    direction = "CASE WHEN phi > 0 THEN 'increases' ELSE 'decreases' END"
+    if with_magnitude:
+        return (f"{feature_label_case()} || ' (' || {direction} || ' risk, magnitude=' "
+                f"|| printf('%.3f', round_even(abs(phi), 3)) || ')'")
+    return f"{feature_label_case()} || ' (' || {direction} || ' risk)'"
