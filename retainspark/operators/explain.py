@@ -29,14 +29,21 @@ def _term_means(df: DataFrame, terms: dict[str, Column]) -> DataFrame:
     return df.agg(*[(F.sum(t).cast("double") / F.count(F.lit(1))).alias(f"m_{n}") for n, t in terms.items()])
 
 
-def scorecard_shapley(feat: DataFrame, background: DataFrame | None = None) -> DataFrame:
+def term_means(background: DataFrame) -> DataFrame:
+    """One-row table of scorecard term means over a background table."""
+    return _term_means(background, scorecard_terms())
+
+
+def scorecard_shapley(feat: DataFrame, background: DataFrame | None = None,
+                      means: DataFrame | None = None) -> DataFrame:
     """X1 on the scorecard: for an additive model the interventional Shapley
     value is w * (x - E[x]) per term; terms are summed per attributed feature.
-    Features the scorecard ignores get 0.  ``background`` defaults to ``feat``.
+    Features the scorecard ignores get 0.  ``background`` defaults to ``feat``;
+    precomputed ``means`` (see :func:`term_means`) skip that aggregate.
     The background means are one row, joined as a broadcast."""
     terms = scorecard_terms()
-    bg = background if background is not None else feat
-    means = _term_means(bg, terms)
+    if means is None:
+        means = _term_means(background if background is not None else feat, terms)
     j = feat.crossJoin(F.broadcast(means))
     phis = {}
     for feature in FEATURES:

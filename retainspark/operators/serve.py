@@ -23,16 +23,17 @@ RESPONSE_COLUMNS = ["churn_probability", "churn_prediction", "risk_level", "rete
                     "top_risk_factors", "recommended_action", "model_version", "threshold_used", "business_optimal"]
 
 
-def score_requests(requests: DataFrame, threshold, background: DataFrame, model=None,
+def score_requests(requests: DataFrame, threshold, background: DataFrame | None = None, model=None,
                    model_name: str = "scorecard", quantiles: DataFrame | None = None,
-                   legacy: bool = True, id_col: str = "CustomerId") -> tuple[DataFrame, DataFrame]:
+                   legacy: bool = True, id_col: str = "CustomerId",
+                   means: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (responses, quarantined).  ``threshold`` is a float or a
     one-row DataFrame; ``background`` is the training feature table the
-    attributions are measured against."""
+    attributions are measured against (or pass its precomputed ``means``)."""
     valid, quarantined = split_valid(requests)
     feat = serving_features(valid, quantiles, legacy=legacy)
     probs = score_model(model, feat, "_p") if model is not None else score_scorecard(feat, "_p")
-    att = scorecard_shapley(probs, background)
+    att = scorecard_shapley(probs, background, means)
     if isinstance(threshold, DataFrame):
         t = threshold.select(F.col(threshold.columns[0]).cast("double").alias("threshold_used"))
         att = att.crossJoin(F.broadcast(t))

@@ -24,5 +24,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import catalog, catalog_explain, catalog_quality, catalog_reports  # noqa: F401
+    from . import catalog, catalog_explain, catalog_models, catalog_quality, catalog_reports  # noqa: F401
     return QUERIES, ORACLE
