@@ -91,15 +91,15 @@ def sweep_core(df: DataFrame, p: str = "churn_probability", label: str = "Exited
     g = _grid(df.sparkSession)
     above_raw = F.col("idx_raw") > F.col("j")
     above_rnd = F.col("idx_round") > F.col("j")
-    tot = F.broadcast(counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                                 F.sum("clv_cents").alias("cents")))
-    per_j = (g.crossJoin(F.broadcast(counts))
-             .groupBy("j", "t_raw", "threshold")
-             .agg(F.sum(F.when(above_raw, F.col("pos")).otherwise(0)).cast("long").alias("tp"),
-                  F.sum(F.when(above_raw, F.col("neg")).otherwise(0)).cast("long").alias("fp"),
-                  F.sum(F.when(above_rnd, F.col("pos")).otherwise(0)).cast("long").alias("tp_at_rounded"),
-                  F.sum(F.when(above_rnd, F.col("neg")).otherwise(0)).cast("long").alias("fp_at_rounded")))
-    j = per_j.crossJoin(tot)
+    # every grid row sees every count row, so the totals come out of the same aggregate
+    j = (g.crossJoin(F.broadcast(counts))
+         .groupBy("j", "t_raw", "threshold")
+         .agg(F.sum(F.when(above_raw, F.col("pos")).otherwise(0)).cast("long").alias("tp"),
+              F.sum(F.when(above_raw, F.col("neg")).otherwise(0)).cast("long").alias("fp"),
+              F.sum(F.when(above_rnd, F.col("pos")).otherwise(0)).cast("long").alias("tp_at_rounded"),
+              F.sum(F.when(above_rnd, F.col("neg")).otherwise(0)).cast("long").alias("fp_at_rounded"),
+              F.sum("pos").cast("long").alias("P"), F.sum("neg").cast("long").alias("N"),
+              F.sum("clv_cents").alias("cents")))
     mean_clv = (F.lit(float(avg_clv)) if avg_clv is not None
                 else F.col("cents").cast("double") / F.lit(100.0) / (F.col("P") + F.col("N")))
     tp, fp = F.col("tp"), F.col("fp")
@@ -153,18 +153,21 @@ def score_curve(df: DataFrame, p: str = "churn_probability", label: str = "Exite
                 .withColumn("b", F.least(F.lit(buckets - 1),
                                          F.greatest(F.lit(0), F.floor(F.col("score") * buckets).cast("int")))))
     per_b = distinct.groupBy("b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    # running totals of the strictly higher buckets: <= `buckets` rows, one small task
+    # running totals of the strictly higher buckets, and the grand totals, in one
+    # window pass over <= `buckets` rows (one small task)
     hi = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_b.select("b",
                            F.coalesce(F.sum("bpos").over(hi), F.lit(0)).alias("pos_above"),
-                           F.coalesce(F.sum("bneg").over(hi), F.lit(0)).alias("neg_above"))
-    totals = per_b.agg(F.sum("bpos").cast("long").alias("P"), F.sum("bneg").cast("long").alias("N"))
+                           F.coalesce(F.sum("bneg").over(hi), F.lit(0)).alias("neg_above"),
+                           F.sum("bpos").over(every).cast("long").alias("P"),
+                           F.sum("bneg").over(every).cast("long").alias("N"))
     inb = Window.partitionBy("b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return (distinct.join(F.broadcast(offsets), "b")
             .select("score", "pos", "neg",
                     (F.col("pos_above") + F.sum("pos").over(inb)).cast("long").alias("tp_ge"),
-                    (F.col("neg_above") + F.sum("neg").over(inb)).cast("long").alias("fp_ge"))
-            .crossJoin(F.broadcast(totals)))
+                    (F.col("neg_above") + F.sum("neg").over(inb)).cast("long").alias("fp_ge"),
+                    "P", "N"))
 
 
 def auc_exact(df: DataFrame, **kw) -> DataFrame:

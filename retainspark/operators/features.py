@@ -28,7 +28,7 @@ def coded(raw: DataFrame) -> DataFrame:
     )
 
 
-def high_value_quantiles(raw: DataFrame, method: str = "exact") -> DataFrame:
+def high_value_quantiles(raw: DataFrame, method: str = "auto") -> DataFrame:
     """One-row table (q_balance, q_salary): 75 % quantiles, linear interpolation."""
     return column_quantiles(raw, {"Balance": "q_balance", "EstimatedSalary": "q_salary"}, 0.75, method)
 
@@ -52,20 +52,24 @@ def engineered_columns(clv_profile: dict = CLV_TRAINING, hv=None) -> list:
 
 
 def feature_table(raw: DataFrame, quantiles: DataFrame | None = None, clv_profile: dict = CLV_TRAINING,
-                  quantile_method: str = "exact") -> DataFrame:
+                  quantile_method: str = "auto") -> DataFrame:
     """F1-F12a + F14: ids, the 21 model features in order, label.
 
     The whole-table quantiles of F8 are a one-row aggregate joined back as a
     broadcast (size is one row by construction); pass ``quantiles`` to reuse
-    stored training quantiles (e.g. when serving)."""
+    stored training quantiles (e.g. when serving), either as that one-row
+    DataFrame or as resolved ``(q_balance, q_salary)`` values (literals: the
+    projection then needs no join at all)."""
     c = coded(raw)
+    ids = [x for x in ID_COLS if x in raw.columns]
+    label = [F.col(LABEL)] if LABEL in raw.columns else []
+    if isinstance(quantiles, tuple):
+        hv = fx.high_value_customer(F.lit(float(quantiles[0])), F.lit(float(quantiles[1])))
+        return c.select(*ids, *[F.col(x) for x in FEATURES[:10]], *engineered_columns(clv_profile, hv), *label)
     q = quantiles if quantiles is not None else high_value_quantiles(raw, quantile_method)
     j = c.crossJoin(F.broadcast(q.select("q_balance", "q_salary")))
     hv = fx.high_value_customer(F.col("q_balance"), F.col("q_salary"))
-    ids = [x for x in ID_COLS if x in raw.columns]
-    label = [F.col(LABEL)] if LABEL in raw.columns else []
-    out = j.select(*ids, *[F.col(x) for x in FEATURES[:10]], *engineered_columns(clv_profile, hv), *label)
-    return out
+    return j.select(*ids, *[F.col(x) for x in FEATURES[:10]], *engineered_columns(clv_profile, hv), *label)
 
 
 def serving_features(raw: DataFrame, quantiles: DataFrame | None = None, legacy: bool = True) -> DataFrame:

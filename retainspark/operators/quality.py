@@ -36,15 +36,26 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
 
 
-def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def profile(df: DataFrame, cols: list[str] | None = None, quantile_method: str = "auto") -> DataFrame:
     """V4: count, mean, sample std, min, 25/50/75 % (exact, interpolated), max
-    per numeric column; one aggregate, then unpivot to one row per column."""
+    per numeric column; one aggregate, then unpivot to one row per column.
+
+    Quantiles: Spark's exact ``percentile`` keeps a value->count map per
+    column (an id column has n distinct values), so above ``AUTO_EXACT_ROWS``
+    rows ("auto") they come from the bounded histogram refinement instead,
+    all columns and quantiles together, one pass per round."""
+    from .quantile import AUTO_EXACT_ROWS, histogram_quantiles
     cols = cols or numeric_columns(df)
+    if quantile_method == "auto":
+        quantile_method = "exact" if df.count() <= AUTO_EXACT_ROWS else "histogram"
+    hq = histogram_quantiles(df, cols, [0.25, 0.5, 0.75]) if quantile_method == "histogram" else None
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
+        qexpr = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if hq is None else
+                 F.array(*[F.lit(hq[(c, q)]).cast("double") for q in (0.25, 0.5, 0.75)]))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
+                 F.min(x).alias(f"min{i}"), (qexpr if hq is None else F.first(qexpr)).alias(f"q{i}"),
                  F.max(x).alias(f"max{i}")]
     row = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("count"),

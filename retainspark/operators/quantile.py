@@ -11,6 +11,8 @@ Three methods:
   the target rank until the bucket holds one distinct value.  A few passes
   over a materialised table; nothing unbounded reaches one task.
 * ``approx``     - ``percentile_approx`` (no interpolation), opt-in only.
+* ``auto``       - ``exact`` up to ``AUTO_EXACT_ROWS`` rows (a metadata count
+  on a stored table), ``histogram`` beyond: same result, bounded memory.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+AUTO_EXACT_ROWS = 5_000_000
 _BUCKETS = 4096
 _MAX_ROUNDS = 64
 
 
 def column_quantiles(df: DataFrame, cols: dict[str, str], q: float, method: str = "exact") -> DataFrame:
     """One-row DataFrame with the ``q`` quantile of each column under its alias."""
+    if method == "auto":
+        method = "exact" if df.count() <= AUTO_EXACT_ROWS else "histogram"
     if method == "exact":
         return df.agg(*[F.percentile(F.col(c), F.lit(q)).alias(a) for c, a in cols.items()])
     if method == "approx":
@@ -38,45 +43,75 @@ def column_quantiles(df: DataFrame, cols: dict[str, str], q: float, method: str
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def _kth_smallest(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int) -> float:
-    """k-th smallest (0-based) non-null value; ``below`` values lie under ``lo``."""
-    x = F.col(col).cast("double")
+def _kth_smallest_many(df: DataFrame, targets: list[tuple[str, int]]) -> list[float]:
+    """k-th smallest (0-based) non-null value for several (column, k) targets.
+
+    Every round is ONE pass over ``df`` for all unresolved targets: each row
+    emits (target, bucket) for the targets whose current [lo, hi] range holds
+    it, and a ``groupBy`` returns at most 4096 rows per target.  The range
+    shrinks to the bucket holding rank k until it holds one distinct value."""
+    cols = sorted({c for c, _ in targets})
+    stats = df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn_{i}") for i, c in enumerate(cols)],
+                   *[F.max(F.col(c).cast("double")).alias(f"mx_{i}") for i, c in enumerate(cols)]).first()
+    state = []   # [lo, hi, below, k, col]
+    for c, k in targets:
+        i = cols.index(c)
+        state.append([stats[f"mn_{i}"], stats[f"mx_{i}"], 0, k, c])
     for _ in range(_MAX_ROUNDS):
-        if lo == hi:
-            return lo
-        width = hi - lo
-        bucket = F.least(F.lit(_BUCKETS - 1),
-                         F.floor((x - F.lit(lo)) / F.lit(width) * _BUCKETS).cast("int"))
-        hist = (df.where(x.between(lo, hi))
-                .groupBy(bucket.alias("b"))
-                .agg(F.count("*").alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx"))
-                .orderBy("b").collect())          # <= 4096 rows by construction
-        acc = below
-        for row in hist:
-            if acc + row["n"] > k:
-                lo, hi, below = row["mn"], row["mx"], acc
-                break
-            acc += row["n"]
-        else:  # pragma: no cover - k out of range
-            raise ValueError("rank outside the column")
-    return lo
+        open_ = [t for t, st in enumerate(state) if st[0] != st[1]]
+        if not open_:
+            break
+        items = []
+        for t in open_:
+            lo, hi, _, _, c = state[t]
+            x = F.col(c).cast("double")
+            b = F.least(F.lit(_BUCKETS - 1), F.floor((x - F.lit(lo)) / F.lit(hi - lo) * _BUCKETS).cast("int"))
+            items.append(F.when(x.between(lo, hi), F.struct(F.lit(t).alias("t"), b.alias("b"), x.alias("x"))))
+        hist = (df.select(F.explode(F.array_compact(F.array(*items))).alias("s"))
+                .groupBy("s.t", "s.b")
+                .agg(F.count("*").alias("n"), F.min("s.x").alias("mn"), F.max("s.x").alias("mx"))
+                .collect())                     # <= 4096 rows per open target
+        by_t: dict[int, list] = {}
+        for r in hist:
+            by_t.setdefault(r["t"], []).append(r)
+        for t in open_:
+            lo, hi, below, k, c = state[t]
+            acc = below
+            for r in sorted(by_t.get(t, []), key=lambda r: r["b"]):
+                if acc + r["n"] > k:
+                    state[t][0], state[t][1], state[t][2] = r["mn"], r["mx"], acc
+                    break
+                acc += r["n"]
+            else:  # pragma: no cover - k out of range
+                raise ValueError("rank outside the column")
+    return [st[0] for st in state]
 
 
-def histogram_quantile(df: DataFrame, col: str, q: float) -> float | None:
-    x = F.col(col).cast("double")
-    stats = df.where(x.isNotNull()).agg(F.count("*").alias("n"), F.min(x).alias("mn"),
-                                         F.max(x).alias("mx")).first()
-    n = stats["n"]
-    if not n:
-        return None
-    h = (n - 1) * q
-    k0 = int(math.floor(h))
-    k1 = min(k0 + 1, n - 1)
-    v0 = _kth_smallest(df, col, k0, stats["mn"], stats["mx"], 0)
-    v1 = v0 if k1 == k0 else _kth_smallest(df, col, k1, v0, stats["mx"],
-                                            _count_below(df, col, v0))
-    return v0 + (h - k0) * (v1 - v0)
+def histogram_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[tuple[str, float], float | None]:
+    """Exact interpolated quantiles of several columns, all found together."""
+    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    targets, plan = [], {}
+    for i, c in enumerate(cols):
+        n = counts[f"n{i}"]
+        for q in qs:
+            if not n:
+                plan[(c, q)] = None
+                continue
+            h = (n - 1) * q
+            k0 = int(math.floor(h))
+            k1 = min(k0 + 1, n - 1)
+            plan[(c, q)] = (h - k0, len(targets), len(targets) + 1)
+            targets += [(c, k0), (c, k1)]
+    vals = _kth_smallest_many(df, targets) if targets else []
+    out = {}
+    for key, p in plan.items():
+        if p is None:
+            out[key] = None
+        else:
+            frac, a, b = p
+            out[key] = vals[a] + frac * (vals[b] - vals[a])
+    return out
 
 
-def _count_below(df: DataFrame, col: str, v: float) -> int:
-    return df.where(F.col(col).cast("double") < v).count()
+def histogram_quantile(df: DataFrame, col: str, q: float) -> float | None:
+    return histogram_quantiles(df, [col], [q])[(col, q)]

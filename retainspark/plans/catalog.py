@@ -31,7 +31,7 @@ def q_customer_base(spark, sf):
 
 @register("features", O.with_ctes(O.CUST, O.FEAT) + f" SELECT {_FEAT_COLS} FROM feat")
 def q_features(spark, sf):
-    return base.feat(spark, sf)
+    return base.Plan(spark, sf).feat
 
 
 @register("train_serve_skew", O.with_ctes(O.CUST, O.FEAT) + f"""
@@ -44,13 +44,13 @@ def q_features(spark, sf):
         CAST(sum(high_value_customer) AS BIGINT) AS high_value_flag_lost
  FROM sk""")
 def q_train_serve_skew(spark, sf):
-    return train_serve_skew(base.cust(spark, sf))
+    return train_serve_skew(base.Plan(spark, sf).cust)
 
 
 # --- C1, C3, F15-F19 -------------------------------------------------------------
 @register("scorecard", O.with_ctes(*O.BASE_TO_PROB) + " SELECT CustomerId, churn_probability FROM prob")
 def q_scorecard(spark, sf):
-    return base.prob(spark, sf).select("CustomerId", "churn_probability")
+    return base.Plan(spark, sf).prob.select("CustomerId", "churn_probability")
 
 
 _SCORED_COLS = ("CustomerId, churn_probability, churn_prediction, retention_value, risk_level, action_code, "
@@ -59,7 +59,7 @@ _SCORED_COLS = ("CustomerId, churn_probability, churn_prediction, retention_valu
 
 @register("scored", O.with_ctes(*O.BASE_TO_SCORED) + f" SELECT {_SCORED_COLS} FROM scored")
 def q_scored(spark, sf):
-    return base.scored(spark, sf).select(*[c.strip() for c in _SCORED_COLS.split(",")])
+    return base.Plan(spark, sf).scored.select(*[c.strip() for c in _SCORED_COLS.split(",")])
 
 
 # --- R4 / T1 -----------------------------------------------------------------
@@ -69,7 +69,7 @@ _TOP = ", ".join(rp.TOP_COLUMNS)
 @register("first_call_list", O.with_ctes(*O.BASE_TO_SCORED)
           + f" SELECT {_TOP} FROM scored ORDER BY retention_value DESC, CustomerId ASC LIMIT 10")
 def q_first_call_list(spark, sf):
-    return rp.first_call_list(base.scored(spark, sf))
+    return rp.first_call_list(base.Plan(spark, sf).scored)
 
 
 # --- E1-E4, E9-E12 --------------------------------------------------------------
@@ -79,7 +79,7 @@ def q_first_call_list(spark, sf):
         count(*) FILTER (WHERE churn_probability < 0.5e0 AND Exited = 0) AS tn,
         count(*) FILTER (WHERE churn_probability < 0.5e0 AND Exited = 1) AS fn FROM prob""")
 def q_confusion(spark, sf):
-    return ev.confusion(base.prob(spark, sf), 0.5)
+    return ev.confusion(base.Plan(spark, sf).prob, 0.5)
 
 
 @register("classification_metrics", O.with_ctes(*O.BASE_TO_PROB) + f"""
@@ -95,28 +95,28 @@ def q_confusion(spark, sf):
         round_even({_div0('tp', 'tp + fn')}, 4) AS catch_rate,
         round_even({_div0('fp', 'fp + tn')}, 4) AS false_alarm_rate FROM cm""")
 def q_classification_metrics(spark, sf):
-    return ev.classification_metrics(base.prob(spark, sf), 0.5)
+    return ev.classification_metrics(base.Plan(spark, sf).prob, 0.5)
 
 
 @register("threshold_sweep", O.with_ctes(*O.BASE_TO_PROB, O.sweep_ctes("prob")) + """
  SELECT threshold, tp, fp, outreach, round_even(revenue, 2) AS revenue, round_even(cost, 2) AS cost,
         round_even(net_value, 2) AS net_value, round_even(f1, 4) AS f1, net_value > 0 AS profitable FROM sw""")
 def q_threshold_sweep(spark, sf):
-    return ev.threshold_sweep(base.prob(spark, sf))
+    return ev.threshold_sweep(base.Plan(spark, sf).prob)
 
 
 @register("best_f1_threshold", O.with_ctes(*O.BASE_TO_PROB, O.sweep_ctes("prob")) + """
  SELECT CASE WHEN f1_at_raw > 0 THEN threshold ELSE 0.5e0 END AS threshold, round_even(f1_at_raw, 4) AS f1
  FROM sw ORDER BY f1_at_raw DESC, j ASC LIMIT 1""")
 def q_best_f1_threshold(spark, sf):
-    return ev.best_f1_threshold(base.prob(spark, sf))
+    return ev.best_f1_threshold(base.Plan(spark, sf).prob)
 
 
 @register("best_business_threshold", O.with_ctes(*O.BASE_TO_PROB, O.sweep_ctes("prob")) + """
  SELECT threshold, round_even(net_value, 2) AS net_value, (j = 0 OR j = 61) AS at_edge
  FROM sw ORDER BY net_value DESC, j ASC LIMIT 1""")
 def q_best_business_threshold(spark, sf):
-    return ev.best_business_threshold(base.prob(spark, sf))
+    return ev.best_business_threshold(base.Plan(spark, sf).prob)
 
 
 # --- E5-E8 --------------------------------------------------------------------
@@ -134,25 +134,67 @@ _CURVE = """
  SELECT round_even({_div0('sum(pos * ((N - fp_ge) + 0.5e0 * neg))', 'first(P) * first(N)')}, 6) AS auc,
         CAST(first(P) AS BIGINT) AS positives, CAST(first(N) AS BIGINT) AS negatives FROM curve""")
 def q_auc_exact(spark, sf):
-    return ev.auc_exact(base.prob(spark, sf))
+    return ev.auc_exact(base.Plan(spark, sf).prob)
 
 
 @register("roc_points", O.with_ctes(*O.BASE_TO_PROB) + _CURVE + f"""
  SELECT score AS threshold, CAST(tp_ge AS BIGINT) AS tp, CAST(fp_ge AS BIGINT) AS fp,
         round_even({_div0('tp_ge', 'P')}, 6) AS tpr, round_even({_div0('fp_ge', 'N')}, 6) AS fpr FROM curve""")
 def q_roc_points(spark, sf):
-    return ev.roc_points(base.prob(spark, sf))
+    return ev.roc_points(base.Plan(spark, sf).prob)
 
 
 @register("pr_points", O.with_ctes(*O.BASE_TO_PROB) + _CURVE + f"""
  SELECT score AS threshold, round_even({_div0('tp_ge', 'tp_ge + fp_ge')}, 6) AS precision,
         round_even({_div0('tp_ge', 'P')}, 6) AS recall FROM curve""")
 def q_pr_points(spark, sf):
-    return ev.pr_points(base.prob(spark, sf))
+    return ev.pr_points(base.Plan(spark, sf).prob)
 
 
 @register("average_precision", O.with_ctes(*O.BASE_TO_PROB) + _CURVE + """
  SELECT round_even(coalesce(sum(CASE WHEN pos > 0 THEN pos / P * (tp_ge / (tp_ge + fp_ge)) END), 0.0e0), 6)
         AS average_precision FROM curve""")
 def q_average_precision(spark, sf):
-    return ev.average_precision(base.prob(spark, sf))
+    return ev.average_precision(base.Plan(spark, sf).prob)
+
+
+# --- A12 / E12 ----------------------------------------------------------------------
+@register("mean_clv", O.with_ctes(O.CUST, O.FEAT) + f" SELECT {O.mavg('clv_estimated')} AS avg_clv FROM feat")
+def q_mean_clv(spark, sf):
+    return rp.mean_clv(base.Plan(spark, sf).feat)
+
+
+# --- E11 / R7 -----------------------------------------------------------------------
+def _metrics_table_sql() -> str:
+    sw = O.sweep_ctes("prob")
+    return O.with_ctes(*O.BASE_TO_PROB, sw) + _CURVE + f"""
+ , f1t AS (SELECT CASE WHEN f1_at_raw > 0 THEN threshold ELSE 0.5e0 END AS t FROM sw ORDER BY f1_at_raw DESC, j LIMIT 1)
+ , bz AS (SELECT threshold AS bt, net_value AS bn FROM sw ORDER BY net_value DESC, j LIMIT 1)
+ , cm AS (SELECT count(*) FILTER (WHERE churn_probability >= t AND Exited = 1) AS tp,
+                 count(*) FILTER (WHERE churn_probability >= t AND Exited = 0) AS fp,
+                 count(*) FILTER (WHERE churn_probability < t AND Exited = 0) AS tn,
+                 count(*) FILTER (WHERE churn_probability < t AND Exited = 1) AS fn FROM prob CROSS JOIN f1t)
+ , au AS (SELECT round_even({_div0('sum(pos * ((N - fp_ge) + 0.5e0 * neg))', 'first(P) * first(N)')}, 6) AS auc,
+                 round_even(coalesce(sum(CASE WHEN pos > 0 THEN pos / P * (tp_ge / (tp_ge + fp_ge)) END), 0.0e0), 6)
+                   AS ap FROM curve)
+ , doc AS (SELECT auc AS test_auc, round_even({_div0('2 * tp', '2 * tp + fp + fn')}, 4) AS test_f1,
+                  round_even({_div0('tp', 'tp + fp')}, 4) AS test_precision,
+                  round_even({_div0('tp', 'tp + fn')}, 4) AS test_recall,
+                  round_even({_div0('tp + tn', 'tp + fp + tn + fn')}, 4) AS test_accuracy,
+                  ap AS average_precision, round_even({_div0('tp', 'tp + fn')}, 4) AS catch_rate,
+                  round_even({_div0('fp', 'fp + tn')}, 4) AS false_alarm_rate, t AS f1_optimal_threshold,
+                  bt AS business_optimal_threshold, round_even(bn, 2) AS net_value_at_optimal_threshold
+           FROM cm CROSS JOIN au CROSS JOIN f1t CROSS JOIN bz)
+ , vals AS (SELECT 0 AS position, 'Model' AS label, 'scorecard' AS value
+ """ + "".join(
+        f" UNION ALL SELECT {i}, '{lab}', CASE WHEN {key} < 10 THEN printf('%.4f', {key})"
+        f" ELSE '€' || format('{{:,.2f}}', {key}) END FROM doc"
+        for i, (key, lab) in enumerate(rp.METRIC_LABELS) if key != "model_name") + """)
+ SELECT position, label, value FROM vals"""
+
+
+@register("metrics_table", _metrics_table_sql())
+def q_metrics_table(spark, sf):
+    p = base.Plan(spark, sf).prob
+    f1t = ev.best_f1_threshold(p).first()["threshold"]       # one resolved value
+    return rp.metrics_table(ev.metrics_record(p, f1t, model_name="scorecard"))

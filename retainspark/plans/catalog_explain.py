@@ -17,7 +17,7 @@ CONTRIB_ID = 10000042
 
 
 def _att(spark, sf):
-    return xp.scorecard_shapley(base.prob(spark, sf))
+    return xp.scorecard_shapley(base.Plan(spark, sf).prob)
 
 
 @register("linear_shapley", ATT + " SELECT CustomerId, feature, feature_index, phi FROM lng")

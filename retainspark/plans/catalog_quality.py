@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate as ev
 from ..operators import quality as qa
 from ..operators import serve
 from ..operators import split as sp
@@ -39,7 +38,7 @@ _NUMERIC = ["RowNumber", "CustomerId", "CreditScore", "Age", "Tenure", "Balance"
         round_even(quantile_cont({c}, 0.75), 4) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM cust"""
     for c in _NUMERIC))
 def q_profile(spark, sf):
-    return qa.profile(base.cust(spark, sf))
+    return qa.profile(base.Plan(spark, sf).cust)
 
 
 _REQ = O.with_ctes(O.CUST, O.requests_sql("cust"))
@@ -92,13 +91,13 @@ SPLIT = """
 
 @register("split_membership", O.with_ctes(O.CUST, O.FEAT) + SPLIT + " SELECT CustomerId, split FROM splits")
 def q_split_membership(spark, sf):
-    return sp.stratified_split(base.feat(spark, sf)).select("CustomerId", "split")
+    return sp.stratified_split(base.Plan(spark, sf).feat).select("CustomerId", "split")
 
 
 @register("split_rates", O.with_ctes(O.CUST, O.FEAT) + SPLIT + """
  SELECT split, count(*) AS rows, round_even(avg(Exited), 6) AS churn_rate FROM splits GROUP BY split""")
 def q_split_rates(spark, sf):
-    return split_rates(sp.stratified_split(base.feat(spark, sf)))
+    return split_rates(sp.stratified_split(base.Plan(spark, sf).feat))
 
 
 @register("class_weights", O.with_ctes(O.CUST, O.FEAT) + """
@@ -106,7 +105,7 @@ def q_split_rates(spark, sf):
  , tot AS (SELECT sum(rows) AS n, count(*) AS k FROM per)
  SELECT label, rows, round_even(n / (k * rows), 6) AS weight FROM per CROSS JOIN tot""")
 def q_class_weights(spark, sf):
-    return sp.class_weights(base.feat(spark, sf))
+    return sp.class_weights(base.Plan(spark, sf).feat)
 
 
 # --- F12b, C4, A10, R10 --------------------------------------------------------------
@@ -143,9 +142,8 @@ def _serve_sql() -> str:
 
 
 def _responses(spark, sf):
-    p = base.prob(spark, sf)
-    biz = ev.best_business_threshold(p).select("threshold")
-    resp, _ = serve.score_requests(requests_from_base(base.cust(spark, sf)), biz, background=base.feat(spark, sf))
+    plan = base.Plan(spark, sf)
+    resp, _ = serve.score_requests(requests_from_base(plan.cust), plan.biz, background=plan.feat)
     return resp
 
 
@@ -174,11 +172,10 @@ PROFILE_ID = 10000042
  FROM cust c JOIN sf ON c.CustomerId = sf.CustomerId JOIN resp r ON c.CustomerId = r.CustomerId
  WHERE c.CustomerId = {PROFILE_ID}""")
 def q_customer_profile(spark, sf):
-    cust = base.cust(spark, sf).where(F.col("CustomerId") == PROFILE_ID)
-    p = base.prob(spark, sf)
-    biz = ev.best_business_threshold(p).select("threshold")
-    resp, _ = serve.score_requests(cust.select(*[c for c in cust.columns if c != "Exited"]), biz,
-                                   background=base.feat(spark, sf))
+    plan = base.Plan(spark, sf)
+    cust = plan.cust.where(F.col("CustomerId") == PROFILE_ID)
+    resp, _ = serve.score_requests(cust.select(*[c for c in cust.columns if c != "Exited"]), plan.biz,
+                                   background=plan.feat)
     clv = serving_features(cust).select("CustomerId", "clv_estimated")
     return (cust.select("CustomerId", "Geography", "Gender", "Age", "CreditScore", "Tenure", "Balance",
                         "NumOfProducts", "IsActiveMember", "EstimatedSalary")

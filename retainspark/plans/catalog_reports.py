@@ -19,13 +19,13 @@ S_F1 = O.with_ctes(*O.BASE_TO_SCORED) + """
 
 @register("actions", S + " SELECT CustomerId, action_code, recommended_action FROM scored")
 def q_actions(spark, sf):
-    return base.scored(spark, sf).select("CustomerId", "action_code", "recommended_action")
+    return base.Plan(spark, sf).scored.select("CustomerId", "action_code", "recommended_action")
 
 
 @register("label_decode", S + " SELECT CustomerId, Geography_Label, Gender_Label, Age_Group_Label, Tenure_Label,"
           " Credit_Label FROM scored")
 def q_label_decode(spark, sf):
-    return base.scored(spark, sf).select("CustomerId", "Geography_Label", "Gender_Label", "Age_Group_Label",
+    return base.Plan(spark, sf).scored.select("CustomerId", "Geography_Label", "Gender_Label", "Age_Group_Label",
                                          "Tenure_Label", "Credit_Label")
 
 
@@ -42,9 +42,8 @@ def q_label_decode(spark, sf):
              ELSE 'green' END AS risk_band
  FROM k""")
 def q_kpis(spark, sf):
-    sc = base.scored(spark, sf)
-    biz = ev.best_business_threshold(base.prob(spark, sf)).select("threshold")
-    return rp.kpis(sc, biz)
+    plan = base.Plan(spark, sf)
+    return rp.kpis(plan.scored, plan.biz)
 
 
 @register("score_histogram", S_F1 + """
@@ -55,17 +54,17 @@ def q_kpis(spark, sf):
  FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(40)) b LEFT JOIN h ON b.bin = h.bin
       CROSS JOIN f1t CROSS JOIN biz""")
 def q_score_histogram(spark, sf):
-    p = base.prob(spark, sf)
-    f1t = ev.best_f1_threshold(p).select(F.col("threshold").alias("f1_threshold"))
-    biz = ev.best_business_threshold(p).select(F.col("threshold").alias("business_threshold"))
-    return rp.score_histogram(base.scored(spark, sf)).crossJoin(F.broadcast(f1t)).crossJoin(F.broadcast(biz))
+    plan = base.Plan(spark, sf)
+    f1t = ev.best_f1_threshold(plan.prob).first()["threshold"]     # one resolved value
+    return rp.score_histogram(plan.scored).select("*", F.lit(f1t).alias("f1_threshold"),
+                                                  F.lit(plan.biz).alias("business_threshold"))
 
 
 @register("revenue_by_segment", S + f"""
  SELECT Geography_Label AS geography, Age_Group_Label AS age_group, {O.msum('retention_value')} AS retention_value
  FROM scored WHERE Geography_Label IS NOT NULL AND Age_Group_Label IS NOT NULL GROUP BY 1, 2""")
 def q_revenue_by_segment(spark, sf):
-    return rp.revenue_by_segment(base.scored(spark, sf))
+    return rp.revenue_by_segment(base.Plan(spark, sf).scored)
 
 
 def _cohort_sql() -> str:
@@ -80,7 +79,7 @@ def _cohort_sql() -> str:
 
 @register("cohort_churn", _cohort_sql())
 def q_cohort_churn(spark, sf):
-    return rp.cohort_churn(base.scored(spark, sf))
+    return rp.cohort_churn(base.Plan(spark, sf).scored)
 
 
 @register("value_by_geography", S + f"""
@@ -88,7 +87,7 @@ def q_cohort_churn(spark, sf):
         {O.mavg('retention_value')} AS avg_retention_value, count(*) AS customers
  FROM scored GROUP BY 1""")
 def q_value_by_geography(spark, sf):
-    return rp.value_by_geography(base.scored(spark, sf))
+    return rp.value_by_geography(base.Plan(spark, sf).scored)
 
 
 @register("worst_segment", S + f"""
@@ -97,7 +96,7 @@ def q_value_by_geography(spark, sf):
  SELECT geography, round_even(rate, 6) AS churn_rate, round_even(avg_rv, 4) AS avg_retention_value
  FROM g ORDER BY rate DESC, geography LIMIT 1""")
 def q_worst_segment(spark, sf):
-    return rp.worst_segment(base.scored(spark, sf))
+    return rp.worst_segment(base.Plan(spark, sf).scored)
 
 
 # Dashboard filter state used by the call-list queries
@@ -110,14 +109,14 @@ _CALL_COLS = ", ".join(rp.CALL_COLUMNS)
  SELECT {_CALL_COLS} FROM scored WHERE {_CALL_WHERE}
  ORDER BY churn_probability DESC, CustomerId ASC LIMIT 100""")
 def q_call_list(spark, sf):
-    return rp.call_list(base.scored(spark, sf), sort_col="churn_probability", **CALL_ARGS)
+    return rp.call_list(base.Plan(spark, sf).scored, sort_col="churn_probability", **CALL_ARGS)
 
 
 @register("call_list_high_risk", S + f"""
  SELECT {_CALL_COLS} FROM scored WHERE risk_level = 'HIGH' AND retention_value >= 0.0e0
  ORDER BY retention_value DESC, CustomerId ASC LIMIT 100""")
 def q_call_list_high_risk(spark, sf):
-    return rp.call_list(base.scored(spark, sf), risk="HIGH", sort_col="no_such_column")
+    return rp.call_list(base.Plan(spark, sf).scored, risk="HIGH", sort_col="no_such_column")
 
 
 @register("call_list_total", S + f"""
@@ -125,12 +124,12 @@ def q_call_list_high_risk(spark, sf):
              ORDER BY churn_probability DESC, CustomerId ASC LIMIT 100)
  SELECT count(*) AS customers, {O.msum('retention_value')} AS total_retention_value FROM shown""")
 def q_call_list_total(spark, sf):
-    return rp.call_list_total(base.scored(spark, sf), sort_col="churn_probability", **CALL_ARGS)
+    return rp.call_list_total(base.Plan(spark, sf).scored, sort_col="churn_probability", **CALL_ARGS)
 
 
 @register("export_rows", S + f" SELECT {_CALL_COLS} FROM scored WHERE {_CALL_WHERE}")
 def q_export_rows(spark, sf):
-    return rp.export_rows(base.scored(spark, sf), **CALL_ARGS).select(*rp.CALL_COLUMNS)
+    return rp.export_rows(base.Plan(spark, sf).scored, **CALL_ARGS).select(*rp.CALL_COLUMNS)
 
 
 @register("customer_picker", S + """
@@ -138,7 +137,7 @@ def q_export_rows(spark, sf):
         || coalesce(risk_level, '?') AS label
  FROM scored ORDER BY CustomerId LIMIT 200""")
 def q_customer_picker(spark, sf):
-    return rp.customer_picker(base.scored(spark, sf))
+    return rp.customer_picker(base.Plan(spark, sf).scored)
 
 
 @register("masked_aggregates", S + f"""
@@ -147,18 +146,18 @@ def q_customer_picker(spark, sf):
         {O.mavg("CASE WHEN IsActiveMember = 0 THEN retention_value END")} AS inactive_avg_value
  FROM scored""")
 def q_masked_aggregates(spark, sf):
-    return rp.masked_sums(base.scored(spark, sf))
+    return rp.masked_sums(base.Plan(spark, sf).scored)
 
 
 @register("customer_lookup", S + f""" SELECT {', '.join(rp.TOP_COLUMNS)} FROM scored WHERE CustomerId = 10000007""")
 def q_customer_lookup(spark, sf):
-    return rp.customer_lookup(base.scored(spark, sf), 10000007).select(*rp.TOP_COLUMNS)
+    return rp.customer_lookup(base.Plan(spark, sf).scored, 10000007).select(*rp.TOP_COLUMNS)
 
 
 @register("max_retention_value", S + """ SELECT coalesce(CAST(max(retention_value) AS DOUBLE), 500.0e0)
  AS max_retention_value FROM scored""")
 def q_max_retention_value(spark, sf):
-    return rp.column_max(base.scored(spark, sf), "retention_value", 500.0)
+    return rp.column_max(base.Plan(spark, sf).scored, "retention_value", 500.0)
 
 
 # --- A1 / A2 ----------------------------------------------------------------------------
@@ -169,10 +168,10 @@ _CORR = O.with_ctes(O.CUST, O.FEAT) + " , cr AS (" + " UNION ALL ".join(
 
 @register("correlations", _CORR + " SELECT feature, r FROM cr")
 def q_correlations(spark, sf):
-    return rp.correlations(base.feat(spark, sf))
+    return rp.correlations(base.Plan(spark, sf).feat)
 
 
 @register("top_correlations", _CORR + """
  SELECT feature, r, abs(r) AS abs_r FROM cr ORDER BY abs(r) DESC NULLS LAST, feature LIMIT 5""")
 def q_top_correlations(spark, sf):
-    return rp.top_correlations(base.feat(spark, sf))
+    return rp.top_correlations(base.Plan(spark, sf).feat)

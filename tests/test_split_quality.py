@@ -97,3 +97,11 @@ def test_histogram_quantile_exact(spark):
     a = column_quantiles(df, {"x": "qx", "y": "qy"}, 0.75, "exact").first()
     b = column_quantiles(df, {"x": "qx", "y": "qy"}, 0.75, "histogram").first()
     assert a["qx"] == pytest.approx(b["qx"]) and a["qy"] == pytest.approx(b["qy"])
+
+
+def test_profile_histogram_equals_exact(spark, sf_small):
+    from retainspark.plans import base
+    cust = base.cust(spark, sf_small)
+    a = {r["column"]: r.asDict() for r in qa.profile(cust, quantile_method="exact").collect()}
+    b = {r["column"]: r.asDict() for r in qa.profile(cust, quantile_method="histogram").collect()}
+    assert a == b
