@@ -152,21 +152,30 @@ def score_curve(df: DataFrame, p: str = "churn_probability", label: str = "Exite
                 .agg(F.sum("_y").cast("long").alias("pos"), F.sum(1 - F.col("_y")).cast("long").alias("neg"))
                 .withColumn("b", F.least(F.lit(buckets - 1),
                                          F.greatest(F.lit(0), F.floor(F.col("score") * buckets).cast("int")))))
-    per_b = distinct.groupBy("b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    # running totals of the strictly higher buckets, and the grand totals, in one
-    # window pass over <= `buckets` rows (one small task)
-    hi = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per_b = distinct.groupBy("b").agg(
+        F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"),
+        F.max_by("pos", "score").alias("first_pos"), F.max_by("neg", "score").alias("first_neg"))
+    # running totals of the strictly higher buckets, the grand totals and the
+    # next lower bucket's first point, in one window pass over <= `buckets`
+    # rows (one small task)
+    desc = Window.orderBy(F.col("b").desc())
+    hi = desc.rowsBetween(Window.unboundedPreceding, -1)
+    every = desc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_b.select("b",
                            F.coalesce(F.sum("bpos").over(hi), F.lit(0)).alias("pos_above"),
                            F.coalesce(F.sum("bneg").over(hi), F.lit(0)).alias("neg_above"),
                            F.sum("bpos").over(every).cast("long").alias("P"),
-                           F.sum("bneg").over(every).cast("long").alias("N"))
-    inb = Window.partitionBy("b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+                           F.sum("bneg").over(every).cast("long").alias("N"),
+                           F.lead("first_pos").over(desc).alias("nb_pos"),
+                           F.lead("first_neg").over(desc).alias("nb_neg"))
+    order = Window.partitionBy("b").orderBy(F.col("score").desc())
+    inb = order.rowsBetween(Window.unboundedPreceding, 0)
     return (distinct.join(F.broadcast(offsets), "b")
             .select("score", "pos", "neg",
                     (F.col("pos_above") + F.sum("pos").over(inb)).cast("long").alias("tp_ge"),
                     (F.col("neg_above") + F.sum("neg").over(inb)).cast("long").alias("fp_ge"),
+                    F.coalesce(F.lead("pos").over(order), F.col("nb_pos")).alias("next_pos"),
+                    F.coalesce(F.lead("neg").over(order), F.col("nb_neg")).alias("next_neg"),
                     "P", "N"))
 
 
@@ -179,9 +188,17 @@ def auc_exact(df: DataFrame, **kw) -> DataFrame:
         F.first("P").alias("positives"), F.first("N").alias("negatives"))
 
 
-def roc_points(df: DataFrame, **kw) -> DataFrame:
-    """(threshold, tp, fp, tpr, fpr) per distinct score."""
+def roc_points(df: DataFrame, drop_intermediate: bool = False, **kw) -> DataFrame:
+    """(threshold, tp, fp, tpr, fpr) per distinct score.  With
+    ``drop_intermediate`` a point is kept only where the curve bends: the
+    first and last points, and points whose step differs from the next one
+    (collinear points dropped, as the usual ROC library default does)."""
     c = score_curve(df, **kw)
+    if drop_intermediate:
+        first = (F.col("tp_ge") == F.col("pos")) & (F.col("fp_ge") == F.col("neg"))
+        last = F.col("next_pos").isNull()
+        bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+        c = c.where(first | last | bend)
     return c.select(F.col("score").alias("threshold"), F.col("tp_ge").alias("tp"), F.col("fp_ge").alias("fp"),
                     F.bround(_divide0(F.col("tp_ge"), F.col("P")), 6).alias("tpr"),
                     F.bround(_divide0(F.col("fp_ge"), F.col("N")), 6).alias("fpr"))

@@ -198,3 +198,13 @@ def q_metrics_table(spark, sf):
     p = base.Plan(spark, sf).prob
     f1t = ev.best_f1_threshold(p).first()["threshold"]       # one resolved value
     return rp.metrics_table(ev.metrics_record(p, f1t, model_name="scorecard"))
+
+
+@register("roc_points_reduced", O.with_ctes(*O.BASE_TO_PROB) + _CURVE + f"""
+ , rc AS (SELECT *, lead(pos) OVER (ORDER BY score DESC) AS next_pos, lead(neg) OVER (ORDER BY score DESC) AS next_neg
+          FROM curve)
+ SELECT score AS threshold, CAST(tp_ge AS BIGINT) AS tp, CAST(fp_ge AS BIGINT) AS fp,
+        round_even({_div0('tp_ge', 'P')}, 6) AS tpr, round_even({_div0('fp_ge', 'N')}, 6) AS fpr FROM rc
+ WHERE (tp_ge = pos AND fp_ge = neg) OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg""")
+def q_roc_points_reduced(spark, sf):
+    return ev.roc_points(base.Plan(spark, sf).prob, drop_intermediate=True)

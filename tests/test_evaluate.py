@@ -95,3 +95,36 @@ def test_empty_and_single_class(spark):
     assert m["tp"] == 0 and m["f1"] == 0.0
     one = spark.createDataFrame([(0.7, 1), (0.2, 1)], "churn_probability double, Exited int")
     assert ev.auc_exact(one).first()["auc"] == 0.0  # no negatives: 0 on zero division
+
+
+def _roc_reference(rows, drop):
+    """Plain-Python ROC curve over distinct scores (descending)."""
+    import itertools
+    rows = sorted(rows, key=lambda r: -r[0])
+    pts, tp, fp = [], 0, 0
+    for s, grp in itertools.groupby(rows, key=lambda r: r[0]):
+        g = list(grp)
+        tp += sum(y for _, y in g)
+        fp += sum(1 - y for _, y in g)
+        pts.append((s, tp, fp))
+    if drop and len(pts) > 2:
+        keep = [0]
+        for i in range(1, len(pts) - 1):
+            d1 = (pts[i][1] - pts[i - 1][1], pts[i][2] - pts[i - 1][2])
+            d2 = (pts[i + 1][1] - pts[i][1], pts[i + 1][2] - pts[i][2])
+            if d1 != d2:
+                keep.append(i)
+        keep.append(len(pts) - 1)
+        pts = [pts[i] for i in keep]
+    return pts
+
+
+@pytest.mark.parametrize("buckets", [4, 65536])
+def test_roc_drop_intermediate(spark, buckets):
+    rows = [(round(((i * 37) % 50) / 50 + 0.001, 3), int((i * 7) % 5 == 0 or i % 11 == 0)) for i in range(400)]
+    rows += [(0.5, 1), (0.52, 1), (0.54, 1), (0.56, 0), (0.58, 0)]
+    df = spark.createDataFrame(rows, "churn_probability double, Exited int")
+    for drop in (False, True):
+        got = [(r["threshold"], r["tp"], r["fp"]) for r in
+               ev.roc_points(df, drop_intermediate=drop, buckets=buckets).orderBy(F.col("threshold").desc()).collect()]
+        assert got == _roc_reference(rows, drop)
