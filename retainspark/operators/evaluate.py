@@ -8,10 +8,13 @@ Plan shapes:
   by partial aggregation, and the 62 grid rows are suffix sums over that
   tiny table.  Not 62 scans, not rows x 62.
 * E5-E8 never sort the whole table in one task: scores are collapsed to
-  distinct values (a hot score costs one row), cut into 65,536 score-ordered
-  buckets whose running totals (<= 65,536 rows, broadcast) give each bucket
-  its offset, and the running sum inside a bucket is a window partitioned
-  by bucket.
+  distinct values (a hot score costs one row), cut into score-ordered
+  buckets whose running totals (one row per bucket, broadcast) give each
+  bucket its offset, and the running sum inside a bucket is a window
+  partitioned by bucket.  Bucket edges are equal-count quantiles of the
+  distinct scores (a sketch, assigned by binary search), so no bucket can be
+  hot even when a model's scores crowd into a narrow band; exactness does
+  not depend on the edges, only on bucket order following score order.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from pyspark.sql import functions as F
 
 from ..schema import OUTREACH_COST, RETENTION_SUCCESS_RATE, THRESHOLD_GRID, THRESHOLD_GRID_RAW
 
-SCORE_BUCKETS = 65536
+SCORE_BUCKETS = 1024
 
 
 def _lit_array(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """array<double> literal built as one SQL expression (one JVM call, not one per value);
+    ``repr`` round-trips every double exactly."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def _grid_index(p: Column, grid: list[float]) -> Column:
@@ -141,17 +146,28 @@ def best_business_threshold(df: DataFrame, **kw) -> DataFrame:
 
 
 # E5-E8 ---------------------------------------------------------------------
+def _bucketed(distinct: DataFrame, buckets: int, bucketing: str) -> DataFrame:
+    if bucketing == "width":   # equal-width buckets on [0, 1]
+        return distinct.withColumn("b", F.least(F.lit(buckets - 1),
+                                                F.greatest(F.lit(0), F.floor(F.col("score") * buckets).cast("int"))))
+    from pyspark.ml.feature import Bucketizer
+    probs = _lit_array([i / buckets for i in range(1, buckets)])
+    edges = distinct.agg(F.percentile_approx("score", probs, 10 * buckets)).first()[0] or []  # <= buckets-1 values
+    splits = [float("-inf")] + sorted({float(e) for e in edges}) + [float("inf")]
+    out = Bucketizer(splits=splits, inputCol="score", outputCol="_bd", handleInvalid="keep").transform(distinct)
+    return out.withColumn("b", F.col("_bd").cast("int")).drop("_bd")
+
+
 def score_curve(df: DataFrame, p: str = "churn_probability", label: str = "Exited",
-                buckets: int = SCORE_BUCKETS) -> DataFrame:
+                buckets: int = SCORE_BUCKETS, bucketing: str = "quantile") -> DataFrame:
     """Per distinct score s: pos, neg, tp_ge = positives with score >= s,
-    fp_ge = negatives with score >= s, and the totals P, N.
-
-    Scores are probabilities in [0, 1]; bucket order follows score order."""
-    distinct = (df.select(F.col(p).cast("double").alias("score"), F.col(label).alias("_y"))
-                .groupBy("score")
-                .agg(F.sum("_y").cast("long").alias("pos"), F.sum(1 - F.col("_y")).cast("long").alias("neg"))
-                .withColumn("b", F.least(F.lit(buckets - 1),
-                                         F.greatest(F.lit(0), F.floor(F.col("score") * buckets).cast("int")))))
+    fp_ge = negatives with score >= s, the next lower score's (pos, neg), and
+    the totals P, N.  ``bucketing``: "quantile" (equal-count, default) or
+    "width" (equal-width on [0, 1], no sketch pass)."""
+    distinct = _bucketed(df.select(F.col(p).cast("double").alias("score"), F.col(label).alias("_y"))
+                         .groupBy("score")
+                         .agg(F.sum("_y").cast("long").alias("pos"), F.sum(1 - F.col("_y")).cast("long").alias("neg")),
+                         buckets, bucketing)
     per_b = distinct.groupBy("b").agg(
         F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"),
         F.max_by("pos", "score").alias("first_pos"), F.max_by("neg", "score").alias("first_neg"))

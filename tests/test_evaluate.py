@@ -74,6 +74,8 @@ def test_bucketed_curve_matches_single_pass(spark):
     df = spark.createDataFrame([(p, int(y)) for p, y in rows], "churn_probability double, Exited int")
     a = ev.auc_exact(df).first()["auc"]
     b = ev.auc_exact(df.repartition(7), buckets=16).first()["auc"]
+    c = ev.auc_exact(df, buckets=64, bucketing="width").first()["auc"]
+    assert a == c
     pos = sorted(p for p, y in rows if y)
     neg = sorted(p for p, y in rows if not y)
     import bisect
@@ -119,12 +121,24 @@ def _roc_reference(rows, drop):
     return pts
 
 
-@pytest.mark.parametrize("buckets", [4, 65536])
-def test_roc_drop_intermediate(spark, buckets):
+@pytest.mark.parametrize("buckets,bucketing", [(4, "quantile"), (4096, "quantile"), (4, "width"), (65536, "width")])
+def test_roc_drop_intermediate(spark, buckets, bucketing):
     rows = [(round(((i * 37) % 50) / 50 + 0.001, 3), int((i * 7) % 5 == 0 or i % 11 == 0)) for i in range(400)]
     rows += [(0.5, 1), (0.52, 1), (0.54, 1), (0.56, 0), (0.58, 0)]
     df = spark.createDataFrame(rows, "churn_probability double, Exited int")
     for drop in (False, True):
         got = [(r["threshold"], r["tp"], r["fp"]) for r in
-               ev.roc_points(df, drop_intermediate=drop, buckets=buckets).orderBy(F.col("threshold").desc()).collect()]
+               ev.roc_points(df, drop_intermediate=drop, buckets=buckets, bucketing=bucketing).orderBy(F.col("threshold").desc()).collect()]
         assert got == _roc_reference(rows, drop)
+
+
+def test_crowded_scores_stay_exact(spark):
+    """Many distinct scores inside one narrow band (a would-be hot bucket)."""
+    rows = [(0.3 + i * 1e-9, int(i % 3 == 0)) for i in range(2000)] + [(0.9, 1), (0.1, 0)]
+    df = spark.createDataFrame(rows, "churn_probability double, Exited int")
+    a = ev.auc_exact(df, buckets=8).first()["auc"]
+    b = ev.auc_exact(df, buckets=8, bucketing="width").first()["auc"]
+    assert a == b
+    curve = ev.score_curve(df, buckets=8)
+    sizes = [r["count"] for r in curve.groupBy().agg(F.count("*").alias("count")).collect()]
+    assert sizes == [2002]
