@@ -72,14 +72,18 @@ def feature_table(raw: DataFrame, quantiles: DataFrame | None = None, clv_profil
     return j.select(*ids, *[F.col(x) for x in FEATURES[:10]], *engineered_columns(clv_profile, hv), *label)
 
 
-def serving_features(raw: DataFrame, quantiles: DataFrame | None = None, legacy: bool = True) -> DataFrame:
-    """F12b serving profile.  ``legacy=True`` keeps high_value_customer = 0
-    as the original serving code does; otherwise stored quantiles are used."""
+def serving_features(raw: DataFrame, quantiles=None, legacy: bool = True) -> DataFrame:
+    """F12b serving profile.  ``legacy=True`` (or no quantiles) keeps
+    high_value_customer = 0 as the original serving code does; otherwise the
+    stored training quantiles (one-row DataFrame or resolved values) are used."""
     c = coded(raw)
     ids = [x for x in ID_COLS if x in raw.columns]
     label = [F.col(LABEL)] if LABEL in raw.columns else []
     if legacy or quantiles is None:
         return c.select(*ids, *[F.col(x) for x in FEATURES[:10]], *engineered_columns(CLV_SERVING), *label)
+    if isinstance(quantiles, tuple):
+        hv = fx.high_value_customer(F.lit(float(quantiles[0])), F.lit(float(quantiles[1])))
+        return c.select(*ids, *[F.col(x) for x in FEATURES[:10]], *engineered_columns(CLV_SERVING, hv), *label)
     j = c.crossJoin(F.broadcast(quantiles.select("q_balance", "q_salary")))
     hv = fx.high_value_customer(F.col("q_balance"), F.col("q_salary"))
     return j.select(*ids, *[F.col(x) for x in FEATURES[:10]], *engineered_columns(CLV_SERVING, hv), *label)

@@ -102,10 +102,11 @@ def violation_counts(requests: DataFrame) -> DataFrame:
             .groupBy("rule").agg(F.count("*").cast("long").alias("violations")))
 
 
-def whatif_defaults(requests: DataFrame, zero_is_missing: bool = True) -> DataFrame:
-    """V7: missing inputs take defaults.  With ``zero_is_missing`` a 0 is
-    missing too (the original form-handling behaviour); IsActiveMember
-    defaults only when null; HasCrCard is always 1."""
+def whatif_defaults(requests: DataFrame, zero_is_missing: bool = False) -> DataFrame:
+    """V7: missing inputs take defaults; IsActiveMember defaults only when
+    null; HasCrCard is always 1.  By default only null (or an empty string)
+    is missing.  ``zero_is_missing=True`` reproduces the original form
+    handling, where a real 0 (e.g. tenure 0) was also replaced."""
     d = WHATIF_DEFAULTS
 
     def num(c: str) -> Column:

@@ -41,7 +41,7 @@ def correlations(feat: DataFrame, features: list[str] = ENGINEERED, label: str =
 
 def top_correlations(feat: DataFrame, k: int = 5, **kw) -> DataFrame:
     """A2: top k by |r|; NaN/null r last; ties by name."""
-    c = correlations(feat, **kw).withColumn("abs_r", F.abs("r"))
+    c = correlations(feat, **kw).withColumn("abs_r", F.when(~F.isnan("r"), F.abs("r")))
     return (c.orderBy(F.col("abs_r").desc_nulls_last(), F.col("feature")).limit(k)
             .select("feature", "r", "abs_r"))
 

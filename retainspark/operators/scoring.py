@@ -45,5 +45,10 @@ def scored_table(probs: DataFrame, threshold=0.5, p: str = "churn_probability")
 
 
 def labelled(scored: DataFrame) -> DataFrame:
-    """add display labels for coded columns."""
-    return scored.select("*", *[c.alias(n) for n, c in fx.decode_labels().items()])
+    """add display labels for coded columns; a column that is already a
+    string (e.g. raw Geography) passes through as its own label."""
+    from pyspark.sql import types as T
+    strings = {f.name for f in scored.schema.fields if isinstance(f.dataType, T.StringType)}
+    source = {"Geography_Label": "Geography", "Gender_Label": "Gender"}
+    cols = [F.col(source[n]) if source.get(n) in strings else c for n, c in fx.decode_labels().items()]
+    return scored.select("*", *[c.alias(n) for n, c in zip(fx.decode_labels(), cols)])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..operators.explain import factor_array, scorecard_shapley
-from ..operators.features import serving_features
+from ..operators.features import high_value_quantiles, serving_features
 from ..operators.quality import split_valid
 from ..operators.scoring import score_model, score_scorecard
 from ..schema import MODEL_VERSION_SUFFIX
@@ -24,13 +24,22 @@ RESPONSE_COLUMNS = ["churn_probability", "churn_prediction", "risk_level", "rete
 
 
 def score_requests(requests: DataFrame, threshold, background: DataFrame | None = None, model=None,
-                   model_name: str = "scorecard", quantiles: DataFrame | None = None,
-                   legacy: bool = True, id_col: str = "CustomerId",
+                   model_name: str = "scorecard", quantiles=None,
+                   legacy: bool = False, id_col: str = "CustomerId",
                    means: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (responses, quarantined).  ``threshold`` is a float or a
     one-row DataFrame; ``background`` is the training feature table the
-    attributions are measured against (or pass its precomputed ``means``)."""
+    attributions are measured against (or pass its precomputed ``means``).
+
+    high_value_customer: by default from the training quantiles (``quantiles``,
+    else computed once from ``background``); ``legacy=True`` keeps the
+    original serving constant 0."""
     valid, quarantined = split_valid(requests)
+    if not legacy and quantiles is None:
+        if background is None:
+            raise ValueError("pass quantiles or a background table, or legacy=True")
+        r = high_value_quantiles(background).first()          # one row
+        quantiles = (r["q_balance"], r["q_salary"])
     feat = serving_features(valid, quantiles, legacy=legacy)
     probs = score_model(model, feat, "_p") if model is not None else score_scorecard(feat, "_p")
     att = scorecard_shapley(probs, background, means)

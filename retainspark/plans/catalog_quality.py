@@ -51,11 +51,12 @@ def q_contract_violations(spark, sf):
     return qa.violation_counts(requests_from_base(base.cust(spark, sf)))
 
 
-def _whatif_sql() -> str:
+def _whatif_sql(zero_is_missing: bool) -> str:
     d = qa.WHATIF_DEFAULTS
 
     def num(c, t):
-        return f"CAST(coalesce(nullif({c}, 0), {O._lit(d[c])}) AS {t}) AS {c}"
+        x = f"nullif({c}, 0)" if zero_is_missing else c
+        return f"CAST(coalesce({x}, {O._lit(d[c])}) AS {t}) AS {c}"
 
     def txt(c):
         return f"coalesce(nullif({c}, ''), '{d[c]}') AS {c}"
@@ -66,8 +67,14 @@ def _whatif_sql() -> str:
     return _REQ + f" SELECT CustomerId, {', '.join(cols)} FROM req"
 
 
-@register("whatif_defaults", _whatif_sql())
+@register("whatif_defaults", _whatif_sql(zero_is_missing=True))
 def q_whatif_defaults(spark, sf):
+    """Original form handling: a 0 counts as missing."""
+    return qa.whatif_defaults(requests_from_base(base.cust(spark, sf)), zero_is_missing=True)
+
+
+@register("whatif_defaults_null_only", _whatif_sql(zero_is_missing=False))
+def q_whatif_defaults_null_only(spark, sf):
     return qa.whatif_defaults(requests_from_base(base.cust(spark, sf)))
 
 
@@ -143,7 +150,7 @@ def _serve_sql() -> str:
 
 def _responses(spark, sf):
     plan = base.Plan(spark, sf)
-    resp, _ = serve.score_requests(requests_from_base(plan.cust), plan.biz, background=plan.feat)
+    resp, _ = serve.score_requests(requests_from_base(plan.cust), plan.biz, background=plan.feat, legacy=True)
     return resp
 
 
@@ -175,7 +182,7 @@ def q_customer_profile(spark, sf):
     plan = base.Plan(spark, sf)
     cust = plan.cust.where(F.col("CustomerId") == PROFILE_ID)
     resp, _ = serve.score_requests(cust.select(*[c for c in cust.columns if c != "Exited"]), plan.biz,
-                                   background=plan.feat)
+                                   background=plan.feat, legacy=True)
     clv = serving_features(cust).select("CustomerId", "clv_estimated")
     return (cust.select("CustomerId", "Geography", "Gender", "Age", "CreditScore", "Tenure", "Balance",
                         "NumOfProducts", "IsActiveMember", "EstimatedSalary")

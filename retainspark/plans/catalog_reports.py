@@ -172,6 +172,7 @@ def q_correlations(spark, sf):
 
 
 @register("top_correlations", _CORR + """
- SELECT feature, r, abs(r) AS abs_r FROM cr ORDER BY abs(r) DESC NULLS LAST, feature LIMIT 5""")
+ , ca AS (SELECT feature, r, CASE WHEN NOT isnan(r) THEN abs(r) END AS abs_r FROM cr)
+ SELECT feature, r, abs_r FROM ca ORDER BY abs_r DESC NULLS LAST, feature LIMIT 5""")
 def q_top_correlations(spark, sf):
     return rp.top_correlations(base.Plan(spark, sf).feat)

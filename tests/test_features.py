@@ -97,3 +97,22 @@ def test_feature_order(spark, sf_small):
     f = base.feat(spark, sf_small)
     assert f.columns == ["RowNumber", "CustomerId"] + FEATURES + ["Exited"]
     assert coded(base.cust(spark, sf_small)).where(F.col("Geography").isNull()).count() == 0
+
+
+def test_labels_pass_strings_through(spark):
+    from retainspark.operators.scoring import labelled
+    df = spark.createDataFrame([("Spain", "Male", 1, 0, 2)],
+                               "Geography string, Gender string, age_group int, tenure_stability int, "
+                               "credit_score_band int")
+    r = labelled(df).first()
+    assert (r["Geography_Label"], r["Gender_Label"], r["Age_Group_Label"]) == ("Spain", "Male", "Prime (31-45)")
+
+
+def test_serving_uses_stored_quantiles(spark, sample):
+    rich = spark.createDataFrame([(2, 700, "France", "Male", 50, 5, 240000.0, 2, 1, 1, 190000.0)], REQUEST_SCHEMA)
+    both = sample.unionByName(rich)
+    hv_stored = serving_features(both, quantiles=(100000.0, 100000.0), legacy=False)
+    assert [r["high_value_customer"] for r in hv_stored.orderBy("CustomerId").collect()] == [0, 1]
+    assert {r["high_value_customer"] for r in serving_features(both).collect()} == {0}
+    resp, _ = score_requests(both, 0.2, quantiles=(100000.0, 100000.0))
+    assert resp.count() == 2

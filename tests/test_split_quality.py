@@ -72,11 +72,11 @@ def test_contract_bounds_inclusive(spark):
 
 def test_whatif_defaults(spark):
     r = qa.whatif_defaults(_req(spark, CreditScore=0, Tenure=0, Geography="", IsActiveMember=0,
-                                HasCrCard=0, EstimatedSalary=None)).first()
+                                HasCrCard=0, EstimatedSalary=None), zero_is_missing=True).first()
     assert (r["CreditScore"], r["Tenure"], r["Geography"], r["IsActiveMember"], r["HasCrCard"]) == (650, 5, "France", 0, 1)
     assert r["EstimatedSalary"] == 50000.0
-    strict = qa.whatif_defaults(_req(spark, Tenure=0), zero_is_missing=False).first()
-    assert strict["Tenure"] == 0
+    strict = qa.whatif_defaults(_req(spark, Tenure=0, Age=None)).first()
+    assert strict["Tenure"] == 0 and strict["Age"] == 40
 
 
 def test_profile_matches_pandas(spark, sf_small):
