@@ -9,10 +9,6 @@ from ..functions import features as fx
 from ..schema import CLV_SERVING, CLV_TRAINING, FEATURES, ID_COLS, LABEL
 from .quantile import column_quantiles
 
-_BASE = ["CreditScore", "Age", "Tenure", "Balance", "NumOfProducts", "HasCrCard", "IsActiveMember",
-         "EstimatedSalary"]
-
-
 def coded(raw: DataFrame) -> DataFrame:
     """categorical codes; other raw columns pass through (V6: absent ids skipped)."""
     keep_ids = [c for c in ID_COLS if c in raw.columns]

@@ -9,7 +9,7 @@ from ..operators import serve
 from ..operators import split as sp
 from ..operators.features import serving_features
 from ..operators.reports import split_rates
-from ..schema import FEATURES, RAW_SCHEMA
+from ..schema import RAW_SCHEMA
 from ..sources.requests import requests_from_base
 from . import base
 from . import oracle as O
@@ -116,9 +116,6 @@ def q_class_weights(spark, sf):
 
 
 # --- F12b, C4, A10, R10 --------------------------------------------------------------
-_FEATS = ", ".join(FEATURES)
-
-
 @register("serving_features", O.with_ctes(O.CUST) + f"""
  , c AS (SELECT RowNumber, CustomerId, {O.CODED_COLS}, Exited FROM cust)
  SELECT RowNumber, CustomerId, CreditScore, Geography, Gender, Age, Tenure, Balance, NumOfProducts, HasCrCard,

@@ -211,25 +211,6 @@ def with_ctes(*parts: str) -> str:
 BASE_TO_PROB = (CUST, FEAT, PROB)
 BASE_TO_SCORED = (CUST, FEAT, PROB, sweep_ctes("prob"), SCORED)
 
-FEATURE_LABEL_SQL = ("CASE " + " ".join(f"WHEN {{c}} = '{k}' THEN '{_q(v)}'" for k, v in RISK_LABELS.items())
-                     + " ELSE NULL END")
-
-
-def feature_label_sql(col: str) -> str:
-    fixed = FEATURE_LABEL_SQL.replace("{c}", col)
-    return f"coalesce({fixed}, {_title_sql(col)})"
-
-
-def _title_sql(col: str) -> str:
-    # initcap of '_' -> ' ': title-case each space-separated word
-    return (f"array_to_string(list_transform(string_split(replace({col}, '_', ' '), ' '), "
-            f"w -> upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
-
-
-FEATURE_INDEX_VALUES = "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{n}')" for i, n in enumerate(FEATURES)) + ") fi(feature_index, feature)"
-
-
 def msum(x: str) -> str:
     return f"CAST(coalesce(sum(CAST(round({x} * 100, 0) AS BIGINT)), 0) AS DOUBLE) / 100.0e0"
 

@@ -53,3 +53,41 @@ def test_cv_auc_runs_on_folds(spark, plan):
     folds = tr.with_folds(train).cache()
     auc = tr.cv_auc(tr.estimators(folds.count(), trees=5)["RandomForest"], folds)
     assert 0.5 < auc <= 1.0
+
+
+def test_hot_customer_is_combined_map_side(spark, sf_small):
+    """One customer holding a third of all orders: the per-customer aggregate
+    is partial (map-side) + final, and its row is still exact."""
+    from retainspark.session import table
+    from retainspark.sources.customer_base import customer_base, order_summary
+    orders = table(spark, sf_small, "orders")
+    n = orders.count()
+    hot = orders.limit(n // 2).withColumn("o_custkey", F.lit(7).cast("long"))
+    skewed = orders.unionByName(hot)
+    summary = order_summary(skewed)
+    text = _plan(summary)
+    assert text.count("HashAggregate") >= 2 and "partial_" in text
+    got = summary.where(F.col("o_custkey") == 7).first()
+    pdf = skewed.where(F.col("o_custkey") == 7).toPandas()
+    assert got["d0"] == pdf["o_orderdate"].min() and got["d1"] == pdf["o_orderdate"].max()
+    assert got["cents"] == int((pdf["o_totalprice"] * 100).round().astype("int64").sum())
+    cust = customer_base(table(spark, sf_small, "customer"), skewed)
+    assert cust.count() == table(spark, sf_small, "customer").count()
+
+
+def test_split_without_positives(spark):
+    from retainspark.operators import split as sp
+    df = spark.range(100).select((F.col("id") + 1).alias("CustomerId"), F.lit(0).alias("Exited"))
+    got = {r["split"]: r["n"] for r in sp.stratified_split(df).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert got == {"test": 20, "val": 10, "train": 70}
+
+
+def test_sweep_all_tied(spark):
+    df = spark.createDataFrame([(0.5, 1), (0.5, 0)] * 10, "churn_probability double, Exited int")
+    rows = ev.threshold_sweep(df, clv=None, avg_clv=100.0).orderBy("threshold").collect()
+    assert [r["tp"] for r in rows if r["threshold"] < 0.5] == [10] * 30
+    at_half = [r for r in rows if r["threshold"] == 0.5][0]
+    # the raw grid point is 0.5000000000000002: tp/fp exclude p = 0.5, the F1 column
+    # (rounded threshold) includes it
+    assert at_half["tp"] == 0 and at_half["f1"] == pytest.approx(0.6667)
+    assert all(r["tp"] == 0 and r["fp"] == 0 for r in rows if r["threshold"] > 0.5)
