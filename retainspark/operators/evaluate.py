@@ -240,16 +240,18 @@ def average_precision(df: DataFrame, **kw) -> DataFrame:
 def metrics_record(df: DataFrame, threshold: float, model_name: str = "scorecard",
                    p: str = "churn_probability", label: str = "Exited", clv: str = "clv_estimated",
                    f1_threshold_from: DataFrame | None = None, **sweep_kw) -> DataFrame:
-    """One nested row with every metric and the curve as arrays
-    (metrics at ``threshold``, business optimum and curve on ``df``)."""
+    """One nested row with every metric and the curve as arrays.
+    Metrics are taken at ``threshold`` - the F1-optimal threshold chosen
+    elsewhere (validation rows in the pipeline), reported as
+    ``f1_optimal_threshold``; business optimum and curve come from ``df``."""
     m = classification_metrics(df, threshold, p, label)
     auc = auc_exact(df, p=p, label=label)
     ap = average_precision(df, p=p, label=label)
     sweep = sweep_core(df, p=p, label=label, clv=clv, **sweep_kw)
     biz = best_business_threshold(df, p=p, label=label, clv=clv, **sweep_kw)
-    f1t = (f1_threshold_from if f1_threshold_from is not None
-           else best_f1_threshold(df, p=p, label=label, clv=clv, **sweep_kw)).select(
-        F.col("threshold").alias("f1_optimal_threshold"))
+    f1t = (f1_threshold_from.select(F.col("threshold").alias("f1_optimal_threshold"))
+           if f1_threshold_from is not None
+           else df.sparkSession.range(1).select(F.lit(float(threshold)).alias("f1_optimal_threshold")))
     curve = sweep.agg(
         F.sort_array(F.collect_list(F.struct("j", "threshold", F.bround("f1", 4).alias("f1"),
                                              F.bround("net_value", 2).alias("net")))).alias("_c"),
