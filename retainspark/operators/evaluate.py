@@ -195,15 +195,23 @@ def score_curve(df: DataFrame, p: str = "churn_probability", label: str = "Exite
                     "P", "N"))
 
 
-def auc_exact(df: DataFrame, **kw) -> DataFrame:
-    """E5: exact ROC AUC, ties at half weight (rank-sum form)."""
+def ranking_summary(df: DataFrame, **kw) -> DataFrame:
+    """E5 + E8 from one curve, in one aggregate: exact AUC (ties at half
+    weight, rank-sum form), step-wise average precision, and the class totals."""
     c = score_curve(df, **kw)
-    term = F.col("pos") * ((F.col("N") - F.col("fp_ge")) + 0.5 * F.col("neg"))
+    auc_term = F.col("pos") * ((F.col("N") - F.col("fp_ge")) + 0.5 * F.col("neg"))
+    ap_term = F.col("pos") / F.col("P") * (F.col("tp_ge") / (F.col("tp_ge") + F.col("fp_ge")))
     return c.groupBy().agg(
-        F.bround(_divide0(F.sum(term), F.first("P") * F.first("N")), 6).alias("auc"),
+        F.bround(_divide0(F.sum(auc_term), F.first("P") * F.first("N")), 6).alias("auc"),
+        F.bround(F.coalesce(F.sum(F.when(F.col("pos") > 0, ap_term)), F.lit(0.0)), 6).alias("average_precision"),
         F.first("P").alias("positives"), F.first("N").alias("negatives"))
 
 
+def auc_exact(df: DataFrame, **kw) -> DataFrame:
+    """E5: exact ROC AUC, ties at half weight (rank-sum form)."""
+    return ranking_summary(df, **kw).select("auc", "positives", "negatives")
+
+
 def roc_points(df: DataFrame, drop_intermediate: bool = False, **kw) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) per distinct score.  With
     ``drop_intermediate`` a point is kept only where the curve bends: the
@@ -230,10 +238,7 @@ def pr_points(df: DataFrame, **kw) -> DataFrame:
 
 def average_precision(df: DataFrame, **kw) -> DataFrame:
     """Step-wise sum (R_n - R_{n-1}) * P_n (not the trapezoid area)."""
-    c = score_curve(df, **kw)
-    term = F.col("pos") / F.col("P") * (F.col("tp_ge") / (F.col("tp_ge") + F.col("fp_ge")))
-    return c.groupBy().agg(F.bround(F.coalesce(F.sum(F.when(F.col("pos") > 0, term)), F.lit(0.0)), 6)
-                           .alias("average_precision"))
+    return ranking_summary(df, **kw).select("average_precision")
 
 
 # E11 -----------------------------------------------------------------------
@@ -245,8 +250,7 @@ def metrics_record(df: DataFrame, threshold: float, model_name: str = "scorecard
     elsewhere (validation rows in the pipeline), reported as
     ``f1_optimal_threshold``; business optimum and curve come from ``df``."""
     m = classification_metrics(df, threshold, p, label)
-    auc = auc_exact(df, p=p, label=label)
-    ap = average_precision(df, p=p, label=label)
+    rank = ranking_summary(df, p=p, label=label).select("auc", "average_precision")
     sweep = sweep_core(df, p=p, label=label, clv=clv, **sweep_kw)
     biz = best_business_threshold(df, p=p, label=label, clv=clv, **sweep_kw)
     f1t = (f1_threshold_from.select(F.col("threshold").alias("f1_optimal_threshold"))
@@ -256,7 +260,7 @@ def metrics_record(df: DataFrame, threshold: float, model_name: str = "scorecard
         F.sort_array(F.collect_list(F.struct("j", "threshold", F.bround("f1", 4).alias("f1"),
                                              F.bround("net_value", 2).alias("net")))).alias("_c"),
         F.first("avg_clv").alias("avg_clv"))
-    row = (m.crossJoin(auc).crossJoin(ap).crossJoin(biz).crossJoin(f1t).crossJoin(curve))
+    row = (m.crossJoin(rank).crossJoin(biz).crossJoin(f1t).crossJoin(curve))
     return row.select(
         F.lit(model_name).alias("model_name"),
         F.col("auc").alias("test_auc"),
