@@ -17,16 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.explain import term_means
+from ..operators.features import high_value_quantiles
 from ..operators.serve import score_requests
 from ..schema import REQUEST_SCHEMA
 
 
 def score_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
                  threshold, background: DataFrame, available_now: bool = True,
-                 max_files_per_trigger: int | None = None):
+                 max_files_per_trigger: int | None = None, legacy: bool = False):
     """Start the stream; returns the ``StreamingQuery``.  Responses land in
-    ``output_dir/responses``, bad records in ``output_dir/quarantine``."""
+    ``output_dir/responses``, bad records in ``output_dir/quarantine``.
+    Background term means and (unless ``legacy``) the training quantiles for
+    high_value_customer are resolved once, before the first micro-batch."""
     means = term_means(background).checkpoint(eager=True)
+    quantiles = None
+    if not legacy:
+        r = high_value_quantiles(background).first()        # one row
+        quantiles = (r["q_balance"], r["q_salary"])
     if isinstance(threshold, DataFrame):
         threshold = threshold.select(F.col(threshold.columns[0]).cast("double").alias("t")).checkpoint(eager=True)
     reader = spark.readStream.schema(REQUEST_SCHEMA)
@@ -35,7 +42,7 @@ def score_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoin
     stream = reader.json(input_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        resp, bad = score_requests(batch, threshold, background=None, means=means)
+        resp, bad = score_requests(batch, threshold, means=means, quantiles=quantiles, legacy=legacy)
         # one folder per batch id, overwritten on replay: idempotent after a restart
         resp.write.mode("overwrite").parquet(os.path.join(output_dir, "responses", f"batch_id={batch_id}"))
         bad.write.mode("overwrite").parquet(os.path.join(output_dir, "quarantine", f"batch_id={batch_id}"))
