@@ -22,12 +22,20 @@ ACTIVE_SINCE = "2001-02-01"
 LABEL_INTERCEPT_X10 = -52
 
 
+def _ts(orders: DataFrame, value: str):
+    """A timestamp literal of the order-date column's own type, so the
+    comparison does not depend on the session time zone (the driver tables
+    store ``timestamp_ntz``)."""
+    kind = orders.schema["o_orderdate"].dataType.simpleString()
+    return F.lit(value).cast("timestamp_ntz" if kind == "timestamp_ntz" else "timestamp")
+
+
 def order_summary(orders: DataFrame) -> DataFrame:
     """Per-customer order statistics: one partial + final aggregate."""
     return (orders
             .select("o_custkey", "o_orderdate", "o_totalprice")
             .groupBy("o_custkey")
-            .agg(F.count_if(F.col("o_orderdate") >= F.lit(ORDERS_SINCE).cast("timestamp")).alias("n2000"),
+            .agg(F.count_if(F.col("o_orderdate") >= _ts(orders, ORDERS_SINCE)).alias("n2000"),
                  F.min("o_orderdate").alias("d0"),
                  F.max("o_orderdate").alias("d1"),
                  F.sum(F.round(F.col("o_totalprice") * 100, 0).cast("bigint")).alias("cents")))
@@ -51,7 +59,7 @@ def customer_base(customer: DataFrame, orders: DataFrame) -> DataFrame:
                .otherwise(F.round((F.col("c_acctbal") - 2500) * 33, 2))).cast("double")
     products = F.least(F.lit(4), F.greatest(F.lit(1), F.coalesce(F.col("n2000"), F.lit(0)))).cast("int")
     card = F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING", "HOUSEHOLD"), 1).otherwise(0)
-    active = F.when(F.col("d1") >= F.lit(ACTIVE_SINCE).cast("timestamp"), 1).otherwise(0)
+    active = F.when(F.col("d1") >= _ts(orders, ACTIVE_SINCE), 1).otherwise(0)
     salary = (F.lit(10000.0) + (F.coalesce(F.col("cents"), F.lit(0)) % 19000000).cast("double") / 100)
 
     base = j.select(
