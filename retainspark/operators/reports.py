@@ -255,3 +255,13 @@ def flag_best(results: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     w = Window.orderBy(F.col("Val AUC").desc(), F.col("Model"))   # <= 5 rows
     return results.withColumn("is_best", F.row_number().over(w) == 1)
+
+
+def export_csv(scored: DataFrame, path: str, risk: str = "ALL", geo: str = "ALL", min_rv: float = 0.0,
+               active: str = "ALL") -> DataFrame:
+    """Write the filtered rows (no sort, no row cap) as CSV with a header;
+    returns the exported DataFrame."""
+    from ..sources.files import write_csv
+    rows = export_rows(scored, risk, geo, min_rv, active)
+    write_csv(rows, path)
+    return rows

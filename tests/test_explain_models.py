@@ -137,3 +137,14 @@ def test_csv_json_roundtrip_and_optional(spark, sf_small):
     assert (d["f1_optimal"], d["business_optimal"]) == (0.5, 0.5)
     empty = files.optional_table(spark, os.path.join(root, "nope"), RAW_SCHEMA)
     assert empty.count() == 0 and empty.schema == RAW_SCHEMA
+
+
+def test_export_csv(spark, sf_small):
+    from retainspark.operators import reports as rp
+    plan = base.Plan(spark, sf_small)
+    path = os.path.join(tempfile.mkdtemp(prefix="exp-", dir="/tmp"), "export")
+    rows = rp.export_csv(plan.scored, path, geo="Germany", active="Inactive")
+    back = spark.read.option("header", True).csv(path)
+    assert back.count() == rows.count() > 0
+    assert set(back.columns) == set(rows.columns)
+    assert {r["Geography_Label"] for r in back.select("Geography_Label").collect()} == {"Germany"}
