@@ -112,6 +112,7 @@ def factor_list(att: DataFrame, k: int = 3, id_col: str = "CustomerId", with_mag
     return att.select(F.col(id_col), factor_array(k, with_magnitude).alias("top_risk_factors"))
 
 
+# The factor list returned when no attribution is available
 FALLBACK_FACTORS = ["SHAP not available"]
 
 
