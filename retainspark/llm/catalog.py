@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .chat import OP6_SQL, op6_chat_format
+from .rules import op10_quality_rules
 from .simhash import op7_simhash
 
 QUERIES = {
+    "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: DuckDB twins where SQL can express a query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_chat_format": OP6_SQL,
+}
