@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_format
+from .html import op1_html_text
+from .langid import op3_langid
+from .quality import op2_quality
 from .rules import op10_quality_rules
+from .sentencepiece import op5_sentencepiece
 from .simhash import op7_simhash
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op2_quality": op2_quality,
+    "op3_langid": op3_langid,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
     "op10_quality_rules": op10_quality_rules,
