@@ -6,7 +6,9 @@ from .chat import OP6_SQL, op6_chat_format
 from .html import op1_html_text
 from .langid import op3_langid
 from .quality import op2_quality
+from .repeats import op8_repeats
 from .rules import op10_quality_rules
+from .secret_scan import op9_secret_scan
 from .sentencepiece import op5_sentencepiece
 from .simhash import op7_simhash
 
@@ -17,6 +19,8 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
+    "op8_repeats": op8_repeats,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
