@@ -11,13 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from retainspark.llm.common import stored, table
+from retainspark.llm.decontaminate import decontaminate_stage
+from retainspark.llm.langid import langid_stage
+from retainspark.llm.secret_scan import secret_stage
+from retainspark.llm.sentencepiece import sentencepiece_stage
 from retainspark.llm.simhash import simhash_stage
 
 STAGES = [
-    ("simhash near-dedup", simhash_stage),
+    ("language ID", langid_stage),
+    ("SimHash near-dedup", simhash_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("secret scans", secret_stage),
+    ("SentencePiece encoding", sentencepiece_stage),
 ]
 
-#: DuckDB has no recurrent network, XXH64 or Viterbi: no twin, see tests/llm.
+#: SQL has no recurrent network, XXH64, CGK embedding, random field or Viterbi:
+#: no twin; tests/llm holds run() against a brute-force version instead.
 ORACLE_SQL = None
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_format
+from .decontaminate import op4_decontaminate
 from .html import op1_html_text
 from .langid import op3_langid
 from .quality import op2_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_quality": op2_quality,
     "op3_langid": op3_langid,
+    "op4_decontaminate": op4_decontaminate,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,

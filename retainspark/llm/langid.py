@@ -234,8 +234,10 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE) -> list[tuple[bytes, str]]:
     """The training sample: (text, language) of rows outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), HELD_OUT_MOD) != HELD_OUT))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang)
+    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("salt"))
+    for by in (["lang", "salt"], ["lang"]):  # the smallest of each salted part, then of these, so no language meets in one task
+        n = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+        chosen = chosen.withColumn("n", n).where(F.col("n") <= per_lang).drop("n")
     ids = sorted(r[0] for r in chosen.select("doc_id").distinct().collect())
     got = usable.where(F.col("doc_id").isin(ids)) if ids else usable.limit(0)
     got = got.select("doc_id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
