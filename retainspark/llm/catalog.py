@@ -8,7 +8,7 @@ from .html import op1_html_text
 from .langid import op3_langid
 from .quality import op2_quality
 from .repeats import op8_repeats
-from .rules import op10_quality_rules
+from .rules import OP10_SQL, op10_quality_rules
 from .secret_scan import op9_secret_scan
 from .sentencepiece import op5_sentencepiece
 from .simhash import op7_simhash
@@ -29,4 +29,5 @@ QUERIES = {
 #: DuckDB twins where SQL can express a query.
 ORACLE: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
+    "op10_quality_rules": OP10_SQL,
 }

@@ -131,4 +131,64 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def op10_quality_rules(spark, sf_dir) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: DuckDB twin; its word lists and limits are literals of its own.
+OP10_SQL = r"""
+WITH lists(lang, words) AS (VALUES
+  ('en', ['the','of','and','to','a','in','is','that','it','for','was','on','with','as','be','at','by','this','are','from']),
+  ('de', ['der','die','und','in','den','von','zu','das','mit','sich','des','auf','für','ist','im','dem','nicht','ein','eine','als']),
+  ('fr', ['de','la','le','et','les','des','en','un','du','une','est','que','dans','qui','par','pour','au','sur','pas','plus']),
+  ('es', ['de','la','que','el','en','y','a','los','se','del','las','un','por','con','no','una','su','para','es','al'])
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS r0,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), c1 AS (SELECT *, regexp_replace(r0, '[a-z]+', '', 'g') AS r1 FROM w),
+c2 AS (SELECT *, regexp_replace(r1, '[A-Z]+', '', 'g') AS r2 FROM c1),
+c3 AS (SELECT *, regexp_replace(r2, '[0-9]+', '', 'g') AS r3 FROM c2),
+c4 AS (SELECT *, regexp_replace(r3, '[#*$%&|<>]+', '', 'g') AS r4 FROM c3),
+c5 AS (SELECT *, regexp_replace(r4, '[.,;:!?''"()\-]+', '', 'g') AS r5 FROM c4),
+c6 AS (SELECT *, regexp_replace(r5, '\p{L}+', '', 'g') AS r6 FROM c5),
+win AS (
+  SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1
+), rep AS (
+  SELECT r, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY r
+), base AS (
+  SELECT c6.r, doc_id, lang, ws, CAST(len(ws) AS BIGINT) AS n_words, length(r0) AS word_chars, length(r3) - length(r4) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    [length(r0) - length(r1), length(r1) - length(r2), length(r2) - length(r3), length(r3) - length(r4), length(r4) - length(r5), length(r5) - length(r6),
+     length(t) - length(r0), length(r6)] AS classes
+  FROM c6 LEFT JOIN rep USING (r)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+), low AS (
+  SELECT r, lower(u) AS u, count(*) AS n FROM (SELECT r, unnest(ws) AS u FROM base) GROUP BY ALL
+), common AS (
+  SELECT j.r, l.lang AS ref, g.i, coalesce(low.n, 0) / greatest(j.n_words, 1) AS p
+  FROM judged j, lists l, (SELECT unnest(range(1, 21)) AS i) g LEFT JOIN low ON low.r = j.r AND low.u = l.words[g.i]
+), shares AS (
+  SELECT r, ref, i, p FROM common
+  UNION ALL
+  SELECT j.r, l.lang, 21, (greatest(j.n_words, 1) - coalesce(k.n, 0)) / greatest(j.n_words, 1)
+  FROM judged j, lists l LEFT JOIN (SELECT low.r, l2.lang AS ref, sum(low.n) AS n FROM low JOIN lists l2 ON list_contains(l2.words, low.u) GROUP BY ALL) k
+    ON k.r = j.r AND k.ref = l.lang
+  UNION ALL
+  SELECT j.r, l.lang, 100 + i, j.classes[i] / greatest(list_sum(j.classes), 1) FROM judged j, lists l, (SELECT unnest(range(1, 9)) AS i) g
+), refs AS (
+  SELECT s.ref, s.i, avg(s.p) AS q FROM shares s JOIN judged j ON j.r = s.r AND j.lang = s.ref WHERE NOT j.base_failed GROUP BY ALL
+), parts AS (
+  SELECT s.r, s.ref, s.i >= 100 AS of_classes,
+    sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS js
+  FROM shares s JOIN refs USING (ref, i) GROUP BY ALL
+), near AS (
+  SELECT r, min(dist) AS distance FROM (SELECT r, ref, sum(sqrt(greatest(js, 0))) / 2 AS dist FROM parts GROUP BY ALL) GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(distance <= 0.1 + 1.3 / sqrt(greatest(n_words, 1)), true) AS kept
+FROM judged LEFT JOIN near USING (r)
+"""
