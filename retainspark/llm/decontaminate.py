@@ -125,13 +125,14 @@ class Index:
             key ^= key >> np.uint64(31)
         return key
 
-    def candidates(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(start, item) of windows that share a key with an item."""
+    def candidates(self, text: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start, item) of windows that share a key with an item; a window
+        starts on a word of a text (``own``), not on what keeps texts apart."""
         foreign = np.cumsum(np.r_[0, text == _PAD])
         for c in self.classes:
             if len(text) < c.size:
                 continue
-            starts = np.flatnonzero(foreign[c.size:] - foreign[:-c.size] <= c.edits)
+            starts = np.flatnonzero((foreign[c.size:] - foreign[:-c.size] <= c.edits) & own[:len(text) - c.size + 1])
             for lo in range(0, len(starts), _CHUNK):
                 at = starts[lo:lo + _CHUNK]
                 found = []
@@ -159,10 +160,10 @@ class Index:
             common += (self.known[item, symbol >> 3] >> (symbol & 7)) & 1 & (j < n + edits)
         return common >= n - edits
 
-    def matches(self, text: np.ndarray) -> list[tuple[int, int, int]]:
+    def matches(self, text: np.ndarray, own: np.ndarray | None = None) -> list[tuple[int, int, int]]:
         """(start, item, edits) of verified windows."""
         out = []
-        for at, item in self.candidates(text):
+        for at, item in self.candidates(text, np.ones(len(text), bool) if own is None else own):
             ok = self.near(text, at, item)
             at, item = at[ok], item[ok]
             for n in np.unique(self.lengths[item]).tolist():
@@ -224,14 +225,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ix = index.value
             get = ix.vocabulary.get
             pad = np.zeros(allowed(ix.longest) + 1, np.int32)
-            parts, begins, at = [], [], 0
+            apart = np.zeros(len(pad), bool)
+            parts, own, begins, at = [], [], [], 0
             for t in batch.column("text").to_pylist():
                 w = words(t)
                 parts += [np.fromiter((get(x, _PAD) for x in w), np.int32, len(w)), pad]
+                own += [np.ones(len(w), bool), apart]
                 begins.append(at)
                 at += len(w) + len(pad)
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            for start, k, d in ix.matches(np.concatenate(parts)) if ix.ids else []:
+            for start, k, d in ix.matches(np.concatenate(parts), np.concatenate(own)) if ix.ids else []:
                 row = int(np.searchsorted(begins, start, "right")) - 1
                 found = (d, start - begins[row])
                 best[row, k] = min(best.get((row, k), found), found)
