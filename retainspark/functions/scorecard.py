@@ -70,12 +70,3 @@ def scorecard_logit(germany: Column | None = None) -> Column:
 def scorecard_probability(germany: Column | None = None) -> Column:
     """p = 1 / (1 + exp(-logit)), rounded half-even to 6 digits."""
     return F.bround(F.lit(1.0) / (F.lit(1.0) + F.exp(-scorecard_logit(germany))), 6)
-
-
-def label_logit10(intercept10: int) -> Column:
-    """Integer (x10) propensity over the raw table, used to derive the label."""
-    terms = scorecard_terms(germany=F.col("Geography") == "Germany")
-    expr = F.lit(intercept10)
-    for name, w in SCORECARD_WEIGHTS.items():
-        expr = expr + terms[name] * F.lit(int(round(w * 10)))
-    return expr

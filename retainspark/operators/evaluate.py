@@ -153,6 +153,8 @@ def _bucketed(distinct: DataFrame, buckets: int, bucketing: str) -> DataFrame:
     from pyspark.ml.feature import Bucketizer
     probs = _lit_array([i / buckets for i in range(1, buckets)])
     edges = distinct.agg(F.percentile_approx("score", probs, 10 * buckets)).first()[0] or []  # <= buckets-1 values
+    if not edges:
+        return distinct.withColumn("b", F.lit(0))
     splits = [float("-inf")] + sorted({float(e) for e in edges}) + [float("inf")]
     out = Bucketizer(splits=splits, inputCol="score", outputCol="_bd", handleInvalid="keep").transform(distinct)
     return out.withColumn("b", F.col("_bd").cast("int")).drop("_bd")
@@ -163,7 +165,11 @@ def score_curve(df: DataFrame, p: str = "churn_probability", label: str = "Exite
     """Per distinct score s: pos, neg, tp_ge = positives with score >= s,
     fp_ge = negatives with score >= s, the next lower score's (pos, neg), and
     the totals P, N.  ``bucketing``: "quantile" (equal-count, default) or
-    "width" (equal-width on [0, 1], no sketch pass)."""
+    "width" (equal-width on [0, 1], no sketch pass).  Null and NaN scores have
+    no place in an order: they are refused with a count."""
+    lost = df.where(F.col(p).isNull() | F.isnan(F.col(p).cast("double"))).count()
+    if lost:
+        raise ValueError(f"{lost} rows have no {p} to rank by")
     distinct = _bucketed(df.select(F.col(p).cast("double").alias("score"), F.col(label).alias("_y"))
                          .groupBy("score")
                          .agg(F.sum("_y").cast("long").alias("pos"), F.sum(1 - F.col("_y")).cast("long").alias("neg")),
@@ -202,7 +208,7 @@ def ranking_summary(df: DataFrame, **kw) -> DataFrame:
     auc_term = F.col("pos") * ((F.col("N") - F.col("fp_ge")) + 0.5 * F.col("neg"))
     ap_term = F.col("pos") / F.col("P") * (F.col("tp_ge") / (F.col("tp_ge") + F.col("fp_ge")))
     return c.groupBy().agg(
-        F.bround(_divide0(F.sum(auc_term), F.first("P") * F.first("N")), 6).alias("auc"),
+        F.bround(_divide0(F.sum(auc_term), F.first("P").cast("double") * F.first("N")), 6).alias("auc"),
         F.bround(F.coalesce(F.sum(F.when(F.col("pos") > 0, ap_term)), F.lit(0.0)), 6).alias("average_precision"),
         F.first("P").alias("positives"), F.first("N").alias("negatives"))
 
@@ -263,10 +269,10 @@ def metrics_record(df: DataFrame, threshold: float, model_name: str = "scorecard
     row = (m.crossJoin(rank).crossJoin(biz).crossJoin(f1t).crossJoin(curve))
     return row.select(
         F.lit(model_name).alias("model_name"),
-        F.col("auc").alias("test_auc"),
+        F.bround("auc", 4).alias("test_auc"),
         F.col("f1").alias("test_f1"), F.col("precision").alias("test_precision"),
         F.col("recall").alias("test_recall"), F.col("accuracy").alias("test_accuracy"),
-        "average_precision", "catch_rate", "false_alarm_rate",
+        F.bround("average_precision", 4).alias("average_precision"), "catch_rate", "false_alarm_rate",
         F.struct(F.col("tp").alias("TP"), F.col("fp").alias("FP"), F.col("tn").alias("TN"),
                  F.col("fn").alias("FN")).alias("confusion_matrix"),
         "f1_optimal_threshold",

@@ -55,14 +55,18 @@ def scorecard_shapley(feat: DataFrame, background: DataFrame | None = None,
     return j.select(*feat.columns, *[v.alias(phi_col(k)) for k, v in phis.items()])
 
 
+def feature_means(background: DataFrame, features: list[str] = FEATURES) -> dict[str, float]:
+    """Background means, one row."""
+    return background.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first().asDict()
+
+
 def linear_shapley(df: DataFrame, weights: dict[str, float], background: DataFrame | None = None,
-                   features: list[str] = FEATURES) -> DataFrame:
+                   features: list[str] = FEATURES, means: dict[str, float] | None = None) -> DataFrame:
     """X1 for any linear model on raw features: phi_j = w_j (x_j - mean_j)."""
-    bg = background if background is not None else df
-    means = bg.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in features])
-    j = df.crossJoin(F.broadcast(means))
-    return j.select(*df.columns, *[
-        F.bround(F.lit(float(weights.get(c, 0.0))) * (F.col(c) - F.col(f"m_{c}")), PHI_DIGITS).alias(phi_col(c))
+    if means is None:
+        means = feature_means(background if background is not None else df, features)
+    return df.select(*df.columns, *[
+        F.bround(F.lit(float(weights.get(c, 0.0))) * (F.col(c) - F.lit(means[c])), PHI_DIGITS).alias(phi_col(c))
         for c in features])
 
 
@@ -94,22 +98,27 @@ def top_k(att: DataFrame, k: int = 3, id_col: str = "CustomerId", with_magnitude
                        text.alias("factor"))
 
 
-def factor_array(k: int = 3, with_magnitude: bool = False, features: list[str] = FEATURES) -> Column:
-    """X3 array form as a column: the k top factors' display texts."""
-    ranked = F.slice(F.sort_array(_phi_array(features), asc=False), 1, k)
-
+def factor_texts(attributions: Column, k: int = 3, with_magnitude: bool = False) -> Column:
+    """X3 array form: display texts of the k top entries of an array of
+    (abs_phi, feature_index, feature, phi)."""
     def text(s):
         direction = F.when(s["phi"] > 0, "increases").otherwise("decreases")
         if with_magnitude:
             return F.format_string("%s (%s risk, magnitude=%.3f)", feature_label(s["feature"]), direction,
                                    F.bround(s["abs_phi"], 3))
         return F.format_string("%s (%s risk)", feature_label(s["feature"]), direction)
-    return F.transform(ranked, text)
+    return F.transform(F.slice(F.sort_array(attributions, asc=False), 1, k), text)
 
 
-def factor_list(att: DataFrame, k: int = 3, id_col: str = "CustomerId", with_magnitude: bool = False) -> DataFrame:
-    """X3 array form: (id, top_risk_factors array<string>) - a projection."""
-    return att.select(F.col(id_col), factor_array(k, with_magnitude).alias("top_risk_factors"))
+def factor_array(k: int = 3, with_magnitude: bool = False, features: list[str] = FEATURES) -> Column:
+    """The k top factors' display texts of a row with ``phi_`` columns."""
+    return factor_texts(_phi_array(features), k, with_magnitude)
+
+
+def factors_of(long_phi: DataFrame, k: int = 3, id_col: str = "CustomerId") -> DataFrame:
+    """(id, top_risk_factors) from the long form; a row's group is its features."""
+    entry = F.struct(F.abs(F.col("phi")).alias("abs_phi"), "feature_index", "feature", "phi")
+    return long_phi.groupBy(id_col).agg(factor_texts(F.collect_list(entry), k).alias("top_risk_factors"))
 
 
 # The factor list returned when no attribution is available
@@ -148,56 +157,71 @@ def attribution_values(att: DataFrame, k: int = 15, id_col: str = "CustomerId",
 
 
 # X2 ------------------------------------------------------------------------
+def _hash(*parts) -> Column:
+    """Seeded order key that any engine can rebuild: md5 of the parts, ':'-joined."""
+    return F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
+
+
+def background_rows(background: DataFrame, features: list[str], size: int, seed: int, id_col: str) -> DataFrame:
+    """(bidx, bvec): the ``size`` rows with the smallest seeded hash of their id,
+    fewer if the table has fewer (a sampling operator; its size is the bound)."""
+    picked = (background.select(F.col(id_col), *[F.col(f).cast("double").alias(f) for f in features])
+              .withColumn("_h", _hash(id_col, F.lit(seed))).orderBy("_h", id_col).limit(size))
+    return picked.select((F.row_number().over(Window.orderBy("_h", id_col)) - 1).cast("int").alias("bidx"),
+                         F.array(*[F.col(f) for f in features]).alias("bvec"))
+
+
+def sampled_paths(rows: DataFrame, background: DataFrame, features: list[str], permutations: int,
+                  background_size: int, seed: int, id_col: str) -> DataFrame:
+    """(id, k, xvec, bvec, perm): each row once per permutation, with the
+    background row and the feature order drawn for it by hash.  The draw is
+    modulo the number of background rows there are, so every row has a path."""
+    bg = background_rows(background, features, background_size, seed, id_col)
+    found = bg.count()                                     # <= background_size
+    if not found:
+        raise ValueError("sampled_shapley needs at least one background row")
+    draw = F.pmod(F.conv(F.substring(_hash(id_col, "k", F.lit(seed)), 1, 8), 16, 10).cast("long"), F.lit(found)).cast("int")
+    paths = (rows.select(F.col(id_col), F.array(*[F.col(f).cast("double") for f in features]).alias("xvec"))
+             .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("bidx", draw))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)),
+                                     lambda j: F.struct(_hash(id_col, "k", j, F.lit(seed + 1)).alias("h"), j.alias("j"))))
+    return (paths.join(F.broadcast(bg), "bidx")
+            .select(id_col, "k", "xvec", "bvec", F.transform(order, lambda s: s["j"]).alias("perm")))
+
+
 def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: list[str] = FEATURES,
                     permutations: int = 4, background_size: int = 64, seed: int = 42,
-                    id_col: str = "CustomerId") -> DataFrame:
+                    id_col: str = "CustomerId", digits: int | None = PHI_DIGITS) -> DataFrame:
     """Permutation-sampled Shapley values of a fitted Spark ML pipeline
-    (probability of class 1), for any model type.
-
-    For each row and each of ``permutations`` seeded feature orders, pair the
-    row with one background row (chosen by hash among a ``background_size``
-    sample - a sampling operator, its size is the parameter), walk the 22
-    points of the path from background to row, score every point with ONE
-    ``model.transform`` over all rows, and difference consecutive points
-    (``lag`` inside a (row, permutation) window).  phi is the average over
-    permutations.  Per path the differences sum exactly to f(x) - f(b)."""
+    (probability of class 1) or of any scoring function (DataFrame -> DataFrame
+    with a column ``f``).
+
+    A path leads from a drawn background row to the row, switching one feature
+    after another; all its points are scored in one pass.  The step that
+    switches feature j contributes f(after) - f(before): each scored point adds
+    +f to the feature just switched and -f to the one switched next, so the sum
+    per (row, feature) needs no order and is partially aggregated where the
+    points are made.  Over the features of a row, phi adds up to the mean of
+    f(row) - f(background) over its paths."""
     from pyspark.ml.functions import vector_to_array
 
     nf = len(features)
-    bg = (background.select(*[F.col(f).cast("double").alias(f) for f in features],
-                            F.xxhash64(*[F.col(f) for f in features], F.lit(seed)).alias("_h"))
-          .orderBy("_h").limit(background_size)
-          .select(F.row_number().over(Window.orderBy("_h")).alias("_bi") - 1,
-                  F.array(*[F.col(f) for f in features]).alias("bvec")))
-    bg = bg.withColumnRenamed(bg.columns[0], "bidx")
-    nb = F.broadcast(bg)
-    base = rows.select(F.col(id_col), F.array(*[F.col(f).cast("double") for f in features]).alias("xvec"))
-    paths = (base.select(id_col, "xvec", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k"))
-             .withColumn("bidx", F.pmod(F.xxhash64(F.col(id_col), F.col("k"), F.lit(seed)),
-                                        F.lit(background_size)).cast("int")))
-    paths = paths.join(nb, "bidx")
-    # permutation: features ordered by a seeded hash; rank[j] = position of feature j
-    order = F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(nf - 1)),
-                                 lambda j: F.struct(F.xxhash64(F.col(id_col), F.col("k"), j, F.lit(seed + 1)).alias("h"),
-                                                    j.alias("j")))),
-        lambda s: s["j"])
-    paths = paths.withColumn("perm", order)
-    steps = paths.select(id_col, "k", "xvec", "bvec", "perm",
-                         F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("step"))
-    # feature j takes x when its position in the permutation is < step
-    pos = lambda j: F.array_position(F.col("perm"), j) - 1
+    paths = sampled_paths(rows, background, features, permutations, background_size, seed, id_col)
+    steps = paths.select(id_col, "k", "xvec", "bvec", "perm", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("step"))
+    switched = F.slice("perm", F.lit(1), F.col("step"))
     point = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)),
-                        lambda j: F.when(pos(j) < F.col("step"), F.element_at(F.col("xvec"), j + 1))
-                        .otherwise(F.element_at(F.col("bvec"), j + 1)))
-    pts = steps.select(id_col, "k", "step", "perm", *[point[i].alias(f) for i, f in enumerate(features)])
-    scored = model.transform(pts).select(id_col, "k", "step", "perm",
-                                         vector_to_array(F.col("probability"))[1].alias("f"))
-    w = Window.partitionBy(id_col, "k").orderBy("step")
-    diffs = (scored.withColumn("delta", F.col("f") - F.lag("f").over(w))
-             .where(F.col("step") > 0)
-             .select(id_col, "k", F.element_at(F.col("perm"), F.col("step")).alias("feature_index"), "delta"))
+                        lambda j: F.when(F.array_contains(F.col("_on"), j), F.get("xvec", j)).otherwise(F.get("bvec", j)))
+    pts = steps.withColumn("_on", switched).withColumn("_point", point)
+    pts = pts.select(id_col, F.get("perm", F.col("step") - 1).alias("_now"), F.get("perm", F.col("step")).alias("_next"),
+                     *[F.get("_point", F.lit(i)).alias(f) for i, f in enumerate(features)])
+    if hasattr(model, "transform"):
+        scored = model.transform(pts).select(id_col, "_now", "_next", vector_to_array(F.col("probability"))[1].alias("f"))
+    else:
+        scored = model(pts).select(id_col, "_now", "_next", "f")
+    parts = F.array_compact(F.array(F.when(F.col("_now").isNotNull(), F.struct(F.col("_now").alias("j"), F.col("f").alias("v"))),
+                                    F.when(F.col("_next").isNotNull(), F.struct(F.col("_next").alias("j"), (-F.col("f")).alias("v")))))
+    sums = (scored.select(id_col, F.explode(parts).alias("s")).groupBy(id_col, F.col("s.j").alias("feature_index"))
+            .agg((F.sum("s.v") / F.lit(permutations)).alias("phi")))
     names = F.array(*[F.lit(f) for f in features])
-    return (diffs.groupBy(id_col, "feature_index").agg(F.avg("delta").alias("phi"))
-            .select(id_col, F.element_at(names, F.col("feature_index") + 1).alias("feature"), "feature_index",
-                    F.bround("phi", PHI_DIGITS).alias("phi")))
+    return sums.select(id_col, F.get(names, F.col("feature_index")).alias("feature"), "feature_index",
+                       (F.col("phi") if digits is None else F.bround("phi", digits) + F.lit(0.0)).alias("phi"))

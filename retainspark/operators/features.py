@@ -24,9 +24,9 @@ def coded(raw: DataFrame) -> DataFrame:
     )
 
 
-def high_value_quantiles(raw: DataFrame, method: str = "auto") -> DataFrame:
+def high_value_quantiles(raw: DataFrame) -> DataFrame:
     """One-row table (q_balance, q_salary): 75 % quantiles, linear interpolation."""
-    return column_quantiles(raw, {"Balance": "q_balance", "EstimatedSalary": "q_salary"}, 0.75, method)
+    return column_quantiles(raw, {"Balance": "q_balance", "EstimatedSalary": "q_salary"}, 0.75)
 
 
 def engineered_columns(clv_profile: dict = CLV_TRAINING, hv=None) -> list:
@@ -47,8 +47,7 @@ def engineered_columns(clv_profile: dict = CLV_TRAINING, hv=None) -> list:
     ]
 
 
-def feature_table(raw: DataFrame, quantiles: DataFrame | None = None, clv_profile: dict = CLV_TRAINING,
-                  quantile_method: str = "auto") -> DataFrame:
+def feature_table(raw: DataFrame, quantiles: DataFrame | None = None, clv_profile: dict = CLV_TRAINING) -> DataFrame:
     """F1-F12a + F14: ids, the 21 model features in order, label.
 
     The whole-table quantiles of F8 are a one-row aggregate joined back as a
@@ -62,7 +61,7 @@ def feature_table(raw: DataFrame, quantiles: DataFrame | None = None, clv_profil
     if isinstance(quantiles, tuple):
         hv = fx.high_value_customer(F.lit(float(quantiles[0])), F.lit(float(quantiles[1])))
         return c.select(*ids, *[F.col(x) for x in FEATURES[:10]], *engineered_columns(clv_profile, hv), *label)
-    q = quantiles if quantiles is not None else high_value_quantiles(raw, quantile_method)
+    q = quantiles if quantiles is not None else high_value_quantiles(raw)
     j = c.crossJoin(F.broadcast(q.select("q_balance", "q_salary")))
     hv = fx.high_value_customer(F.col("q_balance"), F.col("q_salary"))
     return j.select(*ids, *[F.col(x) for x in FEATURES[:10]], *engineered_columns(clv_profile, hv), *label)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import CORRUPT
 from ..schema import CONTRACT_BOUNDS, GENDER_CODES, GEOGRAPHY_CODES, LABEL, LABEL_RATE_RANGE, WHATIF_DEFAULTS
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -36,27 +37,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
 
 
-def profile(df: DataFrame, cols: list[str] | None = None, quantile_method: str = "auto") -> DataFrame:
+def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """V4: count, mean, sample std, min, 25/50/75 % (exact, interpolated), max
     per numeric column; one aggregate, then unpivot to one row per column.
-
-    Quantiles: Spark's exact ``percentile`` keeps a value->count map per
-    column (an id column has n distinct values), so above ``AUTO_EXACT_ROWS``
-    rows ("auto") they come from the bounded histogram refinement instead,
-    all columns and quantiles together, one pass per round."""
-    from .quantile import AUTO_EXACT_ROWS, histogram_quantiles
+    The quantiles of all columns are searched together (see ``quantile``)."""
+    from .quantile import quantiles
     cols = cols or numeric_columns(df)
-    if quantile_method == "auto":
-        quantile_method = "exact" if df.count() <= AUTO_EXACT_ROWS else "histogram"
-    hq = histogram_quantiles(df, cols, [0.25, 0.5, 0.75]) if quantile_method == "histogram" else None
+    found = quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        qexpr = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if hq is None else
-                 F.array(*[F.lit(hq[(c, q)]).cast("double") for q in (0.25, 0.5, 0.75)]))
+        q = F.array(*[F.lit(found[c, q]).cast("double") for q in (0.25, 0.5, 0.75)])
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), (qexpr if hq is None else F.first(qexpr)).alias(f"q{i}"),
-                 F.max(x).alias(f"max{i}")]
+                 F.min(x).alias(f"min{i}"), F.first(q).alias(f"q{i}"), F.max(x).alias(f"max{i}")]
     row = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("count"),
                         F.bround(F.col(f"mean{i}"), 4).alias("mean"), F.bround(F.col(f"std{i}"), 4).alias("std"),
@@ -87,12 +80,14 @@ def validate(requests: DataFrame) -> DataFrame:
     its rule.  Valid rows have an empty array."""
     rules = contract_rules()
     arr = F.array(*[F.when(~F.coalesce(rules[r], F.lit(False)), F.lit(r)) for r in RULE_ORDER])
+    if CORRUPT in requests.columns:                 # a record that can't be read breaks this rule alone
+        arr = F.when(F.col(CORRUPT).isNotNull(), F.array(F.lit("malformed_record"))).otherwise(arr)
     return requests.withColumn("violations", F.array_compact(arr))
 
 
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     v = validate(requests)
-    return (v.where(F.size("violations") == 0).drop("violations"),
+    return (v.where(F.size("violations") == 0).drop("violations", CORRUPT),
             v.where(F.size("violations") > 0))
 
 

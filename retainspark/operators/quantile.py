@@ -1,117 +1,105 @@
 """Whole-table quantiles with linear interpolation (pandas / DuckDB
 ``quantile_cont`` semantics), as used by F8 and V4.
 
-Three methods:
-
-* ``exact``      - Spark's ``percentile`` aggregate: exact, lazy, one pass.
-  Its buffer is a value->count map, so it fits while the *distinct* values
-  of the column fit in one task's memory.
-* ``histogram``  - exact and bounded at any scale: refine a 4096-bucket
-  histogram (one ``groupBy`` pass, at most 4096 rows to the driver) around
-  the target rank until the bucket holds one distinct value.  A few passes
-  over a materialised table; nothing unbounded reaches one task.
-* ``approx``     - ``percentile_approx`` (no interpolation), opt-in only.
-* ``auto``       - ``exact`` up to ``AUTO_EXACT_ROWS`` rows (a metadata count
-  on a stored table), ``histogram`` beyond: same result, bounded memory.
+One path at every size.  The value of each wanted rank is enclosed between two
+data values with a quantile sketch, whose rank error is bounded; one aggregate
+then counts what lies below, on and between the two.  A rank on either value is
+resolved; else the search goes on strictly between them.  As both leave the
+range each round, every round makes progress, and as the sketch's error shrinks
+the range by a factor of thousands, a few rounds do.  Only sketches and counts
+reach the driver, a handful of numbers per wanted quantile.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AUTO_EXACT_ROWS = 5_000_000
-_BUCKETS = 4096
-_MAX_ROUNDS = 64
+#: Rank accuracy of the sketch: its error is at most rows / ACCURACY.
+ACCURACY = 10_000
 
 
-def column_quantiles(df: DataFrame, cols: dict[str, str], q: float, method: str = "exact") -> DataFrame:
-    """One-row DataFrame with the ``q`` quantile of each column under its alias."""
-    if method == "auto":
-        method = "exact" if df.count() <= AUTO_EXACT_ROWS else "histogram"
-    if method == "exact":
-        return df.agg(*[F.percentile(F.col(c), F.lit(q)).alias(a) for c, a in cols.items()])
-    if method == "approx":
-        return df.agg(*[F.percentile_approx(F.col(c), F.lit(q), 100000).cast("double").alias(a)
-                        for c, a in cols.items()])
-    if method == "histogram":
-        spark = df.sparkSession
-        vals = {a: histogram_quantile(df, c, q) for c, a in cols.items()}
-        return spark.createDataFrame([tuple(vals.values())], ", ".join(f"{a} double" for a in vals))
-    raise ValueError(f"unknown quantile method {method!r}")
-
-
-def _kth_smallest_many(df: DataFrame, targets: list[tuple[str, int]]) -> list[float]:
-    """k-th smallest (0-based) non-null value for several (column, k) targets.
-
-    Every round is ONE pass over ``df`` for all unresolved targets: each row
-    emits (target, bucket) for the targets whose current [lo, hi] range holds
-    it, and a ``groupBy`` returns at most 4096 rows per target.  The range
-    shrinks to the bucket holding rank k until it holds one distinct value."""
-    cols = sorted({c for c, _ in targets})
-    stats = df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn_{i}") for i, c in enumerate(cols)],
-                   *[F.max(F.col(c).cast("double")).alias(f"mx_{i}") for i, c in enumerate(cols)]).first()
-    state = []   # [lo, hi, below, k, col]
-    for c, k in targets:
-        i = cols.index(c)
-        state.append([stats[f"mn_{i}"], stats[f"mx_{i}"], 0, k, c])
-    for _ in range(_MAX_ROUNDS):
-        open_ = [t for t, st in enumerate(state) if st[0] != st[1]]
-        if not open_:
-            break
-        items = []
-        for t in open_:
-            lo, hi, _, _, c = state[t]
-            x = F.col(c).cast("double")
-            b = F.least(F.lit(_BUCKETS - 1), F.floor((x - F.lit(lo)) / F.lit(hi - lo) * _BUCKETS).cast("int"))
-            items.append(F.when(x.between(lo, hi), F.struct(F.lit(t).alias("t"), b.alias("b"), x.alias("x"))))
-        hist = (df.select(F.explode(F.array_compact(F.array(*items))).alias("s"))
-                .groupBy("s.t", "s.b")
-                .agg(F.count("*").alias("n"), F.min("s.x").alias("mn"), F.max("s.x").alias("mx"))
-                .collect())                     # <= 4096 rows per open target
-        by_t: dict[int, list] = {}
-        for r in hist:
-            by_t.setdefault(r["t"], []).append(r)
-        for t in open_:
-            lo, hi, below, k, c = state[t]
-            acc = below
-            for r in sorted(by_t.get(t, []), key=lambda r: r["b"]):
-                if acc + r["n"] > k:
-                    state[t][0], state[t][1], state[t][2] = r["mn"], r["mx"], acc
-                    break
-                acc += r["n"]
-            else:  # pragma: no cover - k out of range
-                raise ValueError("rank outside the column")
-    return [st[0] for st in state]
-
-
-def histogram_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[tuple[str, float], float | None]:
-    """Exact interpolated quantiles of several columns, all found together."""
+class _Search:
+    """The k-th smallest (0-based) non-null value of a column."""
+
+    def __init__(self, col: str, k: int, n: int):
+        self.col, self.k, self.below, self.n = col, k, 0, n
+        self.lo = self.hi = self.value = None       # exclusive bounds; None: open
+
+    def inside(self) -> Column:
+        x = F.col(self.col).cast("double")
+        cond = x.isNotNull()
+        if self.lo is not None:
+            cond = cond & (x > F.lit(self.lo))
+        if self.hi is not None:
+            cond = cond & (x < F.lit(self.hi))
+        return F.when(cond, x)
+
+    def shares(self) -> tuple[float, float]:
+        """Shares of the range that enclose the rank whatever the sketch's error."""
+        at, slack = (self.k - self.below + 0.5) / self.n, 1.5 / ACCURACY
+        return max(0.0, at - slack), min(1.0, at + slack)
+
+
+def _resolve(df: DataFrame, searches: list[_Search]) -> None:
+    while open_ := [s for s in searches if s.value is None]:
+        ranges: dict[tuple, list[_Search]] = {}
+        for s in open_:
+            ranges.setdefault((s.col, s.lo, s.hi), []).append(s)
+        sketches, groups = [], list(ranges.values())
+        for i, group in enumerate(groups):
+            shares = [p for s in group for p in s.shares()]
+            sketches.append(F.percentile_approx(group[0].inside(), F.array(*[F.lit(p) for p in shares]), F.lit(ACCURACY)).alias(f"e{i}"))
+        edges = df.agg(*sketches).first()
+        counts, want = [], []
+        for i, group in enumerate(groups):
+            for j, s in enumerate(group):
+                a, b = edges[f"e{i}"][2 * j:2 * j + 2]
+                x = s.inside()
+                counts += [F.count_if(x < a), F.count_if(x == a), F.count_if((x > a) & (x < b)), F.count_if(x == b)]
+                want.append((s, a, b))
+        row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+        for i, (s, a, b) in enumerate(want):
+            below, on_a, mid, on_b = row[4 * i:4 * i + 4]
+            rank = s.k - s.below
+            if rank < below:                        # beyond the sketch's promise, but never lost
+                s.hi, s.n = a, below
+            elif rank < below + on_a:
+                s.value = a
+            elif rank < below + on_a + mid:
+                s.lo, s.hi, s.below, s.n = a, b, s.below + below + on_a, mid
+            elif a != b and rank < below + on_a + mid + on_b:
+                s.value = b
+            else:
+                gone = below + on_a + mid + (on_b if a != b else 0)
+                s.lo, s.below, s.n = b, s.below + gone, s.n - gone
+
+
+def quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[tuple[str, float], float | None]:
+    """Exact interpolated quantiles of several columns, all found together;
+    None for a column without values."""
     counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    targets, plan = [], {}
-    for i, c in enumerate(cols):
-        n = counts[f"n{i}"]
+    searches, plan = {}, {}
+    for c, n in zip(cols, counts):
         for q in qs:
-            if not n:
-                plan[(c, q)] = None
-                continue
-            h = (n - 1) * q
-            k0 = int(math.floor(h))
-            k1 = min(k0 + 1, n - 1)
-            plan[(c, q)] = (h - k0, len(targets), len(targets) + 1)
-            targets += [(c, k0), (c, k1)]
-    vals = _kth_smallest_many(df, targets) if targets else []
-    out = {}
-    for key, p in plan.items():
-        if p is None:
-            out[key] = None
-        else:
-            frac, a, b = p
-            out[key] = vals[a] + frac * (vals[b] - vals[a])
+            if n:
+                at = (n - 1) * q
+                lo, hi = math.floor(at), math.ceil(at)
+                plan[c, q] = (at, lo, hi)
+                for k in (lo, hi):
+                    searches.setdefault((c, k), _Search(c, k, n))
+    _resolve(df, list(searches.values()))
+    out: dict[tuple[str, float], float | None] = {(c, q): None for c in cols for q in qs}
+    for (c, q), (at, lo, hi) in plan.items():
+        a, b = searches[c, lo].value, searches[c, hi].value
+        out[c, q] = a if a == b else (hi - at) * a + (at - lo) * b
     return out
 
 
-def histogram_quantile(df: DataFrame, col: str, q: float) -> float | None:
-    return histogram_quantiles(df, [col], [q])[(col, q)]
+def column_quantiles(df: DataFrame, cols: dict[str, str], q: float) -> DataFrame:
+    """One-row DataFrame with the ``q`` quantile of each column under its alias."""
+    found = quantiles(df, list(cols), [q])
+    row = tuple(found[c, q] for c in cols)
+    return df.sparkSession.createDataFrame([row], ", ".join(f"{a} double" for a in cols.values()))

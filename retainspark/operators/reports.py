@@ -8,6 +8,9 @@ Every sort carries CustomerId as the final tie-breaker.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,15 @@ def pct1(c: Column) -> Column:
 
 # A1 / A2 -------------------------------------------------------------------
 def correlations(feat: DataFrame, features: list[str] = ENGINEERED, label: str = LABEL) -> DataFrame:
-    """A1: Pearson r of each engineered feature with the label, one aggregate, long output."""
-    row = feat.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features])
+    """A1: Pearson r of each engineered feature with the label, one aggregate,
+    long output.  A constant on either side has no r: NaN."""
+    def r(c: str) -> Column:
+        x, y = F.col(c).cast("double"), F.col(label).cast("double")
+        both = F.when(x.isNotNull() & y.isNotNull(), x), F.when(x.isNotNull() & y.isNotNull(), y)
+        spread = F.stddev_pop(both[0]) * F.stddev_pop(both[1])
+        return F.when(spread > 0, F.covar_pop(x, y) / spread).otherwise(F.lit(float("nan")))
+
+    row = feat.agg(*[r(c).alias(c) for c in features])
     stacked = F.expr("stack({n}, {pairs}) as (feature, r)".format(
         n=len(features), pairs=", ".join(f"'{c}', `{c}`" for c in features)))
     return row.select(stacked).select("feature", F.bround("r", 6).alias("r"))
@@ -149,22 +159,22 @@ def mean_clv(df: DataFrame, default: float = 1000.0) -> DataFrame:
 
 
 # P1-P3, P6 -----------------------------------------------------------------
-def call_filters(scored: DataFrame, risk: str = "ALL", geo: str = "ALL", min_rv: float = 0.0,
-                 active: str = "ALL") -> DataFrame:
-    """Each filter added only when it narrows; Catalyst pushes the
-    conjunction into the scan."""
-    df = scored
-    if risk != "ALL":
-        df = df.where(F.col("risk_level") == risk)
-    if geo != "ALL":
-        df = df.where(F.col("Geography_Label") == geo)
-    if "retention_value" in df.columns:
-        df = df.where(F.col("retention_value") >= F.lit(float(min_rv)))
-    if active == "Active":
-        df = df.where(F.col("IsActiveMember") == 1)
-    elif active == "Inactive":
-        df = df.where(F.col("IsActiveMember") == 0)
-    return df
+# What each choice of the activity filter keeps
+ACTIVITY = {"Active": 1, "Inactive": 0}
+EVERYTHING = "ALL"
+
+
+def call_filters(scored: DataFrame, risk: str = EVERYTHING, geo: str = EVERYTHING, min_rv: float = 0.0,
+                 active: str = EVERYTHING) -> DataFrame:
+    """P1-P3 as one condition, pushed into the scan: every option with the
+    predicate it stands for, of which those that don't narrow are left out."""
+    narrowing = [
+        (risk != EVERYTHING, lambda: F.col("risk_level") == risk),
+        (geo != EVERYTHING, lambda: F.col("Geography_Label") == geo),
+        (active in ACTIVITY, lambda: F.col("IsActiveMember") == ACTIVITY[active]),
+        ("retention_value" in scored.columns, lambda: F.col("retention_value") >= float(min_rv)),
+    ]
+    return scored.where(reduce(and_, (predicate() for chosen, predicate in narrowing if chosen), F.lit(True)))
 
 
 def customer_lookup(df: DataFrame, customer_id: int) -> DataFrame:
@@ -189,12 +199,15 @@ def first_call_list(scored: DataFrame, k: int = 10) -> DataFrame:
 
 
 # T2 / R8 / R9 / S10 --------------------------------------------------------
-def call_list(scored: DataFrame, risk: str = "ALL", geo: str = "ALL", min_rv: float = 0.0,
-              active: str = "ALL", sort_col: str = "retention_value", k: int = 100) -> DataFrame:
-    df = call_filters(scored, risk, geo, min_rv, active)
-    sort_col = sort_col if sort_col in df.columns else "retention_value"
-    return (df.orderBy(F.col(sort_col).desc(), F.col("CustomerId").asc()).limit(k)
-            .select(*present(df, CALL_COLUMNS)))
+SORTED_BY = "retention_value"
+
+
+def call_list(scored: DataFrame, sort_col: str = SORTED_BY, k: int = 100, **options) -> DataFrame:
+    """The k first customers of the filtered table; an unknown sort column
+    falls back to the retention value."""
+    key = F.col(sort_col if sort_col in scored.columns else SORTED_BY)
+    shown = call_filters(scored, **options).orderBy(key.desc(), "CustomerId").limit(k)
+    return shown.select(*present(scored, CALL_COLUMNS))
 
 
 def call_list_total(scored: DataFrame, **kw) -> DataFrame:
@@ -209,11 +222,6 @@ def export_rows(scored: DataFrame, risk: str = "ALL", geo: str = "ALL", min_rv:
     return call_filters(scored, risk, geo, min_rv, active)
 
 
-# T3 ------------------------------------------------------------------------
-def leaderboard_order(results: DataFrame) -> DataFrame:
-    return results.orderBy(F.col("Val AUC").desc(), F.col("Model"))
-
-
 # T5 ------------------------------------------------------------------------
 def customer_picker(scored: DataFrame, k: int = 200) -> DataFrame:
     label = F.format_string("ID %d | Age %d | %s | %s", F.col("CustomerId"), F.col("Age"),

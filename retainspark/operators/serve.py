@@ -13,23 +13,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators.explain import factor_array, scorecard_shapley
+from ..operators.explain import factor_array, factors_of, linear_shapley, sampled_shapley, scorecard_shapley, with_fallback
 from ..operators.features import high_value_quantiles, serving_features
 from ..operators.quality import split_valid
 from ..operators.scoring import score_model, score_scorecard
+from ..operators.train import is_linear, linear_weights
 from ..schema import MODEL_VERSION_SUFFIX
+from ..sources.files import explainer_weights
 
-RESPONSE_COLUMNS = ["churn_probability", "churn_prediction", "risk_level", "retention_value_eur",
-                    "top_risk_factors", "recommended_action", "model_version", "threshold_used", "business_optimal"]
+
+def explained(probs: DataFrame, model=None, explainer: DataFrame | None = None, background: DataFrame | None = None,
+              means: DataFrame | None = None, id_col: str = "CustomerId") -> DataFrame:
+    """``probs`` plus ``top_risk_factors`` of what gave the probabilities:
+
+    * the scorecard (no model): X1 on its terms;
+    * a model with a stored explainer (S8): X1 with its weights and means;
+    * a linear model with a background: X1 with the model's own weights;
+    * any other model with a background: X2;
+    * else the fallback list (X6)."""
+    if model is None:
+        if means is None and background is None:
+            return with_fallback(probs, None, id_col)
+        att = scorecard_shapley(probs, background, means)
+    elif explainer is not None:
+        rows = explainer_weights(explainer).collect()             # one row per feature
+        if not rows:
+            return with_fallback(probs, None, id_col)
+        att = linear_shapley(probs, {r["feature"]: r["weight"] for r in rows}, means={r["feature"]: r["background_mean"] for r in rows})
+    elif background is None:
+        return with_fallback(probs, None, id_col)
+    elif is_linear(model):
+        att = linear_shapley(probs, linear_weights(model), background)
+    else:
+        return with_fallback(probs, factors_of(sampled_shapley(model, probs, background, id_col=id_col), 3, id_col), id_col)
+    return att.withColumn("top_risk_factors", factor_array(3, with_magnitude=False))
 
 
 def score_requests(requests: DataFrame, threshold, background: DataFrame | None = None, model=None,
                    model_name: str = "scorecard", quantiles=None,
                    legacy: bool = False, id_col: str = "CustomerId",
-                   means: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                   means: DataFrame | None = None, explainer: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (responses, quarantined).  ``threshold`` is a float or a
     one-row DataFrame; ``background`` is the training feature table the
     attributions are measured against (or pass its precomputed ``means``).
+    With ``model`` the reasons are the model's own, see ``explained``.
 
     high_value_customer: by default from the training quantiles (``quantiles``,
     else computed once from ``background``); ``legacy=True`` keeps the
@@ -42,7 +69,7 @@ def score_requests(requests: DataFrame, threshold, background: DataFrame | None
         quantiles = (r["q_balance"], r["q_salary"])
     feat = serving_features(valid, quantiles, legacy=legacy)
     probs = score_model(model, feat, "_p") if model is not None else score_scorecard(feat, "_p")
-    att = scorecard_shapley(probs, background, means)
+    att = explained(probs, model, explainer, background, means, id_col)
     if isinstance(threshold, DataFrame):
         t = threshold.select(F.col(threshold.columns[0]).cast("double").alias("threshold_used"))
         att = att.crossJoin(F.broadcast(t))
@@ -54,7 +81,7 @@ def score_requests(requests: DataFrame, threshold, background: DataFrame | None
         (F.col("_p") >= F.col("threshold_used")).cast("int").alias("churn_prediction"),
         fx.risk_level("_p").alias("risk_level"),
         fx.retention_value("_p").alias("retention_value_eur"),
-        factor_array(3, with_magnitude=False).alias("top_risk_factors"),
+        "top_risk_factors",
         fx.action_text(fx.action_code()).alias("recommended_action"),
         F.lit(f"{model_name}-{MODEL_VERSION_SUFFIX}").alias("model_version"),
         F.col("threshold_used"),

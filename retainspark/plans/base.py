@@ -22,8 +22,8 @@ from ..sources.customer_base import customer_base
 
 
 class Plan:
-    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True, quantile_method: str = "auto"):
-        self.spark, self.sf_dir, self.store, self.quantile_method = spark, sf_dir, store, quantile_method
+    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
+        self.spark, self.sf_dir, self.store = spark, sf_dir, store
 
     @cached_property
     def cust_lazy(self) -> DataFrame:
@@ -36,13 +36,21 @@ class Plan:
     @cached_property
     def quantiles(self) -> tuple[float, float]:
         """F8 quantiles, resolved once (a one-row aggregate) and used as literals."""
-        r = high_value_quantiles(self.cust, self.quantile_method).first()
+        r = high_value_quantiles(self.cust).first()
         return (r["q_balance"], r["q_salary"])
 
     @cached_property
     def feat(self) -> DataFrame:
         return feature_table(self.cust, quantiles=self.quantiles)
 
+    @cached_property
+    def report(self) -> DataFrame:
+        """The scored table without the two columns that need a pass over the
+        whole table first (the F8 flag and the prediction at the business
+        threshold): reports that use neither run no other job."""
+        plain = feature_table(self.cust, quantiles=(0.0, 0.0)).drop("high_value_customer")
+        return labelled(scored_table(score_scorecard(plain), 0.0)).drop("churn_prediction")
+
     @cached_property
     def prob(self) -> DataFrame:
         return score_scorecard(self.feat)

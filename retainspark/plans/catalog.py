@@ -6,6 +6,8 @@ derives everything else from them, so its work grows with the data.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import evaluate as ev
 from ..operators import reports as rp
 from ..operators.features import train_serve_skew
@@ -69,7 +71,7 @@ _TOP = ", ".join(rp.TOP_COLUMNS)
 @register("first_call_list", O.with_ctes(*O.BASE_TO_SCORED)
           + f" SELECT {_TOP} FROM scored ORDER BY retention_value DESC, CustomerId ASC LIMIT 10")
 def q_first_call_list(spark, sf):
-    return rp.first_call_list(base.Plan(spark, sf).scored)
+    return rp.first_call_list(base.Plan(spark, sf).report)
 
 
 # --- E1-E4, E9-E12 --------------------------------------------------------------
@@ -165,7 +167,7 @@ def q_mean_clv(spark, sf):
 
 
 # --- E11 / R7 -----------------------------------------------------------------------
-def _metrics_table_sql() -> str:
+def _metrics_doc_sql() -> str:
     sw = O.sweep_ctes("prob")
     return O.with_ctes(*O.BASE_TO_PROB, sw) + _CURVE + f"""
  , f1t AS (SELECT CASE WHEN f1_at_raw > 0 THEN threshold ELSE 0.5e0 END AS t FROM sw ORDER BY f1_at_raw DESC, j LIMIT 1)
@@ -177,14 +179,18 @@ def _metrics_table_sql() -> str:
  , au AS (SELECT round_even({_div0('sum(pos * ((N - fp_ge) + 0.5e0 * neg))', 'first(P) * first(N)')}, 6) AS auc,
                  round_even(coalesce(sum(CASE WHEN pos > 0 THEN pos / P * (tp_ge / (tp_ge + fp_ge)) END), 0.0e0), 6)
                    AS ap FROM curve)
- , doc AS (SELECT auc AS test_auc, round_even({_div0('2 * tp', '2 * tp + fp + fn')}, 4) AS test_f1,
+ , doc AS (SELECT round_even(auc, 4) AS test_auc, round_even({_div0('2 * tp', '2 * tp + fp + fn')}, 4) AS test_f1,
                   round_even({_div0('tp', 'tp + fp')}, 4) AS test_precision,
                   round_even({_div0('tp', 'tp + fn')}, 4) AS test_recall,
                   round_even({_div0('tp + tn', 'tp + fp + tn + fn')}, 4) AS test_accuracy,
-                  ap AS average_precision, round_even({_div0('tp', 'tp + fn')}, 4) AS catch_rate,
+                  round_even(ap, 4) AS average_precision, round_even({_div0('tp', 'tp + fn')}, 4) AS catch_rate,
                   round_even({_div0('fp', 'fp + tn')}, 4) AS false_alarm_rate, t AS f1_optimal_threshold,
                   bt AS business_optimal_threshold, round_even(bn, 2) AS net_value_at_optimal_threshold
-           FROM cm CROSS JOIN au CROSS JOIN f1t CROSS JOIN bz)
+           FROM cm CROSS JOIN au CROSS JOIN f1t CROSS JOIN bz)"""
+
+
+def _metrics_table_sql() -> str:
+    return _metrics_doc_sql() + """
  , vals AS (SELECT 0 AS position, 'Model' AS label, 'scorecard' AS value
  """ + "".join(
         f" UNION ALL SELECT {i}, '{lab}', CASE WHEN {key} < 10 THEN printf('%.4f', {key})"
@@ -193,6 +199,38 @@ def _metrics_table_sql() -> str:
  SELECT position, label, value FROM vals"""
 
 
+_SCALARS = ["test_auc", "test_f1", "test_precision", "test_recall", "test_accuracy", "average_precision", "catch_rate", "false_alarm_rate",
+            "f1_optimal_threshold", "business_optimal_threshold", "net_value_at_optimal_threshold"]
+
+
+def _metrics_report_sql() -> str:
+    parts = [f"SELECT '{c}' AS name, 0 AS position, CAST({c} AS DOUBLE) AS value FROM doc" for c in _SCALARS]
+    parts += [f"SELECT '{n}', 0, CAST({c} AS DOUBLE) FROM cm" for n, c in (("TP", "tp"), ("FP", "fp"), ("TN", "tn"), ("FN", "fn"))]
+    parts += ["SELECT 'avg_clv', 0, round_even(CAST(cents AS DOUBLE) / 100.0e0 / (P + N), 2) FROM sw_tot",
+              "SELECT 'retention_success_rate', 0, 0.3e0", "SELECT 'cost_per_outreach', 0, 10.0e0",
+              "SELECT 'thresholds', j, threshold FROM sw", "SELECT 'f1_scores', j, round_even(f1, 4) FROM sw",
+              "SELECT 'net_values', j, round_even(net_value, 2) FROM sw"]
+    return _metrics_doc_sql() + " " + " UNION ALL ".join(parts)
+
+
+@register("metrics_report", _metrics_report_sql())
+def q_metrics_report(spark, sf):
+    """E11 flattened: (name, position, value); the curve's arrays by position."""
+    p = base.Plan(spark, sf).prob
+    f1t = ev.best_f1_threshold(p).first()["threshold"]       # one resolved value
+    doc = ev.metrics_record(p, f1t, model_name="scorecard")
+    one = lambda n, c: F.struct(F.lit(n).alias("name"), F.lit(0).alias("position"), c.cast("double").alias("value"))
+
+    def curve(n):
+        return F.transform(F.col(f"threshold_analysis.{n}"),
+                           lambda x, i: F.struct(F.lit(n).alias("name"), i.alias("position"), x.cast("double").alias("value")))
+
+    arrays = [curve(n) for n in ("thresholds", "f1_scores", "net_values")]
+    scalars = [one(c, F.col(c)) for c in [*_SCALARS, "avg_clv", "retention_success_rate", "cost_per_outreach"]]
+    scalars += [one(c, F.col(f"confusion_matrix.{c}")) for c in ("TP", "FP", "TN", "FN")]
+    return doc.select(F.explode(F.concat(F.array(*scalars), *arrays)).alias("s")).select("s.*")
+
+
 @register("metrics_table", _metrics_table_sql())
 def q_metrics_table(spark, sf):
     p = base.Plan(spark, sf).prob

@@ -19,13 +19,13 @@ S_F1 = O.with_ctes(*O.BASE_TO_SCORED) + """
 
 @register("actions", S + " SELECT CustomerId, action_code, recommended_action FROM scored")
 def q_actions(spark, sf):
-    return base.Plan(spark, sf).scored.select("CustomerId", "action_code", "recommended_action")
+    return base.Plan(spark, sf).report.select("CustomerId", "action_code", "recommended_action")
 
 
 @register("label_decode", S + " SELECT CustomerId, Geography_Label, Gender_Label, Age_Group_Label, Tenure_Label,"
           " Credit_Label FROM scored")
 def q_label_decode(spark, sf):
-    return base.Plan(spark, sf).scored.select("CustomerId", "Geography_Label", "Gender_Label", "Age_Group_Label",
+    return base.Plan(spark, sf).report.select("CustomerId", "Geography_Label", "Gender_Label", "Age_Group_Label",
                                          "Tenure_Label", "Credit_Label")
 
 
@@ -64,7 +64,7 @@ def q_score_histogram(spark, sf):
  SELECT Geography_Label AS geography, Age_Group_Label AS age_group, {O.msum('retention_value')} AS retention_value
  FROM scored WHERE Geography_Label IS NOT NULL AND Age_Group_Label IS NOT NULL GROUP BY 1, 2""")
 def q_revenue_by_segment(spark, sf):
-    return rp.revenue_by_segment(base.Plan(spark, sf).scored)
+    return rp.revenue_by_segment(base.Plan(spark, sf).report)
 
 
 def _cohort_sql() -> str:
@@ -79,7 +79,7 @@ def _cohort_sql() -> str:
 
 @register("cohort_churn", _cohort_sql())
 def q_cohort_churn(spark, sf):
-    return rp.cohort_churn(base.Plan(spark, sf).scored)
+    return rp.cohort_churn(base.Plan(spark, sf).report)
 
 
 @register("value_by_geography", S + f"""
@@ -87,7 +87,7 @@ def q_cohort_churn(spark, sf):
         {O.mavg('retention_value')} AS avg_retention_value, count(*) AS customers
  FROM scored GROUP BY 1""")
 def q_value_by_geography(spark, sf):
-    return rp.value_by_geography(base.Plan(spark, sf).scored)
+    return rp.value_by_geography(base.Plan(spark, sf).report)
 
 
 @register("worst_segment", S + f"""
@@ -96,7 +96,7 @@ def q_value_by_geography(spark, sf):
  SELECT geography, round_even(rate, 6) AS churn_rate, round_even(avg_rv, 4) AS avg_retention_value
  FROM g ORDER BY rate DESC, geography LIMIT 1""")
 def q_worst_segment(spark, sf):
-    return rp.worst_segment(base.Plan(spark, sf).scored)
+    return rp.worst_segment(base.Plan(spark, sf).report)
 
 
 # Dashboard filter state used by the call-list queries
@@ -109,14 +109,14 @@ _CALL_COLS = ", ".join(rp.CALL_COLUMNS)
  SELECT {_CALL_COLS} FROM scored WHERE {_CALL_WHERE}
  ORDER BY churn_probability DESC, CustomerId ASC LIMIT 100""")
 def q_call_list(spark, sf):
-    return rp.call_list(base.Plan(spark, sf).scored, sort_col="churn_probability", **CALL_ARGS)
+    return rp.call_list(base.Plan(spark, sf).report, sort_col="churn_probability", **CALL_ARGS)
 
 
 @register("call_list_high_risk", S + f"""
  SELECT {_CALL_COLS} FROM scored WHERE risk_level = 'HIGH' AND retention_value >= 0.0e0
  ORDER BY retention_value DESC, CustomerId ASC LIMIT 100""")
 def q_call_list_high_risk(spark, sf):
-    return rp.call_list(base.Plan(spark, sf).scored, risk="HIGH", sort_col="no_such_column")
+    return rp.call_list(base.Plan(spark, sf).report, risk="HIGH", sort_col="no_such_column")
 
 
 @register("call_list_total", S + f"""
@@ -124,12 +124,12 @@ def q_call_list_high_risk(spark, sf):
              ORDER BY churn_probability DESC, CustomerId ASC LIMIT 100)
  SELECT count(*) AS customers, {O.msum('retention_value')} AS total_retention_value FROM shown""")
 def q_call_list_total(spark, sf):
-    return rp.call_list_total(base.Plan(spark, sf).scored, sort_col="churn_probability", **CALL_ARGS)
+    return rp.call_list_total(base.Plan(spark, sf).report, sort_col="churn_probability", **CALL_ARGS)
 
 
 @register("export_rows", S + f" SELECT {_CALL_COLS} FROM scored WHERE {_CALL_WHERE}")
 def q_export_rows(spark, sf):
-    return rp.export_rows(base.Plan(spark, sf).scored, **CALL_ARGS).select(*rp.CALL_COLUMNS)
+    return rp.export_rows(base.Plan(spark, sf).report, **CALL_ARGS).select(*rp.CALL_COLUMNS)
 
 
 @register("customer_picker", S + """
@@ -137,7 +137,7 @@ def q_export_rows(spark, sf):
         || coalesce(risk_level, '?') AS label
  FROM scored ORDER BY CustomerId LIMIT 200""")
 def q_customer_picker(spark, sf):
-    return rp.customer_picker(base.Plan(spark, sf).scored)
+    return rp.customer_picker(base.Plan(spark, sf).report)
 
 
 @register("masked_aggregates", S + f"""
@@ -146,18 +146,18 @@ def q_customer_picker(spark, sf):
         {O.mavg("CASE WHEN IsActiveMember = 0 THEN retention_value END")} AS inactive_avg_value
  FROM scored""")
 def q_masked_aggregates(spark, sf):
-    return rp.masked_sums(base.Plan(spark, sf).scored)
+    return rp.masked_sums(base.Plan(spark, sf).report)
 
 
 @register("customer_lookup", S + f""" SELECT {', '.join(rp.TOP_COLUMNS)} FROM scored WHERE CustomerId = 10000007""")
 def q_customer_lookup(spark, sf):
-    return rp.customer_lookup(base.Plan(spark, sf).scored, 10000007).select(*rp.TOP_COLUMNS)
+    return rp.customer_lookup(base.Plan(spark, sf).report, 10000007).select(*rp.TOP_COLUMNS)
 
 
 @register("max_retention_value", S + """ SELECT coalesce(CAST(max(retention_value) AS DOUBLE), 500.0e0)
  AS max_retention_value FROM scored""")
 def q_max_retention_value(spark, sf):
-    return rp.column_max(base.Plan(spark, sf).scored, "retention_value", 500.0)
+    return rp.column_max(base.Plan(spark, sf).report, "retention_value", 500.0)
 
 
 # --- A1 / A2 ----------------------------------------------------------------------------

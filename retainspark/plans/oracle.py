@@ -9,7 +9,6 @@ from __future__ import annotations
 from ..schema import (ACTIONS, AGE_GROUP_LABELS, CLV_SERVING, CLV_TRAINING, CREDIT_LABELS, FEATURES,
                       GENDER_LABELS, GEOGRAPHY_LABELS, RISK_LABELS, SCORECARD_INTERCEPT, SCORECARD_WEIGHTS,
                       TENURE_LABELS, THRESHOLD_GRID, THRESHOLD_GRID_RAW)
-from ..sources.customer_base import ACTIVE_SINCE, LABEL_INTERCEPT_X10, ORDERS_SINCE, TENURE_ANCHOR
 
 
 def f(x: float) -> str:
@@ -29,46 +28,32 @@ def _q(s: str) -> str:
     return s.replace("'", "''")
 
 
-def label_logit10_sql(intercept10: int) -> str:
-    w = {k: int(round(v * 10)) for k, v in SCORECARD_WEIGHTS.items()}
-    return (f"({intercept10} + {w['germany']} * CAST(Geography = 'Germany' AS INT)"
-            f" + {w['inactive']} * CAST(IsActiveMember = 0 AS INT)"
-            f" + {w['age_over_60']} * CAST(Age > 60 AS INT) + {w['age_over_45']} * CAST(Age > 45 AS INT)"
-            f" + {w['inactive_high_balance']} * CAST(IsActiveMember = 0 AND Balance > 50000 AS INT)"
-            f" + {w['products_3_plus']} * CAST(NumOfProducts >= 3 AS INT)"
-            f" + {w['tenure_2_or_less']} * CAST(Tenure <= 2 AS INT)"
-            f" + {w['credit_below_580']} * CAST(CreditScore < 580 AS INT))")
-
-
-CUST = f"""
+CUST = """
 cust_o AS (
   SELECT o_custkey,
-         count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '{ORDERS_SINCE}') AS n2000,
-         min(o_orderdate) AS d0, max(o_orderdate) AS d1,
-         sum(CAST(round(o_totalprice * 100, 0) AS BIGINT)) AS cents
+         count(*) FILTER (WHERE o_orderdate < TIMESTAMP '2000-07-01') AS n,
+         count(*) FILTER (WHERE o_orderdate < TIMESTAMP '2000-07-01' AND o_orderdate >= TIMESTAMP '1999-01-01') AS n_recent,
+         min(o_orderdate) FILTER (WHERE o_orderdate < TIMESTAMP '2000-07-01') AS d0,
+         max(o_orderdate) FILTER (WHERE o_orderdate < TIMESTAMP '2000-07-01') AS d1,
+         sum(CAST(round(o_totalprice * 100, 0) AS BIGINT)) FILTER (WHERE o_orderdate < TIMESTAMP '2000-07-01') AS cents,
+         count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '2000-07-01') AS after_n
   FROM orders GROUP BY o_custkey
-), cust_b AS (
+), cust AS (
   SELECT CAST(c_custkey + 1 AS BIGINT) AS RowNumber,
          CAST(c_custkey + 10000000 AS BIGINT) AS CustomerId,
          c_name AS Surname,
-         CAST(300 + (c_custkey * 7919 + 13) % 551 AS INTEGER) AS CreditScore,
+         CAST(300 + least(550, coalesce(cents, 0) // greatest(coalesce(n, 0), 1) // 70000) AS INTEGER) AS CreditScore,
          CASE c_nationkey % 3 WHEN 0 THEN 'France' WHEN 1 THEN 'Germany' ELSE 'Spain' END AS Geography,
-         CASE WHEN c_custkey % 20 < 11 THEN 'Male' ELSE 'Female' END AS Gender,
-         CAST(18 + (c_custkey * 6101 + 7) % 75 AS INTEGER) AS Age,
-         CAST(coalesce(date_diff('day', CAST(d0 AS DATE), DATE '{TENURE_ANCHOR}'), 0) % 11 AS INTEGER) AS Tenure,
+         CASE c_nationkey % 2 WHEN 0 THEN 'Male' ELSE 'Female' END AS Gender,
+         CAST(18 + least(77, greatest(0, floor((c_acctbal + 1000) / 143))) AS INTEGER) AS Age,
+         CAST(least(10, coalesce(date_diff('day', CAST(d0 AS DATE), DATE '2000-07-01') // 180, 0)) AS INTEGER) AS Tenure,
          CAST(CASE WHEN c_acctbal < 2500 THEN 0.0e0 ELSE round((c_acctbal - 2500) * 33, 2) END AS DOUBLE) AS Balance,
-         CAST(least(4, greatest(1, coalesce(n2000, 0))) AS INTEGER) AS NumOfProducts,
+         CAST(least(4, greatest(1, coalesce(n_recent, 0))) AS INTEGER) AS NumOfProducts,
          CAST(CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD') THEN 1 ELSE 0 END AS INTEGER) AS HasCrCard,
-         CAST(CASE WHEN d1 >= TIMESTAMP '{ACTIVE_SINCE}' THEN 1 ELSE 0 END AS INTEGER) AS IsActiveMember,
-         10000.0e0 + CAST(coalesce(cents, 0) % 19000000 AS DOUBLE) / 100 AS EstimatedSalary,
-         c_custkey AS _key
+         CAST(CASE WHEN d1 >= TIMESTAMP '2000-01-01' THEN 1 ELSE 0 END AS INTEGER) AS IsActiveMember,
+         10000.0e0 + CAST(least(19000000, coalesce(cents, 0) // 24) AS DOUBLE) / 100 AS EstimatedSalary,
+         CAST(coalesce(after_n, 0) = 0 AS INTEGER) AS Exited
   FROM customer LEFT JOIN cust_o ON c_custkey = o_custkey
-), cust AS (
-  SELECT RowNumber, CustomerId, Surname, CreditScore, Geography, Gender, Age, Tenure, Balance,
-         NumOfProducts, HasCrCard, IsActiveMember, EstimatedSalary,
-         CAST(CASE WHEN (_key * 4099 + 17) % 1000 < 1000.0e0 / (1.0e0 + exp(-{label_logit10_sql(LABEL_INTERCEPT_X10)} / 10.0e0))
-              THEN 1 ELSE 0 END AS INTEGER) AS Exited
-  FROM cust_b
 )"""
 
 

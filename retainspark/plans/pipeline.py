@@ -79,11 +79,10 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, rounds: int = 4
     train = splits.where(F.col("split") == "train")
     if best_name == "LogisticRegression":
         w = tr.linear_weights(best)
-        att = xp.linear_shapley(scored, w, background=train)
-        means = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in FEATURES]).first().asDict()
-        long_phi = xp.long_attributions(att)
+        means = xp.feature_means(train)
+        long_phi = xp.long_attributions(xp.linear_shapley(scored, w, means=means))
+        files.write_parquet(files.explainer_table(spark, w, means, best_name), p("explainer"))
     else:
-        w, means = {}, {}
         long_phi = xp.sampled_shapley(best, scored, background=train, permutations=shapley_permutations,
                                       background_size=shapley_background)
     long_phi = _store(long_phi, p("attributions"))
@@ -91,7 +90,6 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, rounds: int = 4
                                                                    .alias("mean_abs_shap"))
                   .orderBy(F.col("mean_abs_shap").desc(), "feature_index").limit(15))
     files.write_csv(importance.select("feature", "mean_abs_shap"), p("feature_importance"))
-    files.write_parquet(files.explainer_table(spark, w, means, best_name), p("explainer"))
     return {"model": best_name, "f1_threshold": f1_t, "business_threshold": biz, "out": out_dir,
             "gates": gates.asDict()}
 

@@ -1,7 +1,9 @@
 """S3: the customer-base table (14 columns, one row per customer).
 
-Derived from ``customer`` LEFT JOIN (``orders`` aggregated per customer).
-The aggregate is partial/final (map-side combine), so a customer holding a
+Derived from ``customer`` LEFT JOIN (``orders`` aggregated per customer).  The
+label is observed, not computed from the features: a customer has left if no
+order follows the cut-off date.  Every feature uses only what was known before
+it.  The aggregate is partial/final (map-side combine), so a customer holding a
 large share of all orders costs one row per map task, not a hot reducer;
 the join then sees one row per key on both sides and reuses the aggregate's
 hash partitioning on the customer key.
@@ -12,14 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scorecard import label_logit10
-
 # Reference dates of the derivation
-ORDERS_SINCE = "2000-01-01"
-TENURE_ANCHOR = "2002-01-01"
-ACTIVE_SINCE = "2001-02-01"
-# The label intercept (x10) that puts the churn rate in 15-25 %
-LABEL_INTERCEPT_X10 = -52
+CUTOFF = "2000-07-01"
+RECENT_SINCE = "1999-01-01"
+ACTIVE_SINCE = "2000-01-01"
 
 
 def _ts(orders: DataFrame, value: str):
@@ -31,14 +29,20 @@ def _ts(orders: DataFrame, value: str):
 
 
 def order_summary(orders: DataFrame) -> DataFrame:
-    """Per-customer order statistics: one partial + final aggregate."""
+    """Per-customer order statistics: one partial + final aggregate.  All but
+    ``after`` look at orders before the cut-off only."""
+    date = F.col("o_orderdate")
+    known = date < _ts(orders, CUTOFF)
+    cents = F.round(F.col("o_totalprice") * 100, 0).cast("bigint")
     return (orders
             .select("o_custkey", "o_orderdate", "o_totalprice")
             .groupBy("o_custkey")
-            .agg(F.count_if(F.col("o_orderdate") >= _ts(orders, ORDERS_SINCE)).alias("n2000"),
-                 F.min("o_orderdate").alias("d0"),
-                 F.max("o_orderdate").alias("d1"),
-                 F.sum(F.round(F.col("o_totalprice") * 100, 0).cast("bigint")).alias("cents")))
+            .agg(F.count_if(known).alias("n"),
+                 F.count_if(known & (date >= _ts(orders, RECENT_SINCE))).alias("n_recent"),
+                 F.min(F.when(known, date)).alias("d0"),
+                 F.max(F.when(known, date)).alias("d1"),
+                 F.sum(F.when(known, cents)).alias("cents"),
+                 F.count_if(~known).alias("after")))
 
 
 def customer_base(customer: DataFrame, orders: DataFrame) -> DataFrame:
@@ -50,76 +54,32 @@ def customer_base(customer: DataFrame, orders: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
     geo_code = F.col("c_nationkey") % 3
     geography = (F.when(geo_code == 0, "France").when(geo_code == 1, "Germany").otherwise("Spain"))
-    gender = F.when(key % 20 < 11, "Male").otherwise("Female")
-    credit = (F.lit(300) + (key * 7919 + 13) % 551).cast("int")
-    age = (F.lit(18) + (key * 6101 + 7) % 75).cast("int")
-    tenure = (F.coalesce(F.datediff(F.lit(TENURE_ANCHOR).cast("date"), F.col("d0").cast("date")),
-                         F.lit(0)) % 11).cast("int")
+    gender = F.when(F.col("c_nationkey") % 2 == 0, "Male").otherwise("Female")
+    cents = F.coalesce(F.col("cents"), F.lit(0))
+    # 300 to 850 by the mean order, 18 to 95 by the account balance
+    credit = F.lit(300) + F.least(F.lit(550), F.expr("coalesce(cents, 0) div greatest(coalesce(n, 0), 1) div 70000"))
+    age = F.lit(18) + F.least(F.lit(77), F.greatest(F.lit(0), F.floor((F.col("c_acctbal") + 1000) / 143)))
+    days = F.datediff(F.lit(CUTOFF).cast("date"), F.col("d0").cast("date"))
+    tenure = F.least(F.lit(10), F.coalesce(F.floor(days / 180), F.lit(0)))
     balance = (F.when(F.col("c_acctbal") < 2500, F.lit(0.0))
                .otherwise(F.round((F.col("c_acctbal") - 2500) * 33, 2))).cast("double")
-    products = F.least(F.lit(4), F.greatest(F.lit(1), F.coalesce(F.col("n2000"), F.lit(0)))).cast("int")
+    products = F.least(F.lit(4), F.greatest(F.lit(1), F.coalesce(F.col("n_recent"), F.lit(0))))
     card = F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING", "HOUSEHOLD"), 1).otherwise(0)
     active = F.when(F.col("d1") >= _ts(orders, ACTIVE_SINCE), 1).otherwise(0)
-    salary = (F.lit(10000.0) + (F.coalesce(F.col("cents"), F.lit(0)) % 19000000).cast("double") / 100)
-
-    base = j.select(
+    salary = F.lit(10000.0) + F.least(F.lit(19_000_000), F.floor(cents / 24)).cast("double") / 100
+    return j.select(
         (key + 1).cast("long").alias("RowNumber"),
         (key + 10000000).cast("long").alias("CustomerId"),
         F.col("c_name").alias("Surname"),
-        credit.alias("CreditScore"),
+        credit.cast("int").alias("CreditScore"),
         geography.alias("Geography"),
         gender.alias("Gender"),
-        age.alias("Age"),
-        tenure.alias("Tenure"),
+        age.cast("int").alias("Age"),
+        tenure.cast("int").alias("Tenure"),
         balance.alias("Balance"),
-        products.alias("NumOfProducts"),
+        products.cast("int").alias("NumOfProducts"),
         card.cast("int").alias("HasCrCard"),
         active.cast("int").alias("IsActiveMember"),
         salary.alias("EstimatedSalary"),
-        key.alias("_key"),
-    )
-    s10 = label_logit10(LABEL_INTERCEPT_X10)
-    exited = F.when((F.col("_key") * 4099 + 17) % 1000 < F.lit(1000.0) / (F.lit(1.0) + F.exp(-s10 / F.lit(10.0))),
-                    1).otherwise(0)
-    return base.withColumn("Exited", exited.cast("int")).drop("_key")
-
-
-def customer_base_sql() -> str:
-    """DuckDB twin of :func:`customer_base` (a CTE body)."""
-    return f"""
-    WITH o AS (
-      SELECT o_custkey,
-             count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '{ORDERS_SINCE}') AS n2000,
-             min(o_orderdate) AS d0, max(o_orderdate) AS d1,
-             sum(CAST(round(o_totalprice * 100, 0) AS BIGINT)) AS cents
-      FROM orders GROUP BY o_custkey
-    ), b AS (
-      SELECT CAST(c_custkey + 1 AS BIGINT) AS RowNumber,
-             CAST(c_custkey + 10000000 AS BIGINT) AS CustomerId,
-             c_name AS Surname,
-             CAST(300 + (c_custkey * 7919 + 13) % 551 AS INTEGER) AS CreditScore,
-             CASE c_nationkey % 3 WHEN 0 THEN 'France' WHEN 1 THEN 'Germany' ELSE 'Spain' END AS Geography,
-             CASE WHEN c_custkey % 20 < 11 THEN 'Male' ELSE 'Female' END AS Gender,
-             CAST(18 + (c_custkey * 6101 + 7) % 75 AS INTEGER) AS Age,
-             CAST(coalesce(date_diff('day', CAST(d0 AS DATE), DATE '{TENURE_ANCHOR}'), 0) % 11 AS INTEGER) AS Tenure,
-             CAST(CASE WHEN c_acctbal < 2500 THEN 0.0 ELSE round((c_acctbal - 2500) * 33, 2) END AS DOUBLE) AS Balance,
-             CAST(least(4, greatest(1, coalesce(n2000, 0))) AS INTEGER) AS NumOfProducts,
-             CAST(CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD') THEN 1 ELSE 0 END AS INTEGER) AS HasCrCard,
-             CAST(CASE WHEN d1 >= TIMESTAMP '{ACTIVE_SINCE}' THEN 1 ELSE 0 END AS INTEGER) AS IsActiveMember,
-             10000.0e0 + CAST(coalesce(cents, 0) % 19000000 AS DOUBLE) / 100 AS EstimatedSalary,
-             c_custkey AS _key
-      FROM customer LEFT JOIN o ON c_custkey = o_custkey
+        F.when(F.coalesce(F.col("after"), F.lit(0)) == 0, 1).otherwise(0).cast("int").alias("Exited"),
     )
-    SELECT RowNumber, CustomerId, Surname, CreditScore, Geography, Gender, Age, Tenure, Balance,
-           NumOfProducts, HasCrCard, IsActiveMember, EstimatedSalary,
-           CAST(CASE WHEN (_key * 4099 + 17) % 1000 < 1000.0e0 / (1.0e0 + exp(-({label_logit10_sql(LABEL_INTERCEPT_X10)}) / 10.0e0))
-                THEN 1 ELSE 0 END AS INTEGER) AS Exited
-    FROM b"""
-
-
-def label_logit10_sql(intercept10: int) -> str:
-    return (f"({intercept10} + 15 * (Geography = 'Germany')::INT + 13 * (IsActiveMember = 0)::INT"
-            f" + 10 * (Age > 60)::INT + 5 * (Age > 45)::INT"
-            f" + 18 * (Balance > 50000 AND IsActiveMember = 0)::INT + 8 * (NumOfProducts >= 3)::INT"
-            f" + 5 * (Tenure <= 2)::INT + 4 * (CreditScore < 580)::INT)")
-

@@ -7,15 +7,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from ..schema import REQUEST_SCHEMA
+from .files import CORRUPT
 
 REQUEST_FIELDS = [f.name for f in REQUEST_SCHEMA.fields]
 
 
+#: The request schema with a place for the raw text of a malformed record.
+INTAKE_SCHEMA = T.StructType([*REQUEST_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def intake(reader):
+    """Options of a JSON reader (batch or stream) that keep malformed records."""
+    return reader.schema(INTAKE_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+
+
 def read_requests_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Customer records as JSON lines (or one JSON array with multiline)."""
-    return (spark.read.schema(REQUEST_SCHEMA).option("multiLine", multiline)
-            .option("mode", "PERMISSIVE").json(path))
+    """Customer records as JSON lines (or one JSON array with multiline); a
+    malformed one keeps its raw text in the ``CORRUPT`` column."""
+    return intake(spark.read).option("multiLine", multiline).json(path)
 
 
 # Fixed rule: defect number k = (RowNumber * 37) % 101; k in 1..15 places one defect

@@ -19,16 +19,18 @@ from pyspark.sql import functions as F
 from ..operators.explain import term_means
 from ..operators.features import high_value_quantiles
 from ..operators.serve import score_requests
-from ..schema import REQUEST_SCHEMA
+from ..sources.requests import intake
 
 
 def score_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
                  threshold, background: DataFrame, available_now: bool = True,
-                 max_files_per_trigger: int | None = None, legacy: bool = False):
+                 max_files_per_trigger: int | None = None, legacy: bool = False, model=None,
+                 model_name: str = "scorecard", explainer: DataFrame | None = None):
     """Start the stream; returns the ``StreamingQuery``.  Responses land in
     ``output_dir/responses``, bad records in ``output_dir/quarantine``.
     Background term means and (unless ``legacy``) the training quantiles for
-    high_value_customer are resolved once, before the first micro-batch."""
+    high_value_customer are resolved once, before the first micro-batch.  With
+    ``model`` (and its ``explainer``) the stream serves the trained model."""
     means = term_means(background).checkpoint(eager=True)
     quantiles = None
     if not legacy:
@@ -36,16 +38,19 @@ def score_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoin
         quantiles = (r["q_balance"], r["q_salary"])
     if isinstance(threshold, DataFrame):
         threshold = threshold.select(F.col(threshold.columns[0]).cast("double").alias("t")).checkpoint(eager=True)
-    reader = spark.readStream.schema(REQUEST_SCHEMA)
+    reader = intake(spark.readStream)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(input_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        resp, bad = score_requests(batch, threshold, means=means, quantiles=quantiles, legacy=legacy)
+        batch = batch.persist()                             # read and parsed once for both sinks
+        resp, bad = score_requests(batch, threshold, background if model is not None else None, model, model_name, quantiles,
+                                   legacy, means=means, explainer=explainer)
         # one folder per batch id, overwritten on replay: idempotent after a restart
         resp.write.mode("overwrite").parquet(os.path.join(output_dir, "responses", f"batch_id={batch_id}"))
         bad.write.mode("overwrite").parquet(os.path.join(output_dir, "quarantine", f"batch_id={batch_id}"))
+        batch.unpersist()
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

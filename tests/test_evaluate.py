@@ -142,3 +142,13 @@ def test_crowded_scores_stay_exact(spark):
     curve = ev.score_curve(df, buckets=8)
     sizes = [r["count"] for r in curve.groupBy().agg(F.count("*").alias("count")).collect()]
     assert sizes == [2002]
+
+
+def test_curves_of_hard_scores(spark):
+    empty = spark.createDataFrame([], "churn_probability double, Exited int")
+    assert ev.auc_exact(empty).first()["positives"] is None and ev.roc_points(empty).count() == 0
+    one = spark.createDataFrame([(0.5, 1), (0.5, 0)], "churn_probability double, Exited int")
+    assert ev.auc_exact(one).first()["auc"] == 0.5
+    for bad in (None, float("nan")):
+        with pytest.raises(ValueError, match="1 rows"):
+            ev.auc_exact(spark.createDataFrame([(0.1, 0), (bad, 1)], "churn_probability double, Exited int"))

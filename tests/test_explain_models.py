@@ -13,7 +13,7 @@ from retainspark.operators import split as sp
 from retainspark.operators import train as tr
 from retainspark.operators.scoring import score_model
 from retainspark.plans import base
-from retainspark.schema import FEATURES, RAW_SCHEMA
+from retainspark.schema import FEATURES, RAW_SCHEMA, RISK_LABELS
 
 
 @pytest.fixture(scope="module")
@@ -89,14 +89,56 @@ def test_sampled_shapley_path_sums(spark, splits):
     train = sp.with_weights(splits.where(F.col("split") == "train"))
     model = tr.estimators(1, trees=5)["RandomForest"].fit(train)
     rows = splits.limit(20)
-    phi = xp.sampled_shapley(model, rows, background=train, permutations=3, background_size=8)
-    sums = phi.groupBy("CustomerId").agg(F.sum("phi").alias("s"))
-    # with K paths, sum of phi = f(x) - mean_k f(b_k); check via the full-vector bounds
-    fx_ = score_model(model, rows).select("CustomerId", "churn_probability")
-    j = sums.join(fx_, "CustomerId").collect()
-    assert len(j) == 20
-    assert all(-1.0 <= r["s"] <= 1.0 for r in j)
-    assert phi.groupBy("CustomerId").count().agg(F.max("count")).first()[0] == len(FEATURES)
+    phi = xp.sampled_shapley(model, rows, background=train, permutations=3, background_size=8, digits=None)
+    sums = {r[0]: r[1] for r in phi.groupBy("CustomerId").agg(F.sum("phi")).collect()}
+    # the steps of a path add up to f(x) - f(b): with K paths, phi to f(x) - mean_k f(b_k)
+    f = {r["CustomerId"]: r["churn_probability"] for r in score_model(model, rows).collect()}
+    paths = xp.sampled_paths(rows, train, FEATURES, 3, 8, 42, "CustomerId")
+    ends = paths.select("CustomerId", *[F.get("bvec", F.lit(i)).alias(c) for i, c in enumerate(FEATURES)])
+    start = {r[0]: r[1] for r in score_model(model, ends).groupBy("CustomerId").agg(F.avg("churn_probability")).collect()}
+    assert len(sums) == 20
+    assert all(sums[i] == pytest.approx(f[i] - start[i], abs=1e-9) for i in f)
+    assert {r[1] for r in phi.groupBy("CustomerId").count().collect()} == {len(FEATURES)}
+
+
+def test_sampled_shapley_with_few_background_rows(spark, splits):
+    model = tr.estimators(1, trees=3)["RandomForest"].fit(sp.with_weights(splits))
+    rows = splits.limit(20)
+    phi = xp.sampled_shapley(model, rows, background=rows.limit(4), permutations=2, background_size=32)
+    assert phi.count() == 20 * len(FEATURES)
+    with pytest.raises(ValueError):
+        xp.sampled_shapley(model, rows, background=rows.limit(0))
+
+
+def test_serving_explains_the_model_it_uses(spark, splits, sf_small):
+    from retainspark.operators.serve import score_requests
+    from retainspark.sources import files
+    from retainspark.sources.requests import requests_from_base
+    train = sp.with_weights(splits.where(F.col("split") == "train"))
+    req = requests_from_base(base.cust(spark, sf_small)).limit(30)
+    model = tr.estimators(1000)["LogisticRegression"].fit(train)
+    path = os.path.join(tempfile.mkdtemp(prefix="exp-", dir="/tmp"), "explainer")
+    files.write_parquet(files.explainer_table(spark, tr.linear_weights(model), xp.feature_means(train), "lr"), path)
+    say = lambda **kw: {r["CustomerId"]: r["top_risk_factors"] for r in score_requests(req, 0.5, quantiles=(1.0, 1.0), **kw)[0].collect()}
+    own = say(model=model, background=train)
+    assert own == say(model=model, explainer=spark.read.parquet(path)) != say(background=train)
+    assert set(map(tuple, say(model=model).values())) == {tuple(xp.FALLBACK_FACTORS)}
+    flat = files.explainer_table(spark, {"Age": 1.0}, dict.fromkeys(FEATURES, 0.0), "age")
+    assert {f[0].split(" (")[0] for f in say(model=model, explainer=flat).values()} == {RISK_LABELS.get("Age", "Age")}
+    forest = tr.estimators(1, trees=3)["RandomForest"].fit(train)
+    assert all(len(f) == 3 for f in say(model=forest, background=train).values())
+
+
+def test_malformed_records_are_kept(spark):
+    from retainspark.operators.quality import split_valid
+    from retainspark.sources import files
+    from retainspark.sources.requests import read_requests_json
+    root = tempfile.mkdtemp(prefix="bad-", dir="/tmp")
+    with open(os.path.join(root, "r.json"), "w") as out:
+        out.write('{"CustomerId": 1, "Age": }\n{"CustomerId": 2}\n')
+    good, bad = split_valid(read_requests_json(spark, root).cache())
+    rows = {r[files.CORRUPT]: r["violations"] for r in bad.collect()}
+    assert good.count() == 0 and rows['{"CustomerId": 1, "Age": }'] == ["malformed_record"] and len(rows[None]) > 5
 
 
 def test_stream_equals_batch(spark, sf_small):

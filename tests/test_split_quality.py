@@ -1,5 +1,7 @@
 """M1/M2 split properties and golden sizes; V1-V7 gates and contract."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,17 +93,62 @@ def test_profile_matches_pandas(spark, sf_small):
         assert prof[c]["std"] == pytest.approx(d[c]["std"], abs=1e-4)
 
 
-def test_histogram_quantile_exact(spark):
-    from retainspark.operators.quantile import column_quantiles
-    df = spark.range(1, 10_001).select((F.col("id") * 1.5 % 977).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
-    a = column_quantiles(df, {"x": "qx", "y": "qy"}, 0.75, "exact").first()
-    b = column_quantiles(df, {"x": "qx", "y": "qy"}, 0.75, "histogram").first()
-    assert a["qx"] == pytest.approx(b["qx"]) and a["qy"] == pytest.approx(b["qy"])
+def _percentile(df, c, q):
+    return df.agg(F.percentile(F.col(c), F.lit(q))).first()[0]
 
 
-def test_profile_histogram_equals_exact(spark, sf_small):
-    from retainspark.plans import base
-    cust = base.cust(spark, sf_small)
-    a = {r["column"]: r.asDict() for r in qa.profile(cust, quantile_method="exact").collect()}
-    b = {r["column"]: r.asDict() for r in qa.profile(cust, quantile_method="histogram").collect()}
-    assert a == b
+def test_quantiles_equal_percentile_bit_for_bit(spark):
+    from retainspark.operators.quantile import quantiles
+    rng = random.Random(5)
+    rows = [(round(rng.uniform(0, 250_000), 2), rng.choice([0.0, 0.0, 1.5, 7.25]), 10.0 ** rng.randint(-275, 275), None if i % 3 else -float(i)) for i in range(4001)]
+    df = spark.createDataFrame(rows, "money double, ties double, spread double, gaps double").repartition(5)
+    cols, qs = df.columns, [0.0, 0.25, 0.5, 0.75, 0.901, 1.0]
+    found = quantiles(df, cols, qs)
+    assert found == {(c, q): _percentile(df, c, q) for c in cols for q in qs}
+
+
+@pytest.mark.parametrize("accuracy", [2, 7, 100])
+def test_quantiles_settle_with_any_sketch(spark, monkeypatch, accuracy):
+    from retainspark.operators import quantile
+    monkeypatch.setattr(quantile, "ACCURACY", accuracy)
+    df = spark.createDataFrame([(10.0 ** i,) for i in range(-60, 61)] + [(1.0,)] * 30, "x double")
+    assert quantile.quantiles(df, ["x"], [0.25, 0.5]) == {("x", q): _percentile(df, "x", q) for q in (0.25, 0.5)}
+
+
+def test_quantiles_of_nothing(spark):
+    from retainspark.operators.quantile import quantiles
+    df = spark.createDataFrame([(None, 1.0), (None, float("nan"))], "x double, y double")
+    found = quantiles(df, ["x", "y"], [0.5, 0.0])
+    assert found["x", 0.5] is None and found["y", 0.0] == 1.0
+    assert quantiles(df.limit(0), ["y"], [0.5]) == {("y", 0.5): None}
+
+
+
+def test_null_labels_are_refused(spark):
+    df = _labelled(spark, 100, 20).withColumn("Exited", F.when(F.col("CustomerId") % 10 != 0, F.col("Exited")))
+    for run in (sp.stratified_split, sp.with_weights):
+        with pytest.raises(ValueError, match="10 rows"):
+            run(df)
+
+
+def test_split_equals_a_ranking_of_all_rows(spark):
+    for n, npos in ((1000, 203), (37, 5), (3, 1), (50, 0), (50, 50)):
+        df = _labelled(spark, n, npos)
+        got = {r[0]: r[2] for r in sp.stratified_split(df).collect()}
+        q = sp.quotas(n, npos)
+        import hashlib
+        for y in (0, 1):
+            ids = [10_000_000 + i for i in range(n) if (i < npos) == bool(y)]
+            ids.sort(key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))
+            k, v = q[y, "test"], q[y, "test"] + q[y, "val"]
+            assert [got[i] for i in ids] == ["test"] * k + ["val"] * (v - k) + ["train"] * (len(ids) - v)
+
+
+def test_quotas_at_any_size():
+    big = sp.quotas(10 ** 12, 18 * 10 ** 10)
+    assert big[1, "test"] == 36 * 10 ** 9 and sum(big.values()) == 3 * 10 ** 11
+
+
+def test_split_needs_no_shuffle_of_rows(spark):
+    plan = sp.stratified_split(_labelled(spark, 1000, 200))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
