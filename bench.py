@@ -20,6 +20,7 @@ HEADLINE = [
     "customer_base", "features", "scored", "first_call_list", "threshold_sweep", "auc_exact",
     "average_precision", "split_membership", "batch_scores", "top_factors", "global_importance",
     "cohort_churn", "kpis", "call_list", "profile", "contract_violations", "stream_scored", "model_scores",
+    "sampled_shapley", "leaderboard",
 ]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -57,15 +58,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_tables: list[str] = []     # what this process has written with materialize()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint
-    folder and reading it back (survives executor loss, unlike caching)."""
+    folder and reading it back (survives executor loss, unlike caching).  The
+    table stays while frames may still read it: until ``release`` or the end
+    of the process."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    _tables.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+@atexit.register
+def release() -> None:
+    """Delete the tables of ``materialize``; frames that read them end here."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

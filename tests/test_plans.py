@@ -110,3 +110,14 @@ def test_label_is_observed_after_the_cutoff(spark, sf_small):
     cust = {r["CustomerId"] - 10_000_000: r["Exited"] for r in base.cust(spark, sf_small).collect()}
     later = {r[0] for r in table(spark, sf_small, "orders").where("o_orderdate >= timestamp'2000-07-01'").select("o_custkey").distinct().collect()}
     assert all(left == int(key not in later) for key, left in cust.items()) and 0 < sum(cust.values()) < len(cust)
+
+
+def test_released_tables_are_gone(spark, monkeypatch):
+    import os
+    from retainspark import session
+    monkeypatch.setattr(session, "_tables", [])
+    kept = session.materialize(spark.range(5), "gone")
+    path = session._tables[0].removeprefix("file:")
+    assert kept.count() == 5 and os.path.isdir(path)
+    session.release()
+    assert not os.path.exists(path) and session._tables == []
