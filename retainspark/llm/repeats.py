@@ -196,7 +196,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     held = met.select(F.col("text_key").alias("of")).distinct().join(by_text, "of", "left")
     packed = texts(docs)
     held = stored(packed.join(held, packed["text_key"] == held["of"]).drop("of").dropDuplicates(["text_key"]), "repeats-texts")
-    strings = stored(_strings(held.where(F.col("reps").isNotNull()), length), "repeats-strings")
+    strings = _strings(held.where(F.col("reps").isNotNull()), length)  # made twice rather than written: there are more of them than text
     twice = strings.groupBy(F.col("suffix").alias("s"), F.col("string").alias("t")).agg(F.sum("copies").alias("n")).where(F.col("n") > 1).drop("n")
     # of a surrounding that occurs twice all strings repeat: only single ones need their list
     single = strings.where("copies = 1").join(twice, (F.col("suffix") == F.col("s")) & (F.col("string") == F.col("t")))
