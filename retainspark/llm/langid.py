@@ -35,6 +35,7 @@ HIDDEN = 8
 STEPS, LANES, WINDOW, RATE = 500, 128, 48, 0.02
 SEGMENT, CONTEXT = 512, 24
 SLICE_BYTES = 2 << 20
+LANES_AT_ONCE = 4096
 HELD_OUT_MOD, HELD_OUT = 5, 0
 #: A document whose best language has a lower mean probability is rejected.
 MIN_SCORE = 0.4
@@ -181,11 +182,17 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     """For each text the mean over all its positions of the languages'
     probabilities (zeros for an empty text)."""
     grid, owner, own = _lanes(texts)
+    total = np.zeros((len(texts), len(net.langs)))
+    for at in range(0, len(owner), LANES_AT_ONCE):  # however short the texts, the states of so many lanes at most
+        to = at + LANES_AT_ONCE
+        np.add.at(total, owner[at:to], _pooled(net, np.ascontiguousarray(grid[:, at:to]), own[at:to]))
+    return total / np.maximum(np.array([len(t) for t in texts]), 1)[:, None]
+
+
+def _pooled(net: Network, grid: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Each lane's probabilities, summed over its own positions."""
     time, lanes = grid.shape
     classes, hidden = len(net.langs), net.f.h[0].shape[0]
-    total = np.zeros((len(texts), classes))
-    if not lanes:
-        return total
     ahead = np.empty((time, lanes, classes), np.float32)
     h = np.zeros((lanes, hidden), np.float32)
     for t in range(time):
@@ -203,8 +210,7 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
             np.exp(p, out=p)
             p *= ((own > t - CONTEXT) / p.sum(axis=1))[:, None].astype(np.float32)
             pooled += p
-    np.add.at(total, owner, pooled)
-    return total / np.maximum(np.array([len(t) for t in texts]), 1)[:, None]
+    return pooled
 
 
 def _advance(gru: Gru, byte: np.ndarray, h: np.ndarray) -> np.ndarray:
