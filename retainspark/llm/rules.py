@@ -44,9 +44,9 @@ WIDENING = 1.3
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base rules, ``classes`` (character
-    counts by class, white space and the rest last) and ``common`` (counts of
-    each language's common words)."""
+    """One row per document: counts of the base rules, and the histograms as
+    shares: ``p_classes`` (character classes, white space and the rest last) and
+    for each language ``p_<lang>`` (its common words, all other words last)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     d = d.select("doc_id", "lang", "t", F.array_remove(F.split("t", SPACE), "").alias("w"), F.regexp_replace("t", SPACE, "").alias("r0"),
@@ -70,23 +70,19 @@ def measured(docs: DataFrame) -> DataFrame:
     repeat = F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
     count = lambda w: F.size("c") - F.size(F.array_remove("c", w))
     d = d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), "classes",
-                 F.array(*[count(w) for ws in COMMON_WORDS.values() for w in ws]).alias("common"))
+                 *[F.array(*[count(w) for w in ws]).alias(f"common_{g}") for g, ws in COMMON_WORDS.items()])
+    # the histograms as shares, worked out once: a language's common words with all other words last
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    share = lambda c, of: F.transform(c, lambda x: x / of)
+    d = d.withColumns({"chars": F.greatest(total("classes"), F.lit(1)), "words": F.greatest("n_words", F.lit(1)),
+                       **{f"known_{g}": total(f"common_{g}") for g in COMMON_WORDS}})
+    d = d.withColumns({"p_classes": share("classes", F.col("chars")),
+                       **{f"p_{g}": F.concat(share(f"common_{g}", F.col("words")), F.array((F.col("words") - F.col(f"known_{g}")) / F.col("words"))) for g in COMMON_WORDS}})
+    d = d.drop("classes", "chars", "words", *[f"{c}_{g}" for c in ("common", "known") for g in COMMON_WORDS])
     failed = (F.col("n_words") < BASE_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * BASE_REPEAT_PERCENT)
     return d.withColumn("base_failed", failed)
 
 
-def _shares(i: int) -> tuple[list[Column], list[Column]]:
-    """A document's histograms as shares: classes, and the i-th language's
-    common words with all other words last."""
-    k = len(next(iter(COMMON_WORDS.values())))
-    chars = F.greatest(F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    own = [F.get("common", F.lit(i * k + j)) for j in range(k)]
-    known = sum(own[1:], own[0])
-    classes = [F.get("classes", F.lit(j)) / chars for j in range(len(CLASSES) + 2)]
-    return classes, [x / words for x in own] + [(words - known) / words]
-
-
 def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Mean histograms of each language's documents that pass the base rules:
     one row per language comes to the driver."""
@@ -94,23 +90,22 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     langs = list(COMMON_WORDS)
     picked = rows.where(~F.col("base_failed") & F.col("lang").isin(langs))
     k, m = len(CLASSES) + 2, len(COMMON_WORDS[langs[0]]) + 1
-    shares = [_shares(i) for i in range(len(langs))]
-    by_lang = lambda j: F.coalesce(*[F.when(F.col("lang") == g, shares[i][1][j]) for i, g in enumerate(langs)])
-    flat = picked.select("lang", *[x.alias(f"a{j}") for j, x in enumerate(shares[0][0])], *[by_lang(j).alias(f"b{j}") for j in range(m)])
+    own = F.coalesce(*[F.when(F.col("lang") == g, F.col(f"p_{g}")) for g in langs])
+    flat = picked.select("lang", "p_classes", own.alias("p_own"))
+    flat = flat.select("lang", *[F.get("p_classes", F.lit(j)).alias(f"a{j}") for j in range(k)], *[F.get("p_own", F.lit(j)).alias(f"b{j}") for j in range(m)])
     for r in flat.groupBy("lang").agg(*[F.avg(f"a{j}") for j in range(k)], *[F.avg(f"b{j}") for j in range(m)]).collect():
         out[r[0]] = (list(r[1:1 + k]), list(r[1 + k:]))
     return out
 
 
-def divergence(p: list[Column], q: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of a row's shares from fixed ones."""
-    def part(x: Column, y: float) -> Column:
-        m = (x + F.lit(y)) / 2
-        a = F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-        b = F.lit(y) * F.log2(F.lit(y) / m) if y > 0 else F.lit(0.0)
-        return a + b
-    total = sum([part(x, y) for x, y in zip(p[1:], q[1:])], part(p[0], q[0]))
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+def divergence(p: Column, q: list[float]) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of a row's shares, an array, from
+    fixed ones."""
+    def part(x: Column, y: Column) -> Column:
+        m = (x + y) / 2
+        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0)) + F.when(y > 0, y * F.log2(y / m)).otherwise(F.lit(0.0))
+    terms = F.zip_with(p, F.array(*[F.lit(float(y)) for y in q]), part)
+    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -119,10 +114,9 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = stored(measured(docs), "rules-measured")
     known = references(rows)
     each = []
-    for i, lang in enumerate(COMMON_WORDS):
+    for lang in COMMON_WORDS:
         if lang in known:
-            classes, words = _shares(i)
-            each.append((divergence(classes, known[lang][0]) + divergence(words, known[lang][1])) / 2)
+            each.append((divergence(F.col("p_classes"), known[lang][0]) + divergence(F.col(f"p_{lang}"), known[lang][1])) / 2)
     nearest = each[0] if len(each) == 1 else F.least(*each) if each else F.lit(None).cast("double")
     limit = F.lit(MAX_DISTANCE) + F.lit(WIDENING) / F.sqrt(F.greatest("n_words", F.lit(1)))
     d = rows.withColumn("distance", F.when(F.col("n_words") >= MIN_WORDS, nearest))

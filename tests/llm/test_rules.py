@@ -39,7 +39,7 @@ def test_counts_by_hand(spark, make_docs, text):
 def test_divergence_is_jensen_shannon(spark):
     from pyspark.sql import functions as F
     p, q = [0.5, 0.5, 0.0], [0.1, 0.0, 0.9]
-    got = spark.range(1).select(m.divergence([F.lit(x) for x in p], q)).first()[0]
+    got = spark.range(1).select(m.divergence(F.array(*[F.lit(x) for x in p]), q)).first()[0]
     mid = [(a + b) / 2 for a, b in zip(p, q)]
     kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, mid) if x)
     assert got == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2))
