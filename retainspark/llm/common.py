@@ -14,6 +14,9 @@ from ..session import materialize, table
 
 __all__ = ["arrow_map", "components", "crc_mod", "keyed", "pieces", "stored", "table", "without"]
 
+#: Edges that a round of ``components`` writes to one file.
+EDGES_PER_FILE = 250_000
+
 #: Bytes of text handled at once in a Python worker.
 PIECE_BYTES = 4 << 20
 
@@ -100,7 +103,9 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not was[0]:
             break
-        now = stored(down(star(down(star(now, True)), False)), f"{name}-edges")
+        # a star step doesn't add edges: few of them don't need a file for each shuffle partition
+        files = was[0] // EDGES_PER_FILE + 1
+        now = stored(down(star(down(star(now, True)), False)).coalesce(files), f"{name}-edges")
         new = mark(now)
         if new == was:
             break
