@@ -2,7 +2,7 @@
 
 A document leaks an item if some passage of it is within ``MAX_EDITS`` word edits
 per item word of the whole item.  Words (lower case, without punctuation) are the
-symbols.  For each length of item, windows of that size over the documents are
+symbols; in scripts written without spaces each letter is one.  For each length of item, windows of that size over the documents are
 embedded by CGK random walks, which turn few edits into few differing steps: the
 walk repeats the symbol it stands on and moves on by a random bit of step and
 symbol.  Repeatedly a few steps are sampled as a key, ``WALKS * BANDS`` times in
@@ -16,8 +16,11 @@ Items are the query side: they come in blocks of ``BLOCK_ITEMS``, each indexed
 once and sent to all tasks, with one pass over the documents a block.  Every
 document is read whole and in place; nothing is shuffled.
 
-Defined results: null or empty texts and items match nothing; items under
-``MIN_WORDS`` words are left out, as common phrases would match them.  One row
+Defined results: null or empty texts and items, and items without a letter or
+digit, match nothing.  Every other item is indexed; under five words no edit is
+allowed, so the passage is the item word for word.  An item under ``MIN_WORDS``
+words is found where it stands alone, between punctuation, line breaks or ends of
+the text, as inside a sentence it is a common phrase ("of the").  One row
 for each pair of a document row and an item, with the fewest edits and then the
 first passage.  Repeated rows are searched each; empty tables give no rows.
 """
@@ -35,17 +38,39 @@ from pyspark.sql import functions as F
 from .common import arrow_map, keyed, table, without
 
 MAX_EDITS = 0.2
-MIN_WORDS = 8
+MIN_WORDS = 3
 WALKS, BANDS, SAMPLED = 4, 4, 2
 LENGTH_RATIO = 1.1
 BLOCK_ITEMS = 5000
 _CHUNK = 1 << 15
 _WORD = re.compile(r"[^\W_]+")
+#: Letters, marks and digits of scripts without spaces: Thai, Lao, Myanmar, Khmer, Tai, Javanese, Japanese, Yi, Chinese.
+_UNSPACED = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59\u0e81-\u0edf\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17d7\u17dc-\u17e9\u1950-\u19da\u1a20-\u1a99"
+             "\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48c\ua980-\ua9c0\uf900-\ufaff\uff66-\uff9f"
+             "\U00020000-\U0003ffff")
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_SYMBOL = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
+#: What parts a passage from the text around it: anything but spaces, hyphens and apostrophes.
+_BREAK = re.compile(r"[^\w \t\xa0'\u2019-]")
 _PAD = 0
 
 
+def _symbol(low: str) -> re.Pattern:
+    return _SYMBOL if not low.isascii() and _HAS_UNSPACED.search(low) else _WORD
+
+
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return _symbol(low).findall(low)
+
+
+def breaks(text: str | None) -> np.ndarray:
+    """For each word, whether a passage can begin there by itself."""
+    low, last, out = (text or "").lower(), 0, []
+    for m in _symbol(low).finditer(low):
+        out.append(not out or bool(_BREAK.search(low, last, m.start())))
+        last = m.end()
+    return np.array(out, bool)
 
 
 def allowed(n: int) -> int:
@@ -67,7 +92,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], seed: int = 3):
         rng = np.random.default_rng(seed)
-        said = [(i, w) for i, t in items if len(w := words(t)) >= MIN_WORDS]
+        said = [(i, w) for i, t in items if (w := words(t))]
         self.ids = [i for i, _ in said]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in said for w in ws}), 1)}
         self.symbols = [np.array([self.vocabulary[w] for w in ws], np.int32) for _, ws in said]
@@ -160,11 +185,15 @@ class Index:
             common += (self.known[item, symbol >> 3] >> (symbol & 7)) & 1 & (j < n + edits)
         return common >= n - edits
 
-    def matches(self, text: np.ndarray, own: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-        """(start, item, edits) of verified windows."""
+    def matches(self, text: np.ndarray, own: np.ndarray | None = None, alone: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+        """(start, item, edits) of verified windows; items under ``MIN_WORDS``
+        words begin and end where ``alone`` (anywhere if not given)."""
         out = []
         for at, item in self.candidates(text, np.ones(len(text), bool) if own is None else own):
             ok = self.near(text, at, item)
+            if alone is not None:
+                end = np.minimum(at + self.lengths[item], len(text) - 1)
+                ok &= (self.lengths[item] >= MIN_WORDS) | (alone[at] & alone[end])
             at, item = at[ok], item[ok]
             for n in np.unique(self.lengths[item]).tolist():
                 here = self.lengths[item] == n
@@ -226,15 +255,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             get = ix.vocabulary.get
             pad = np.zeros(allowed(ix.longest) + 1, np.int32)
             apart = np.zeros(len(pad), bool)
-            parts, own, begins, at = [], [], [], 0
+            short = bool((ix.lengths < MIN_WORDS).any())
+            parts, own, alone, begins, at = [], [], [], [], 0
             for t in batch.column("text").to_pylist():
                 w = words(t)
                 parts += [np.fromiter((get(x, _PAD) for x in w), np.int32, len(w)), pad]
                 own += [np.ones(len(w), bool), apart]
+                if short:
+                    alone += [breaks(t), ~apart]
                 begins.append(at)
                 at += len(w) + len(pad)
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            for start, k, d in ix.matches(np.concatenate(parts), np.concatenate(own)) if ix.ids else []:
+            for start, k, d in ix.matches(np.concatenate(parts), np.concatenate(own), np.concatenate(alone) if short else None) if ix.ids else []:
                 row = int(np.searchsorted(begins, start, "right")) - 1
                 found = (d, start - begins[row])
                 best[row, k] = min(best.get((row, k), found), found)

@@ -105,3 +105,14 @@ def test_hard_rows_and_stage(spark, make_docs, hard, prose):
     docs = make_docs(hard, clashes=True)
     assert {r.doc_id for r in m.leaks(docs, bench).collect()} == {4, 7}
     assert m.leaks(make_docs([]), bench).collect() == [] and m.leaks(docs, bench.limit(0)).collect() == []
+
+
+def test_short_and_unspaced_items(spark, make_docs, prose):
+    """Every item is indexed: short ones word for word, letters as symbols where a script has no spaces."""
+    zh, ja, th = "法国的首都是哪一座城市", "日本で一番高い山は何ですか", "เมืองหลวงของประเทศไทยคือ"
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Who wrote Hamlet?"), (3, "Why?"), (4, zh), (5, ja), (6, th), (7, "你好"), (8, "?!")], "item_id long, text string")
+    a, b = prose(2, 30), prose(3, 30)
+    docs = make_docs([(1, f"{a} what is the capital of France {b}"), (2, f"{a} what was the capital of France {b}"), (3, f"{a}. Who wrote Hamlet? {b}"), (4, f"{a} who wrote Macbeth {b}"),
+                      (5, f"{a}\nWhy?\n{b}"), (6, f"{a} why {b}"), (7, f"我们想知道{zh}吗"), (8, f"{a} {zh[:4]}之{zh[5:]} {b}"), (9, ja), (10, f"{a} {th} {b}"), (11, "你好，世界"), (12, "他说你好吗"), (13, zh[:6])])
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in m.leaks(docs, bench).collect())
+    assert got == [(1, 1, 0), (2, 1, 1), (3, 2, 0), (5, 3, 0), (7, 4, 0), (8, 4, 1), (9, 5, 0), (10, 6, 0), (11, 7, 0)]
