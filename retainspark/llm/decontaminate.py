@@ -5,9 +5,12 @@ per item word of the whole item.  Words (lower case, without punctuation) are th
 symbols; in scripts written without spaces each letter is one.  For each length of item, windows of that size over the documents are
 embedded by CGK random walks, which turn few edits into few differing steps: the
 walk repeats the symbol it stands on and moves on by a random bit of step and
-symbol.  Repeatedly a few steps are sampled as a key, ``WALKS * BANDS`` times in
-all, and windows that share a key with an item are verified by exact edit
-distance.
+symbol.  Repeatedly a few steps are sampled as a key, ``BANDS`` times a walk, and
+windows that share a key with an item are verified by exact edit distance.
+
+Walks drift apart with the number of edits, so each length of item gets its own
+number of them: ``WALKS``, and more until ``TARGET`` of ``TRIALS`` copies of its
+items, with all edits they may have, share a key with their item.
 
 A word that no item holds costs one edit, so a window with more such words than
 edits allowed can't match; leaving these out changes no result.
@@ -40,6 +43,7 @@ from .common import arrow_map, keyed, table, without
 MAX_EDITS = 0.2
 MIN_WORDS = 3
 WALKS, BANDS, SAMPLED = 4, 4, 2
+TARGET, TRIALS = 0.95, 400
 LENGTH_RATIO = 1.1
 BLOCK_ITEMS = 5000
 _CHUNK = 1 << 15
@@ -78,6 +82,20 @@ def allowed(n: int) -> int:
     return int(n * MAX_EDITS + 1e-9)
 
 
+def edited(item: np.ndarray, symbols: int, rng: np.random.Generator) -> np.ndarray:
+    """A copy of an item with as many random edits as it may have."""
+    out = item.tolist()
+    for _ in range(allowed(len(item))):
+        at, how, symbol = int(rng.integers(len(out))), int(rng.integers(3)), int(rng.integers(symbols))
+        if how == 0:
+            out[at] = symbol
+        elif how == 1:
+            out.insert(at, symbol)
+        else:
+            del out[at]
+    return np.array(out, np.int32)
+
+
 class Class:
     """Items of nearly one length: windows take the shortest one's size."""
 
@@ -103,9 +121,8 @@ class Index:
             group = [x for x in lengths if x <= lengths[0] * LENGTH_RATIO]
             self.classes.append(Class(group[0], allowed(group[-1]), [k for k, s in enumerate(self.symbols) if len(s) in group]))
             lengths = lengths[len(group):]
-        steps = 2 * max((c.size for c in self.classes), default=0)
         #: random bits of each walk by symbol, 64 steps a word
-        self.bits = rng.integers(0, 2 ** 64, (WALKS, steps // 64 + 1, n), np.uint64)
+        self.bits: list[np.ndarray] = []
         self.mix = rng.integers(0, 2 ** 63, SAMPLED, np.uint64) | np.uint64(1)
         self.longest = max((len(s) for s in self.symbols), default=0)
         self.lengths = np.array([len(x) for x in self.symbols], np.int64)
@@ -114,15 +131,24 @@ class Index:
         self.known = np.zeros((len(self.symbols), n // 8 + 1), np.uint8)
         for k, x in enumerate(self.symbols):
             np.bitwise_or.at(self.known[k], x >> 3, (1 << (x & 7)).astype(np.uint8))
-        for c in self.classes:
+        for c in reversed(self.classes):  # the longest first: its walks have steps for all
             text = np.concatenate([np.r_[self.symbols[k][:c.size], np.zeros(1, np.int32)] for k in c.items])
             at = np.arange(len(c.items), dtype=np.int64) * (c.size + 1)
-            for walk in range(WALKS):
-                y = self.embed(text, at, c.size, walk)
+            of = rng.integers(0, len(c.items), TRIALS)
+            copies = [np.r_[edited(self.symbols[c.items[k]], n, rng), rng.integers(0, n, c.size, np.int32)] for k in of.tolist()]
+            copied = np.concatenate(copies)
+            copy_at = np.cumsum([0, *map(len, copies[:-1])])
+            found = np.zeros(TRIALS, bool)
+            while len(c.bands) < WALKS or found.mean() < TARGET:
+                walk = len(c.bands)
+                if walk == len(self.bits):
+                    self.bits.append(rng.integers(0, 2 ** 64, (2 * self.classes[-1].size // 64 + 1, n), np.uint64))
+                y, z = self.embed(text, at, c.size, walk), self.embed(copied, copy_at, c.size, walk)
                 bands = []
                 for _ in range(BANDS):
                     picked = rng.choice(len(y), SAMPLED, replace=False)
                     keys = self.keys(y, picked)
+                    found |= self.keys(z, picked) == keys[of]
                     order = np.argsort(keys, kind="stable")
                     bands.append((picked, keys[order], np.array(c.items)[order]))
                 c.bands.append(bands)
@@ -132,7 +158,7 @@ class Index:
         steps = 2 * size
         out = np.empty((steps, len(at)), np.int32)
         now, stop = at.astype(np.int64), at + size
-        walked = [self.bits[walk, b].astype("<u8").view(np.uint8).reshape(-1, 8) for b in range(steps // 64 + 1)]
+        walked = [self.bits[walk][b].astype("<u8").view(np.uint8).reshape(-1, 8) for b in range(steps // 64 + 1)]
         last = len(text) - 1
         for t in range(steps):
             symbol = text.take(np.minimum(now, last))

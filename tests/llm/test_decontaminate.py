@@ -116,3 +116,17 @@ def test_short_and_unspaced_items(spark, make_docs, prose):
                       (5, f"{a}\nWhy?\n{b}"), (6, f"{a} why {b}"), (7, f"我们想知道{zh}吗"), (8, f"{a} {zh[:4]}之{zh[5:]} {b}"), (9, ja), (10, f"{a} {th} {b}"), (11, "你好，世界"), (12, "他说你好吗"), (13, zh[:6])])
     got = sorted((r.doc_id, r.item_id, r.edits) for r in m.leaks(docs, bench).collect())
     assert got == [(1, 1, 0), (2, 1, 1), (3, 2, 0), (5, 3, 0), (7, 4, 0), (8, 4, 1), (9, 5, 0), (10, 6, 0), (11, 7, 0)]
+
+
+@pytest.mark.parametrize("size", [6, 120, 250, 500])
+def test_recall_at_any_length(size):
+    rng = random.Random(size)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(size))) for i in range(20)]
+    index, other = m.Index(items), [f"w{rng.randrange(3000)}" for _ in range(500)]
+    hit = 0
+    for _ in range(200):
+        k = rng.randrange(20)
+        w = edited(rng, items[k][1], m.allowed(size), other)
+        text = np.array([index.vocabulary.get(x, 0) for x in rng.choices(other, k=20) + w + rng.choices(other, k=20 + size)] + [0] * (m.allowed(size) + 1), np.int32)
+        hit += any((item == k).any() and (abs(at[item == k] - 20) <= m.allowed(size)).any() for at, item in index.candidates(text, np.ones(len(text), bool)))
+    assert hit >= 0.93 * 200
