@@ -3,10 +3,11 @@
 A page is read into text nodes, each with its root-to-leaf tag path.  Text
 length and punctuation are summed per path and divided by the path's nodes; the
 two ratios, smoothed over neighbouring nodes with a Gaussian, are fused into one
-score, and nodes above a share of its spread are content.  The content
-container is the element that holds the content: the best ``article`` or
-``main`` if the page marks one, else the deepest element that holds nearly all
-selected text.  Its blocks are returned in page order, without what the page's
+score; nodes above a share of its spread, on paths that are above it too, are
+content.  The content container is the element that holds the content: the best
+``article`` or ``main`` if the page marks one (the outermost of those with the
+same content, without other articles that hold none), else the smallest that
+holds all content and is no paragraph, heading, list or table.  Its blocks are returned in page order, without what the page's
 own markup declares not to be the article (navigation, footers, asides, forms,
 adverts, reader comments, ...), whose paths take no part in the ratios.
 
@@ -39,6 +40,8 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPE = frozenset("ul ol dl table div section article main body html aside nav td th blockquote form".split())
 #: Elements that never hold the article.
 ASIDE = frozenset("nav footer aside form menu dialog head header fieldset".split())
+#: Elements that can hold a whole article without being marked as one.
+_CONTAINERS = frozenset(["", *"article blockquote body center details div html main section td th".split()])
 #: Words of class, id and role that name page furniture.
 _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|sidebar|side|widget|menu|nav\w*|breadcrumbs?|header|masthead|footer|"
@@ -52,7 +55,6 @@ _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、！？]")
 
 SIGMA = 1.0
 THRESHOLD = 0.8
-HELD = 0.9
 
 
 class _Element:
@@ -135,25 +137,52 @@ def _smooth(values: list[float], sigma: float) -> list[float]:
     return out
 
 
-def path_scores(nodes: list[tuple[str, _Element, int]]) -> list[float]:
-    """The fused score of each node: the smoothed text-per-path ratio times the
-    smoothed punctuation-per-path ratio (plus one, for text without any)."""
+def path_ratios(nodes: list[tuple[str, _Element, int]]) -> tuple[list[float], list[float]]:
+    """Text per path and punctuation per path of each node."""
     text, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for said, e, _ in nodes:
         text[e.path] += len(said)
         marks[e.path] += len(_PUNCTUATION.findall(said))
         count[e.path] += 1
-    by_text = _smooth([text[e.path] / count[e.path] for _, e, _ in nodes], SIGMA)
-    by_marks = _smooth([marks[e.path] / count[e.path] for _, e, _ in nodes], SIGMA)
+    return [text[e.path] / count[e.path] for _, e, _ in nodes], [marks[e.path] / count[e.path] for _, e, _ in nodes]
+
+
+def _fused(by_text: list[float], by_marks: list[float]) -> list[float]:
     return [a * (1.0 + b) for a, b in zip(by_text, by_marks)]
 
 
+def path_scores(nodes: list[tuple[str, _Element, int]]) -> list[float]:
+    """The fused score of each node: the smoothed text-per-path ratio times the
+    smoothed punctuation-per-path ratio (plus one, for text without any)."""
+    by_text, by_marks = path_ratios(nodes)
+    return _fused(_smooth(by_text, SIGMA), _smooth(by_marks, SIGMA))
+
+
 def _up(e: _Element):
     while e:
         yield e
         e = e.up
 
 
+def _container(mass: dict[_Element, int], content: list[_Element]) -> _Element:
+    """The smallest container of all content; a table cell only if it holds
+    more than its own text."""
+    box = next(a for a in _up(content[0]) if mass[a] == len(content))
+    while box.up and (box.tag not in _CONTAINERS or box.tag in ("td", "th", "blockquote") and box in content):
+        box = box.up
+    return box
+
+
+def _holds(box: _Element, e: _Element, mass: dict[_Element, int]) -> bool:
+    """Whether text of ``e`` is in the box, and in no other article without content."""
+    for a in _up(e):
+        if a is box:
+            return True
+        if a.tag == "article" and not mass.get(a):
+            return False
+    return False
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, joined by one line break."""
     every = [x for x in text_nodes(html or "") if not x[1].out]
@@ -164,25 +193,23 @@ def main_text(html: str | None) -> str:
     mean = sum(scores) / len(scores)
     spread = math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores))
     least = min(THRESHOLD * spread, max(scores))
-    mass, marked = defaultdict(float), defaultdict(float)
-    total = 0.0
-    for (said, e, _), s in zip(nodes, scores):
-        w = float(len(said)) if s >= least else 0.0
-        total += w
+    own = _fused(*path_ratios(nodes))  # a short link beside a long paragraph is not content
+    chosen = [s >= least and o >= least for s, o in zip(scores, own)]
+    if not any(chosen):
+        chosen = [s >= least for s in scores]
+    mass, marked = defaultdict(int), defaultdict(float)
+    for (said, e, _), content in zip(nodes, chosen):
         for a in _up(e):
-            mass[a] += w
+            mass[a] += content
             if a.tag in ("article", "main"):
-                marked[a] += w + 1e-6 * len(said)
+                marked[a] += content * len(said) + 1e-6 * len(said)
     if marked:
-        best = max(marked.values())
-        box = max((a for a in marked if marked[a] >= HELD * best), key=lambda a: a.path.count("/"))
+        box = max(marked, key=lambda a: (marked[a], -a.path.count("/")))
     else:
-        box = max((a for a in mass if mass[a] >= HELD * total), key=lambda a: a.path.count("/"))
-        while box.tag not in BLOCK and box.up:
-            box = box.up
+        box = _container(mass, [e for (_, e, _), content in zip(nodes, chosen) if content])
     blocks: dict[int, list[str]] = {}
     for said, e, block in every:
-        if any(a is box for a in _up(e)):
+        if _holds(box, e, mass):
             blocks.setdefault(block, []).append(said)
     lines = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)

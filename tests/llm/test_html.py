@@ -53,3 +53,17 @@ def test_hard_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "c"), (1, None, "<p>a</p>", "c"), (None, "u", "", "c")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in m.extract(df).collect())
     assert got == [(0, "u", "", 0), (1, "", "a", 1), (1, "u", "", 0)] and m.extract(df.limit(0)).collect() == []
+
+
+LONG = "A very long paragraph, with commas, and words that go on. " * 20
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div><h1>Title</h1><p>{LONG}</p></div></body>", ["Title", LONG]),
+    (f"<body><ul><li>Home</li></ul><div><h1>Title</h1><p>Short one.</p><p>{LONG}</p><p>The end.</p></div></body>", ["Title", "Short one.", LONG, "The end."]),
+    (f"<body><main><h1>Title</h1><p>Intro, short.</p><article><p>{LONG}</p></article></main></body>", ["Title", "Intro, short.", LONG]),
+    (f"<body><div><h1>Title</h1><ul><li>{LONG}</li><li>Two.</li></ul></div><div>Menu</div></body>", ["Title", LONG, "Two."]),
+    (f"<body><main><article><h1>Title</h1><p>{LONG}</p></article><div><article><a>Teaser</a></article></div></main></body>", ["Title", LONG]),
+])
+def test_the_container_holds_all_content(page, want):
+    assert m.main_text(page).split("\n") == [x.strip() for x in want]
