@@ -9,7 +9,9 @@ content.  The content container is the element that holds the content: the best
 same content, without other articles that hold none), else the smallest that
 holds all content and is no paragraph, heading, list or table.  Its blocks are returned in page order, without what the page's
 own markup declares not to be the article (navigation, footers, asides, forms,
-adverts, reader comments, ...), whose paths take no part in the ratios.
+adverts, reader comments, ...), whose paths take no part in the ratios.  Inside
+the container a class, id or role that only contains a word for such parts
+("side-effects") takes a block out only if its paths are below the threshold too.
 
 Defined results: null or empty html and pages without text: the empty string.
 Unclosed elements, comments and scripts end with the page.  Extra columns are
@@ -43,14 +45,19 @@ ASIDE = frozenset("nav footer aside form menu dialog head header fieldset".split
 #: Elements that can hold a whole article without being marked as one.
 _CONTAINERS = frozenset(["", *"article blockquote body center details div html main section td th".split()])
 #: Words of class, id and role that name page furniture.
-_FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|sidebar|side|widget|menu|nav\w*|breadcrumbs?|header|masthead|footer|"
+_KINDS = (
+    r"(?:ads?|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|sidebar|side|widget|menu|nav\w*|breadcrumbs?|header|masthead|footer|"
     r"comments?|replies|reply|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|"
-    r"social|related|recommend\w*|toolbar|search|form|complementary|contentinfo|hidden)(?:$|[\s_-])", re.I)
+    r"social|related|recommend\w*|toolbar|search|form|complementary|contentinfo|hidden)")
+_FURNITURE = re.compile(rf"(?:^|[\s_-]){_KINDS}(?:$|[\s_-])", re.I)
+#: The same as a whole name.
+_WHOLE = re.compile(rf"(?:^|\s){_KINDS}(?:$|\s)", re.I)
+#: Elements whose id is the address of a place in the text.
+_PLACES = frozenset("h1 h2 h3 h4 h5 h6 section p li dt dd a span".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、！？]")
 
 SIGMA = 1.0
@@ -58,13 +65,23 @@ THRESHOLD = 0.8
 
 
 class _Element:
-    __slots__ = ("tag", "path", "up", "out", "end", "mark")
+    __slots__ = ("tag", "path", "up", "out", "named")
 
-    def __init__(self, tag, names, up, out):
+    def __init__(self, tag, names, up, out, named=False):
         self.tag, self.up, self.out = tag, up, out
+        #: the nearest element from here up that part of a name calls furniture
+        self.named = self if named else up.named if up else None
         self.path = (up.path if up else "") + "/" + tag + ("." + names if names else "")
 
 
+def _attributes(said: str) -> dict[str, str]:
+    """An opening tag's attributes by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(said):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
 def text_nodes(html: str) -> list[tuple[str, _Element, int]]:
     """(decoded text, element, block) of the page's text nodes in order.  Nodes
     of one block have the same block number."""
@@ -113,13 +130,21 @@ def text_nodes(html: str) -> list[tuple[str, _Element, int]]:
                 e = e.up
             if e.tag in ends:
                 now = e.up
-        names = " ".join(a or b or c for _, a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
+        has = _attributes(attributes) if attributes else {}
+        names = " ".join(has[a] for a in ("class", "id", "role") if has.get(a))
         inside = now.tag == "article" or "/article" in now.path
         aside = tag in ASIDE and not (tag == "header" and inside)
-        out = now.out or aside or bool(names and tag not in ("html", "body", "article", "main") and _FURNITURE.search(names)) \
-            or bool(attributes and _HIDDEN.search(attributes))
+        hidden = "hidden" in has or has.get("aria-hidden", "").lower() == "true" or bool(_NOT_SHOWN.search(has.get("style", "")))
+        named = whole = False
+        if names and tag not in ("html", "body", "article", "main") and _FURNITURE.search(names):
+            layout = " ".join(has[a] for a in ("class", "role", *(() if tag in _PLACES else ("id",))) if has.get(a))
+            whole = bool(_WHOLE.search(layout))
+            named = bool(_FURNITURE.search(layout)) or tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
         if not attributes.endswith("/") or tag in BLOCK:
-            now = _Element(tag, names, now, out)
+            first = tag in ("article", "main") and not re.search(r"/(?:article|main)\b", now.path)
+            now = _Element(tag, names, now, now.out or aside or whole or hidden, named)
+            if first:  # what the page marks as its article is judged by itself, whatever it is wrapped in
+                now.named = None
     return nodes
 
 
@@ -183,10 +208,31 @@ def _holds(box: _Element, e: _Element, mass: dict[_Element, int]) -> bool:
     return False
 
 
+def _named(e: _Element, box: _Element):
+    """The elements from ``e`` up to the box that a name calls furniture."""
+    a = e.named
+    while a and a is not box:
+        yield a
+        a = a.up.named if a.up else None
+
+
+def _furniture(every: list[tuple[str, _Element, int]], box: _Element, least: float) -> set[_Element]:
+    """The named elements of the box that are furniture: less than half of
+    their text is on paths above the threshold."""
+    nodes = [x for x in every if x[1].named and not x[0].isspace() and any(a is box for a in _up(x[1]))]
+    total, content = defaultdict(int), defaultdict(int)
+    for (said, e, _), s in zip(nodes, _fused(*path_ratios(nodes))):
+        for a in _named(e, box):
+            total[a] += len(said)
+            content[a] += len(said) if s >= least else 0
+    return {a for a in total if 2 * content[a] < total[a]}
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, joined by one line break."""
     every = [x for x in text_nodes(html or "") if not x[1].out]
     nodes = [x for x in every if not x[0].isspace()]
+    nodes = [x for x in nodes if not x[1].named] or nodes
     if not nodes:
         return ""
     scores = path_scores(nodes)
@@ -207,9 +253,10 @@ def main_text(html: str | None) -> str:
         box = max(marked, key=lambda a: (marked[a], -a.path.count("/")))
     else:
         box = _container(mass, [e for (_, e, _), content in zip(nodes, chosen) if content])
+    gone = _furniture(every, box, least)
     blocks: dict[int, list[str]] = {}
     for said, e, block in every:
-        if _holds(box, e, mass):
+        if not any(a in gone for a in _named(e, box)) and _holds(box, e, mass):
             blocks.setdefault(block, []).append(said)
     lines = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)

@@ -67,3 +67,24 @@ LONG = "A very long paragraph, with commas, and words that go on. " * 20
 ])
 def test_the_container_holds_all_content(page, want):
     assert m.main_text(page).split("\n") == [x.strip() for x in want]
+
+
+@pytest.mark.parametrize("block", [
+    '<h2 id="related-work">Related work</h2>', f'<section id="search"><h2>Search</h2><p>{LONG}</p></section>', f'<div class="side-effects"><p>{LONG}</p></div>',
+    f'<p title="a hidden gem">{LONG}</p>', '<p>See <a href="/?id=menu">the card</a> there.</p>', '<p data-id="menu">Short one.</p>',
+])
+def test_names_do_not_take_article_text(block):
+    import re
+    got = m.main_text(f"<body><article><h1>Head</h1><p>{LONG}</p>{block}<p>{LONG}</p></article></body>")
+    want = [x.strip() for x in re.split(r"</?(?:h2|p|section|div)\b[^>]*>", block) if x.strip()]
+    assert got.split("\n") == ["Head", LONG.strip(), *[re.sub("<[^>]*>", "", x) for x in want], LONG.strip()]
+
+
+@pytest.mark.parametrize("block", ['<div class="share-buttons"><a>Share</a></div>', '<div class="related">' + LONG + '</div>', '<p hidden>' + LONG + '</p>', '<ul class="nav-links"><li>Next</ul>'])
+def test_furniture_in_the_article_goes(block):
+    assert m.main_text(f"<body><article><h1>Head</h1><p>{LONG}</p>{block}<p>{LONG}</p></article></body>").split("\n") == ["Head", LONG.strip(), LONG.strip()]
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_an_article_in_a_named_wrapper(tag):
+    assert m.main_text(f"<body><div class='header-fixed'><{tag}><h1>Head</h1><p>{LONG}</p></{tag}></div></body>").split("\n") == ["Head", LONG.strip()]
