@@ -3,7 +3,7 @@
 The base finds three kinds of spans by pattern.  The field then tags tokens as
 secret begin, inside or outside from their shape, the words around them and
 features of the whole document, and adds the spans it decodes by Viterbi that
-touch no base span.
+are not inside a base span.  Base spans stay as they are; a redaction covers both.
 
 Only a token with a digit and eight characters, or one of twenty characters, can
 be in a secret, and glue punctuation between two such.  Every other token is
@@ -304,7 +304,7 @@ def fit(docs: DataFrame) -> Field:
 
 
 def spans(text: str, field: Field) -> list[tuple[int, int, int]]:
-    """All (start, kind, end): the base's, and the field's that touch none of them."""
+    """All (start, kind, end): the base's, and the field's that are inside none of them."""
     out = base_spans(text)
     base = list(out)
     for run in runs(text):
@@ -318,7 +318,7 @@ def spans(text: str, field: Field) -> list[tuple[int, int, int]]:
             while j < len(run) and tags[j] == INSIDE:
                 j += 1
             a, b = run[i][0], run[j - 1][1]
-            if not any(a < e and s < b for s, _, e in base):
+            if not any(s <= a and b <= e for s, _, e in base):
                 out.append((a, 3, b))
             i = j
     return sorted(out)

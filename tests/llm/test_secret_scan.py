@@ -100,3 +100,15 @@ def test_hard_rows_and_stage(spark, make_docs, hard):
     assert got.count((30, 'x [SECRET]" y', 13)) == 2
     assert sorted(map(repr, [(d, t) for d, t, _ in got if d != 30])) == sorted(map(repr, [r[:2] for r in hard]))
     assert m.secret_stage(spark, make_docs([]), "").collect() == []
+
+
+@pytest.mark.parametrize("text, crf", [
+    ("see ghp_Xq0123456789abcdefQWERTY here", ["ghp_Xq0123456789abcdefQWERTY"]), ("password=Abc123def456!Zz998877xx", ["Abc123def456!Zz998877xx"]), ("token=0123456789abcdef", []),
+])
+def test_spans_beyond_a_base_span_are_added(text, crf):
+    class Whole:  # each run is one secret
+        def decode(self, run):
+            return [m.BEGIN] + [m.INSIDE] * (len(run) - 1)
+    got = m.spans(text, Whole())
+    assert [x for x in got if x[1] < 3] == base(text) and [text[a:b] for a, k, b in got if k == 3] == crf
+    assert all(x not in m.redact(text, got) for x in ("ghp", "QWERTY", "Zz998877xx"))
