@@ -5,10 +5,12 @@ secret begin, inside or outside from their shape, the words around them and
 features of the whole document, and adds the spans it decodes by Viterbi that
 are not inside a base span.  Base spans stay as they are; a redaction covers both.
 
-Only a token with a digit and eight characters, or one of twenty characters, can
-be in a secret, and glue punctuation between two such.  Every other token is
-outside by constraint, which cuts the chain: decoding each run of possible tokens
-between two outside ones gives exactly the best path of the whole text.
+A token is in the chain if its shape is not a plain word's or number's (letters
+with digits, capitals inside, eight characters with a digit, or twenty), if it is
+one of the ``NEAR`` tokens behind a key word in its line, or if it is glue between
+two such.  Every other token is outside by constraint, which cuts the chain, and
+nothing else does, white space and line ends included: decoding each run between
+two outside tokens gives exactly the best path of the whole text.
 
 The field is trained in numpy, on at most ``SAMPLE`` documents that the base
 finds something in and as many of all documents (smallest hash of the id), and
@@ -51,7 +53,10 @@ WRITTEN = 400
 STEPS, RATE, L2 = 250, 0.1, 1e-3
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 _TOKEN = re.compile(r"[\w+/=.\-]+|[^\w\s]")
-_POSSIBLE = re.compile(r"[0-9]|\S{20}")
+_POSSIBLE = re.compile(r"[0-9]|\S{20}|[a-z][A-Z]")
+#: Shapes that no plain word or number has.
+_ODD = re.compile(r"[^\W\d_][0-9]|[0-9][^\W\d_]|[a-z][A-Z]")
+NEAR = 5
 KEY_WORDS = ("password passwd passphrase pass pwd secret token key apikey api auth authorization bearer credential credentials private access "
              "client session cookie signature license hash").split()
 
@@ -67,9 +72,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+_KEY_WORD = re.compile(rf"(?<![a-z])(?:{'|'.join(KEY_WORDS)})(?![a-z])", re.I)
+
+
 def possible(token: str) -> bool:
-    """Whether a token can be in a secret at all."""
-    return len(token) >= 20 or (len(token) >= 8 and any(c in "0123456789" for c in token))
+    """Whether a token's own shape lets it be in a secret."""
+    return len(token) >= 20 or (len(token) >= 8 and any(c in "0123456789" for c in token)) or bool(_ODD.search(token))
+
+
+def _in_chain(tokens: list[tuple[int, int, str]]) -> list[bool]:
+    """Which tokens of a line are not outside by constraint."""
+    may, key = [], -NEAR - 1
+    for i, (_, _, t) in enumerate(tokens):
+        may.append(possible(t) or i - key <= NEAR and any(c.isalnum() for c in t))
+        if _KEY_WORD.search(t):
+            key = i
+    for i in range(1, len(tokens) - 1):  # glue between two possible tokens that touch it
+        if may[i - 1] and not may[i] and may[i + 1] and tokens[i - 1][1] == tokens[i][0] and tokens[i][1] == tokens[i + 1][0] and not tokens[i][2][0].isalnum():
+            may[i] = True
+    return may
 
 
 def _shape(token: str) -> list[str]:
@@ -88,34 +109,29 @@ def _shape(token: str) -> list[str]:
 
 def runs(text: str) -> list[list[tuple[int, int, list[str]]]]:
     """The text's runs of possible tokens, each token as (start, end, features)."""
-    out, at = [], 0
+    out, run, at = [], [], 0
     lines = text.split("\n")
+    low = text.lower()
+    keys = any(k in low for k in KEY_WORDS)
     file = None
     for line in lines:
-        if _POSSIBLE.search(line):
+        if _POSSIBLE.search(line) or keys and _KEY_WORD.search(line):
             tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(line)]
             tokens = [p for t in tokens for p in _parts(t)]
-            may = [possible(t) for _, _, t in tokens]
-            if any(may):
-                file = file or _file_features(text, lines)
-                for i in range(1, len(tokens) - 1):  # glue between two possible tokens that touch it
-                    if may[i - 1] and not may[i] and possible(tokens[i + 1][2]) and tokens[i - 1][1] == tokens[i][0] and tokens[i][1] == tokens[i + 1][0] \
-                            and not tokens[i][2][0].isalnum():
-                        may[i] = True
-                run: list = []
-                for i, (a, b, t) in enumerate(tokens):
-                    if may[i]:
-                        if run and tokens[i - 1][1] != a:  # white space ends a run
-                            out.append(run)
-                            run = []
-                        run.append((at + a, at + b, _features(tokens, i, line) + file))
-                    elif run:
-                        out.append(run)
-                        run = []
-                if run:
+            may = _in_chain(tokens)
+            file = file or _file_features(text, lines)
+            for i, (a, b, _) in enumerate(tokens):
+                if may[i]:
+                    glued = bool(run) and run[-1][1] == at + a
+                    run.append((at + a, at + b, [*_features(tokens, i, line), f"glued{int(glued)}", *file]))
+                elif run:
                     out.append(run)
+                    run = []
+        elif run and line and not line.isspace():  # a line of outside tokens
+            out.append(run)
+            run = []
         at += len(line) + 1
-    return out
+    return out + [run] if run else out
 
 
 def _parts(token: tuple[int, int, str]) -> list[tuple[int, int, str]]:
@@ -129,7 +145,7 @@ def _parts(token: tuple[int, int, str]) -> list[tuple[int, int, str]]:
 
 def _features(tokens: list[tuple[int, int, str]], i: int, line: str) -> list[str]:
     said = tokens[i][2]
-    before = [t for _, _, t in tokens[max(0, i - 5):i]]
+    before = [t for _, _, t in tokens[max(0, i - NEAR):i]]
     after = [t for _, _, t in tokens[i + 1:i + 3]]
     words = re.findall(r"[a-z]+", " ".join(before).lower().replace("_", " ").replace("-", " "))
     near = [w for w in words if w in KEY_WORDS]
@@ -137,6 +153,8 @@ def _features(tokens: list[tuple[int, int, str]], i: int, line: str) -> list[str
     out = ["bias", *_shape(said), f"before_{mark if len(mark) == 1 and not mark.isalnum() else 'word' if mark else 'start'}",
            f"after_{after[0] if after and len(after[0]) == 1 and not after[0].isalnum() else 'word' if after else 'end'}",
            f"quoted{int(bool(before) and before[-1] in chr(34) + chr(39) + '`')}", f"key{min(len(near), 2)}"]
+    odd = f"odd{int(bool(_ODD.search(said)))}"
+    out += [odd, f"{odd}_key{int(bool(near))}"]
     if near:
         out.append("key_" + near[-1])
         out.append(f"key_and_{mark if mark in '=:' else 'other'}")
@@ -215,6 +233,23 @@ def likelihood(emit: np.ndarray, step: np.ndarray, batch: np.ndarray, tags: np.n
     return float(total), d_emit, d_step
 
 
+def _cut(run: list[list[str]], tags: list[int], most: int = 24):
+    """A long run in parts for training, cut before tokens that go nothing on."""
+    at = 0
+    while at < len(run):
+        to = min(len(run), at + most)
+        while at + 1 < to < len(run) and tags[to] == INSIDE:
+            to -= 1
+        if to < len(run) and tags[to] == INSIDE:  # one secret of more tokens: its start
+            to = at + most
+            yield run[at:to], tags[at:to]
+            while to < len(run) and tags[to] == INSIDE:
+                to += 1
+        else:
+            yield run[at:to], tags[at:to]
+        at = to
+
+
 def train(examples: list[tuple[list[list[str]], list[int]]], steps: int = STEPS) -> Field:
     """Maximise the penalised likelihood of (features per token, tags) runs."""
     count = Counter(f for run, _ in examples for fs in run for f in fs)
@@ -226,10 +261,10 @@ def train(examples: list[tuple[list[list[str]], list[int]]], steps: int = STEPS)
     by: dict[int, tuple[list, list]] = {}
     for run, tags in examples:
         if run:
-            run, tags = run[:24], tags[:24]
-            x, y = by.setdefault(len(run), ([], []))
-            x.append([[names.get(f, pad) for f in fs] + [pad] * (width - len(fs)) for fs in run])
-            y.append(tags)
+            for run, tags in _cut(run, tags):
+                x, y = by.setdefault(len(run), ([], []))
+                x.append([[names.get(f, pad) for f in fs] + [pad] * (width - len(fs)) for fs in run])
+                y.append(tags)
     groups = [(np.array(x), np.array(y)) for x, y in by.values()]
     total = sum(len(x) for x, _ in groups)
     g_emit, g_step = np.full_like(emit, 1e-8), np.full_like(step, 1e-8)
@@ -281,6 +316,28 @@ def written(n: int = WRITTEN, seed: int = 5) -> list[tuple[list[list[str]], list
                                f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"anna.{rng.randint(10, 99)}@mail{rng.randint(1, 9)}.example.com",
                                f"https://example.org/a{rng.randint(100, 99999)}/index.html", f"{rng.randint(10**8, 10**11)}", "antidisestablishmentarianism", f"version-{rng.randint(1, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 9)}"])
         out += tagged(f"{rng.choice(['of the', 'see', 'call', 'the key is in', 'by'])} {harmless} and then", [])
+        out += _written_words(rng)
+    return out
+
+
+def _written_words(rng: random.Random) -> list[tuple[list[list[str]], list[int]]]:
+    """Tagged lines of secrets in letters alone or of few characters, and of
+    plain words behind key words."""
+    syllables = "an be cor dis er fo gar hin in ju kel lo mer nos or pa qui ro sta tum ur vel wo yar ze".split()
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    kind = rng.randrange(3)
+    if kind == 0:
+        value = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=rng.randint(10, 40)))
+    elif kind == 1:
+        value = "".join(word().capitalize() for _ in range(rng.randint(2, 4)))
+    else:
+        value = word() + str(rng.randint(1, 9999))
+    key, other = rng.choice(KEY_WORDS), rng.choice(KEY_WORDS)
+    line = rng.choice([f"of the {key}", f"{other.capitalize()}: {key.capitalize()}", f"my {other} {key}", key]) + rng.choice([" is ", ": ", "=", " = ", " "])
+    out = tagged(f"{line}{value} {word()} {word()}", [(len(line), len(line) + len(value))])
+    plain = " ".join(word() for _ in range(rng.randint(3, 8)))
+    out += tagged(f"{word()} {rng.choice(['the', 'a', 'by', 'of'])} {key} {rng.choice(['is', 'of', 'to', 'and', 'was'])} {plain}", [])
+    out += tagged(f"{word()} {rng.choice([word().capitalize() + word().capitalize(), str(rng.randint(1, 99)) + word()[:2], word() + str(rng.randint(1, 9))])} {word()}", [])
     return out
 
 

@@ -112,3 +112,17 @@ def test_spans_beyond_a_base_span_are_added(text, crf):
     got = m.spans(text, Whole())
     assert [x for x in got if x[1] < 3] == base(text) and [text[a:b] for a, k, b in got if k == 3] == crf
     assert all(x not in m.redact(text, got) for x in ("ghp", "QWERTY", "Zz998877xx"))
+
+
+@pytest.mark.parametrize("line, secret", [
+    ("Authorization: Bearer QwErTyUiOpAsDfGh", "QwErTyUiOpAsDfGh"), ("the passphrase is CorrectHorseBattery", "CorrectHorseBattery"), ("my password: hunter2", "hunter2"),
+    ("the secret of the garden is that nobody came", None), ("the key is in the drawer", None), ("see McArthur on the 3rd", None),
+])
+def test_secrets_of_letters_or_few_characters(line, secret):
+    field = m.train(m.written())
+    assert [line[a:b] for a, k, b in m.spans(line, field) if k == 3] == ([secret] if secret else [])
+
+
+def test_only_outside_tokens_cut_a_run():
+    text = "of Ab12345678 Cd12345678\n\nEf12345678 of Gh12345678"
+    assert [[text[a:b] for a, b, _ in run] for run in m.runs(text)] == [["Ab12345678", "Cd12345678", "Ef12345678"], ["Gh12345678"]]
