@@ -214,3 +214,19 @@ def test_stream_restart_exactly_once(spark, sf_small):
     assert 0 < n1 < resp.count()
     assert resp.count() + bad.count() == req.count()
     assert resp.select("CustomerId").distinct().count() == resp.count()
+
+
+def test_leaderboard_fits_the_full_models(spark, sf_small, monkeypatch):
+    import inspect
+
+    from retainspark.plans import catalog_models as cm
+    full, got = inspect.signature(tr.compare_models), []
+
+    def compare(*args, **kwargs):
+        call = full.bind(*args, **kwargs)
+        call.apply_defaults()
+        got.append((call.arguments["rounds"], call.arguments["trees"], call.arguments["names"], call.arguments["cross_validate"]))
+        return None, {}
+    monkeypatch.setattr(cm.tr, "compare_models", compare)
+    cm.q_leaderboard(spark, sf_small)
+    assert got == [(400, 300, None, True)]
