@@ -8,19 +8,22 @@ against every reference and judged by the nearest, so a missing or wrong languag
 tag costs nothing.  Short documents have noisy histograms: the limit widens with
 ``1 / sqrt(words)`` and below ``MIN_WORDS`` no verdict is given by distance.
 
+Every language of the corpus has a reference.  The common words of languages
+without a fixed list are counted from their documents.
+
 DataFrame functions only: words, windows and histograms are array expressions
-inside the row, so neither words nor windows are shuffled, and the references
-are one small aggregate.
+inside the row, so windows are not shuffled, and words only as counts of the
+languages without a list; the references are one small aggregate.
 
-Defined results: null text: no words, ``base_failed``.  A null or unknown
-language, or one without a document to learn from, has no reference of its own;
-with no reference at all distance isn't judged.  Repeated rows are judged each.
+Defined results: null text: no words, ``base_failed``.  A language without a
+document to learn from has no reference, and its documents aren't judged by
+distance; a null language is judged by the nearest, if there is any.  Repeated rows are judged each.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -43,10 +46,26 @@ MAX_DISTANCE = 0.1
 WIDENING = 1.3
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def common_words(docs: DataFrame) -> dict[str, tuple[str, list[str]]]:
+    """Key -> (language, its common words) for every language of the corpus: the
+    fixed ones, and the most frequent words of each other language, counted."""
+    out = {g: (g, ws) for g, ws in COMMON_WORDS.items()}
+    size = len(next(iter(COMMON_WORDS.values())))
+    d = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("t")).where(F.col("lang").isNotNull() & ~F.col("lang").isin(list(out)))
+    words = d.select("lang", F.explode(F.array_remove(F.split("t", SPACE), "")).alias("w")).groupBy("lang", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    top = words.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("i") <= size)
+    counted: dict[str, list[str]] = {}
+    for lang, w, _ in sorted(top.select("lang", "w", "i").collect(), key=lambda x: (x[0], x[2])):
+        counted.setdefault(lang, []).append(w)
+    # a language of fewer words gets empty ones, which no text holds
+    return out | {f"x{i}": (lang, ws + [""] * (size - len(ws))) for i, (lang, ws) in enumerate(counted.items())}
+
+
+def measured(docs: DataFrame, lists: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
     """One row per document: counts of the base rules, and the histograms as
     shares: ``p_classes`` (character classes, white space and the rest last) and
-    for each language ``p_<lang>`` (its common words, all other words last)."""
+    for each key of ``lists`` ``p_<key>`` (its language's common words, all other words last)."""
+    common = {g: ws for g, (_, ws) in lists.items()} if lists else COMMON_WORDS
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     d = d.select("doc_id", "lang", "t", F.array_remove(F.split("t", SPACE), "").alias("w"), F.regexp_replace("t", SPACE, "").alias("r0"),
@@ -57,7 +76,7 @@ def measured(docs: DataFrame) -> DataFrame:
     left = [F.length(f"r{i}") for i in range(n + 1)]
     classes = [left[i] - left[i + 1] for i in range(n)] + [F.length("t") - left[0], left[n]]
     windows = F.slice(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))), F.lit(1), F.greatest(F.size("w") - 2, F.lit(0)))
-    vocabulary = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+    vocabulary = sorted({w for ws in common.values() for w in ws})
     d = d.select("doc_id", "lang", F.size("w").cast("long").alias("n_words"), left[0].cast("long").alias("word_chars"),
                  classes[3].cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  F.array(*[c.cast("int") for c in classes]).alias("classes"), windows.alias("h"),
@@ -70,27 +89,27 @@ def measured(docs: DataFrame) -> DataFrame:
     repeat = F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
     count = lambda w: F.size("c") - F.size(F.array_remove("c", w))
     d = d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), "classes",
-                 *[F.array(*[count(w) for w in ws]).alias(f"common_{g}") for g, ws in COMMON_WORDS.items()])
+                 *[F.array(*[count(w) for w in ws]).alias(f"common_{g}") for g, ws in common.items()])
     # the histograms as shares, worked out once: a language's common words with all other words last
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     share = lambda c, of: F.transform(c, lambda x: x / of)
     d = d.withColumns({"chars": F.greatest(total("classes"), F.lit(1)), "words": F.greatest("n_words", F.lit(1)),
-                       **{f"known_{g}": total(f"common_{g}") for g in COMMON_WORDS}})
+                       **{f"known_{g}": total(f"common_{g}") for g in common}})
     d = d.withColumns({"p_classes": share("classes", F.col("chars")),
-                       **{f"p_{g}": F.concat(share(f"common_{g}", F.col("words")), F.array((F.col("words") - F.col(f"known_{g}")) / F.col("words"))) for g in COMMON_WORDS}})
-    d = d.drop("classes", "chars", "words", *[f"{c}_{g}" for c in ("common", "known") for g in COMMON_WORDS])
+                       **{f"p_{g}": F.concat(share(f"common_{g}", F.col("words")), F.array((F.col("words") - F.col(f"known_{g}")) / F.col("words"))) for g in common}})
+    d = d.drop("classes", "chars", "words", *[f"{c}_{g}" for c in ("common", "known") for g in common])
     failed = (F.col("n_words") < BASE_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * BASE_REPEAT_PERCENT)
     return d.withColumn("base_failed", failed)
 
 
-def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+def references(rows: DataFrame, lists: dict[str, tuple[str, list[str]]]) -> dict[str, tuple[list[float], list[float]]]:
     """Mean histograms of each language's documents that pass the base rules:
     one row per language comes to the driver."""
     out = {}
-    langs = list(COMMON_WORDS)
+    langs = [lang for lang, _ in lists.values()]
     picked = rows.where(~F.col("base_failed") & F.col("lang").isin(langs))
-    k, m = len(CLASSES) + 2, len(COMMON_WORDS[langs[0]]) + 1
-    own = F.coalesce(*[F.when(F.col("lang") == g, F.col(f"p_{g}")) for g in langs])
+    k, m = len(CLASSES) + 2, len(next(iter(lists.values()))[1]) + 1
+    own = F.coalesce(*[F.when(F.col("lang") == lang, F.col(f"p_{g}")) for g, (lang, _) in lists.items()])
     flat = picked.select("lang", "p_classes", own.alias("p_own"))
     flat = flat.select("lang", *[F.get("p_classes", F.lit(j)).alias(f"a{j}") for j in range(k)], *[F.get("p_own", F.lit(j)).alias(f"b{j}") for j in range(m)])
     for r in flat.groupBy("lang").agg(*[F.avg(f"a{j}") for j in range(k)], *[F.avg(f"b{j}") for j in range(m)]).collect():
@@ -111,15 +130,16 @@ def divergence(p: Column, q: list[float]) -> Column:
 def judged(docs: DataFrame) -> DataFrame:
     """Counts, ``base_failed``, ``distance`` (to the nearest reference; null if
     there is none or the text is too short) and ``kept`` for each document."""
-    rows = stored(measured(docs), "rules-measured")
-    known = references(rows)
+    lists = common_words(docs)
+    rows = stored(measured(docs, lists), "rules-measured")
+    known = references(rows, lists)
     each = []
-    for lang in COMMON_WORDS:
+    for g, (lang, _) in lists.items():
         if lang in known:
-            each.append((divergence(F.col("p_classes"), known[lang][0]) + divergence(F.col(f"p_{lang}"), known[lang][1])) / 2)
+            each.append((divergence(F.col("p_classes"), known[lang][0]) + divergence(F.col(f"p_{g}"), known[lang][1])) / 2)
     nearest = each[0] if len(each) == 1 else F.least(*each) if each else F.lit(None).cast("double")
     limit = F.lit(MAX_DISTANCE) + F.lit(WIDENING) / F.sqrt(F.greatest("n_words", F.lit(1)))
-    d = rows.withColumn("distance", F.when(F.col("n_words") >= MIN_WORDS, nearest))
+    d = rows.withColumn("distance", F.when((F.col("n_words") >= MIN_WORDS) & (F.col("lang").isNull() | F.col("lang").isin(list(known))), nearest))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= limit)))
 
 

@@ -65,3 +65,13 @@ def test_hard_rows(spark, make_docs, hard):
 def test_plan_is_native(spark, sf_small):
     plan = m.op10_quality_rules(spark, sf_small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_every_language_of_the_corpus_has_a_reference(spark, make_docs, prose):
+    import random
+    rng = random.Random(1)
+    russian = lambda n: " ".join("".join(rng.choices("и в не на что он как это по но из у за от так".split(), k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, prose(i, 200).capitalize() + ".", "en") for i in range(20)] + [(100 + i, russian(200).capitalize() + ".", "ru.x") for i in range(20)]
+    rows += [(200, " ".join(f"{w}*** |" for w in prose(99, 120).split()), "ru.x")]
+    got = {r.doc_id: r for r in m.judged(make_docs(rows)).collect()}
+    assert all(got[i].kept and got[i].distance is not None for i in got if i != 200) and not got[200].kept
