@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_format
+from .collocations import op13_collocations
 from .decontaminate import op4_decontaminate
 from .html import op1_html_text
 from .langid import op3_langid
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_packing": op11_packing,
     "op12_spelling": op12_spelling,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB twins where SQL can express a query.
