@@ -7,14 +7,14 @@ Plan shapes:
   score (a JVM-side array filter), rows collapse to at most 63 x 63 groups
   by partial aggregation, and the 62 grid rows are suffix sums over that
   tiny table.  Not 62 scans, not rows x 62.
-* E5-E8 never sort the whole table in one task: scores are collapsed to
-  distinct values (a hot score costs one row), cut into score-ordered
-  buckets whose running totals (one row per bucket, broadcast) give each
-  bucket its offset, and the running sum inside a bucket is a window
-  partitioned by bucket.  Bucket edges are equal-count quantiles of the
-  distinct scores (a sketch, assigned by binary search), so no bucket can be
-  hot even when a model's scores crowd into a narrow band; exactness does
-  not depend on the edges, only on bucket order following score order.
+* E5-E8 never sort the whole table in one task, and read it once: scores are
+  collapsed to distinct values (a hot score costs one row) and stored.  Their
+  number says how many buckets there are (``SCORES_PER_BUCKET`` each, at any
+  size); a range partitioning deals them out in score order, however closely
+  a model's scores crowd.  A bucket's offset is the sum of the groups of
+  ``BUCKETS_PER_GROUP`` buckets above its own and of the buckets above it in
+  its group, so no window holds more than a bucket's or a group's rows, and
+  the one over the groups grows with scores / 2e8.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import OUTREACH_COST, RETENTION_SUCCESS_RATE, THRESHOLD_GRID, THRESHOLD_GRID_RAW
+from ..session import materialize
 
-SCORE_BUCKETS = 1024
+SCORES_PER_BUCKET = 200_000
+BUCKETS_PER_GROUP = 1_000
 
 
 def _lit_array(values: list[float]) -> Column:
@@ -146,53 +148,63 @@ def best_business_threshold(df: DataFrame, **kw) -> DataFrame:
 
 
 # E5-E8 ---------------------------------------------------------------------
-def _bucketed(distinct: DataFrame, buckets: int, bucketing: str) -> DataFrame:
+def _bucketed(df: DataFrame, p: str, label: str, buckets: int | None, bucketing: str) -> DataFrame:
+    """(score, pos, neg, b) per distinct score, bucket order following score
+    order.  ``df`` is read once; what is counted about the scores (how many,
+    and rows without one) is counted on the stored distinct scores."""
+    score = F.col(p).cast("double")
+    scores = materialize(df.select(score.alias("score"), F.col(label).alias("_y")).groupBy("score")
+                         .agg(F.sum("_y").cast("long").alias("pos"), F.sum(1 - F.col("_y")).cast("long").alias("neg")), "scores")
+    unranked = F.col("score").isNull() | F.isnan("score")
+    n, lost = scores.agg(F.count("*"), F.sum(F.when(unranked, F.col("pos") + F.col("neg")))).first()
+    if lost:
+        raise ValueError(f"{lost} rows have no {p} to rank by")
+    buckets = buckets or -(-n // SCORES_PER_BUCKET)
     if bucketing == "width":   # equal-width buckets on [0, 1]
-        return distinct.withColumn("b", F.least(F.lit(buckets - 1),
-                                                F.greatest(F.lit(0), F.floor(F.col("score") * buckets).cast("int"))))
-    from pyspark.ml.feature import Bucketizer
-    probs = _lit_array([i / buckets for i in range(1, buckets)])
-    edges = distinct.agg(F.percentile_approx("score", probs, 10 * buckets)).first()[0] or []  # <= buckets-1 values
-    if not edges:
-        return distinct.withColumn("b", F.lit(0))
-    splits = [float("-inf")] + sorted({float(e) for e in edges}) + [float("inf")]
-    out = Bucketizer(splits=splits, inputCol="score", outputCol="_bd", handleInvalid="keep").transform(distinct)
-    return out.withColumn("b", F.col("_bd").cast("int")).drop("_bd")
+        return scores.withColumn("b", F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor(F.col("score") * buckets).cast("int"))))
+    if buckets < 2:
+        return scores.withColumn("b", F.lit(0))
+    # stored, as the range edges are drawn anew in every run
+    return materialize(scores.repartitionByRange(buckets, "score").withColumn("b", F.spark_partition_id()), "score-buckets")
+
+
+def _offsets(per_b: DataFrame) -> DataFrame:
+    """What lies above each bucket, the totals, and the first point of the next
+    lower bucket, by two levels of running sums."""
+    grouped = per_b.withColumn("g", F.floor(F.col("b") / BUCKETS_PER_GROUP))
+    per_g = grouped.groupBy("g").agg(F.sum("bpos").alias("gpos"), F.sum("bneg").alias("gneg"),
+                                     F.max_by("first_pos", "b").alias("g_first_pos"), F.max_by("first_neg", "b").alias("g_first_neg"))
+
+    def above(col: str, order) -> Column:
+        return F.coalesce(F.sum(col).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = Window.orderBy(F.col("g").desc())
+    every = groups.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per_g = per_g.select(F.col("g").alias("of"), above("gpos", groups).alias("g_pos_above"), above("gneg", groups).alias("g_neg_above"),
+                         F.sum("gpos").over(every).cast("long").alias("P"), F.sum("gneg").over(every).cast("long").alias("N"),
+                         F.lead("g_first_pos").over(groups).alias("ng_pos"), F.lead("g_first_neg").over(groups).alias("ng_neg"))
+    inside = Window.partitionBy("g").orderBy(F.col("b").desc())
+    return (grouped.join(F.broadcast(per_g), F.col("g") == F.col("of"))
+            .select(F.col("b").alias("bucket"), (F.col("g_pos_above") + above("bpos", inside)).alias("pos_above"),
+                    (F.col("g_neg_above") + above("bneg", inside)).alias("neg_above"), "P", "N",
+                    F.coalesce(F.lead("first_pos").over(inside), F.col("ng_pos")).alias("nb_pos"),
+                    F.coalesce(F.lead("first_neg").over(inside), F.col("ng_neg")).alias("nb_neg")))
 
 
 def score_curve(df: DataFrame, p: str = "churn_probability", label: str = "Exited",
-                buckets: int = SCORE_BUCKETS, bucketing: str = "quantile") -> DataFrame:
+                buckets: int | None = None, bucketing: str = "range") -> DataFrame:
     """Per distinct score s: pos, neg, tp_ge = positives with score >= s,
     fp_ge = negatives with score >= s, the next lower score's (pos, neg), and
-    the totals P, N.  ``bucketing``: "quantile" (equal-count, default) or
-    "width" (equal-width on [0, 1], no sketch pass).  Null and NaN scores have
-    no place in an order: they are refused with a count."""
-    lost = df.where(F.col(p).isNull() | F.isnan(F.col(p).cast("double"))).count()
-    if lost:
-        raise ValueError(f"{lost} rows have no {p} to rank by")
-    distinct = _bucketed(df.select(F.col(p).cast("double").alias("score"), F.col(label).alias("_y"))
-                         .groupBy("score")
-                         .agg(F.sum("_y").cast("long").alias("pos"), F.sum(1 - F.col("_y")).cast("long").alias("neg")),
-                         buckets, bucketing)
-    per_b = distinct.groupBy("b").agg(
+    the totals P, N.  ``bucketing``: "range" (equal counts, default) or
+    "width" (equal-width on [0, 1], for scores known to spread).  Null and NaN
+    scores have no place in an order: they are refused with a count."""
+    scores = _bucketed(df, p, label, buckets, bucketing)
+    per_b = scores.groupBy("b").agg(
         F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"),
         F.max_by("pos", "score").alias("first_pos"), F.max_by("neg", "score").alias("first_neg"))
-    # running totals of the strictly higher buckets, the grand totals and the
-    # next lower bucket's first point, in one window pass over <= `buckets`
-    # rows (one small task)
-    desc = Window.orderBy(F.col("b").desc())
-    hi = desc.rowsBetween(Window.unboundedPreceding, -1)
-    every = desc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = per_b.select("b",
-                           F.coalesce(F.sum("bpos").over(hi), F.lit(0)).alias("pos_above"),
-                           F.coalesce(F.sum("bneg").over(hi), F.lit(0)).alias("neg_above"),
-                           F.sum("bpos").over(every).cast("long").alias("P"),
-                           F.sum("bneg").over(every).cast("long").alias("N"),
-                           F.lead("first_pos").over(desc).alias("nb_pos"),
-                           F.lead("first_neg").over(desc).alias("nb_neg"))
     order = Window.partitionBy("b").orderBy(F.col("score").desc())
     inb = order.rowsBetween(Window.unboundedPreceding, 0)
-    return (distinct.join(F.broadcast(offsets), "b")
+    return (scores.join(_offsets(per_b), F.col("b") == F.col("bucket"))
             .select("score", "pos", "neg",
                     (F.col("pos_above") + F.sum("pos").over(inb)).cast("long").alias("tp_ge"),
                     (F.col("neg_above") + F.sum("neg").over(inb)).cast("long").alias("fp_ge"),
@@ -201,15 +213,15 @@ def score_curve(df: DataFrame, p: str = "churn_probability", label: str = "Exite
                     "P", "N"))
 
 
-def ranking_summary(df: DataFrame, **kw) -> DataFrame:
+def ranking_summary(df: DataFrame, digits: int = 6, **kw) -> DataFrame:
     """E5 + E8 from one curve, in one aggregate: exact AUC (ties at half
     weight, rank-sum form), step-wise average precision, and the class totals."""
     c = score_curve(df, **kw)
     auc_term = F.col("pos") * ((F.col("N") - F.col("fp_ge")) + 0.5 * F.col("neg"))
     ap_term = F.col("pos") / F.col("P") * (F.col("tp_ge") / (F.col("tp_ge") + F.col("fp_ge")))
     return c.groupBy().agg(
-        F.bround(_divide0(F.sum(auc_term), F.first("P").cast("double") * F.first("N")), 6).alias("auc"),
-        F.bround(F.coalesce(F.sum(F.when(F.col("pos") > 0, ap_term)), F.lit(0.0)), 6).alias("average_precision"),
+        F.bround(_divide0(F.sum(auc_term), F.first("P").cast("double") * F.first("N")), digits).alias("auc"),
+        F.bround(F.coalesce(F.sum(F.when(F.col("pos") > 0, ap_term)), F.lit(0.0)), digits).alias("average_precision"),
         F.first("P").alias("positives"), F.first("N").alias("negatives"))
 
 
@@ -254,30 +266,31 @@ def metrics_record(df: DataFrame, threshold: float, model_name: str = "scorecard
     """One nested row with every metric and the curve as arrays.
     Metrics are taken at ``threshold`` - the F1-optimal threshold chosen
     elsewhere (validation rows in the pipeline), reported as
-    ``f1_optimal_threshold``; business optimum and curve come from ``df``."""
+    ``f1_optimal_threshold``; business optimum and curve come from ``df``, both
+    out of one sweep.  Every figure is rounded once."""
     m = classification_metrics(df, threshold, p, label)
-    rank = ranking_summary(df, p=p, label=label).select("auc", "average_precision")
+    rank = ranking_summary(df, 4, p=p, label=label).select("auc", "average_precision")
     sweep = sweep_core(df, p=p, label=label, clv=clv, **sweep_kw)
-    biz = best_business_threshold(df, p=p, label=label, clv=clv, **sweep_kw)
     f1t = (f1_threshold_from.select(F.col("threshold").alias("f1_optimal_threshold"))
            if f1_threshold_from is not None
            else df.sparkSession.range(1).select(F.lit(float(threshold)).alias("f1_optimal_threshold")))
     curve = sweep.agg(
         F.sort_array(F.collect_list(F.struct("j", "threshold", F.bround("f1", 4).alias("f1"),
                                              F.bround("net_value", 2).alias("net")))).alias("_c"),
+        F.max(F.struct("net_value", (-F.col("j")).alias("first"), "threshold")).alias("_best"),
         F.first("avg_clv").alias("avg_clv"))
-    row = (m.crossJoin(rank).crossJoin(biz).crossJoin(f1t).crossJoin(curve))
+    row = (m.crossJoin(rank).crossJoin(f1t).crossJoin(curve))
     return row.select(
         F.lit(model_name).alias("model_name"),
-        F.bround("auc", 4).alias("test_auc"),
+        F.col("auc").alias("test_auc"),
         F.col("f1").alias("test_f1"), F.col("precision").alias("test_precision"),
         F.col("recall").alias("test_recall"), F.col("accuracy").alias("test_accuracy"),
-        F.bround("average_precision", 4).alias("average_precision"), "catch_rate", "false_alarm_rate",
+        "average_precision", "catch_rate", "false_alarm_rate",
         F.struct(F.col("tp").alias("TP"), F.col("fp").alias("FP"), F.col("tn").alias("TN"),
                  F.col("fn").alias("FN")).alias("confusion_matrix"),
         "f1_optimal_threshold",
-        F.col("threshold").alias("business_optimal_threshold"),
-        F.col("net_value").alias("net_value_at_optimal_threshold"),
+        F.col("_best.threshold").alias("business_optimal_threshold"),
+        F.bround("_best.net_value", 2).alias("net_value_at_optimal_threshold"),
         F.bround("avg_clv", 2).alias("avg_clv"),
         F.lit(RETENTION_SUCCESS_RATE).alias("retention_success_rate"),
         F.lit(OUTREACH_COST).alias("cost_per_outreach"),

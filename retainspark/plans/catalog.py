@@ -176,9 +176,8 @@ def _metrics_doc_sql() -> str:
                  count(*) FILTER (WHERE churn_probability >= t AND Exited = 0) AS fp,
                  count(*) FILTER (WHERE churn_probability < t AND Exited = 0) AS tn,
                  count(*) FILTER (WHERE churn_probability < t AND Exited = 1) AS fn FROM prob CROSS JOIN f1t)
- , au AS (SELECT round_even({_div0('sum(pos * ((N - fp_ge) + 0.5e0 * neg))', 'first(P) * first(N)')}, 6) AS auc,
-                 round_even(coalesce(sum(CASE WHEN pos > 0 THEN pos / P * (tp_ge / (tp_ge + fp_ge)) END), 0.0e0), 6)
-                   AS ap FROM curve)
+ , au AS (SELECT {_div0('sum(pos * ((N - fp_ge) + 0.5e0 * neg))', 'first(P) * first(N)')} AS auc,
+                 coalesce(sum(CASE WHEN pos > 0 THEN pos / P * (tp_ge / (tp_ge + fp_ge)) END), 0.0e0) AS ap FROM curve)
  , doc AS (SELECT round_even(auc, 4) AS test_auc, round_even({_div0('2 * tp', '2 * tp + fp + fn')}, 4) AS test_f1,
                   round_even({_div0('tp', 'tp + fp')}, 4) AS test_precision,
                   round_even({_div0('tp', 'tp + fn')}, 4) AS test_recall,

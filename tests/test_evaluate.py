@@ -152,3 +152,33 @@ def test_curves_of_hard_scores(spark):
     for bad in (None, float("nan")):
         with pytest.raises(ValueError, match="1 rows"):
             ev.auc_exact(spark.createDataFrame([(0.1, 0), (bad, 1)], "churn_probability double, Exited int"))
+
+
+@pytest.mark.parametrize("buckets,groups", [(1, 1), (7, 2), (60, 3), (60, 1000)])
+def test_offsets_in_two_levels(spark, monkeypatch, buckets, groups):
+    """Buckets in groups give the running sums of one global sort."""
+    monkeypatch.setattr(ev, "BUCKETS_PER_GROUP", groups)
+    rows = [(0.3 + (i * 7919 % 500) * 1e-7, int(i % 3 == 0)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "churn_probability double, Exited int").repartition(5)
+    got = [(r.threshold, r.tp, r.fp) for r in ev.roc_points(df, buckets=buckets).orderBy(F.desc("threshold")).collect()]
+    assert got == _roc_reference(rows, False)
+    bend = [(r.threshold, r.tp, r.fp) for r in ev.roc_points(df, drop_intermediate=True, buckets=buckets).orderBy(F.desc("threshold")).collect()]
+    assert bend == _roc_reference(rows, True)
+
+
+def test_buckets_follow_the_number_of_scores(spark, monkeypatch):
+    monkeypatch.setattr(ev, "SCORES_PER_BUCKET", 100)
+    df = spark.range(5000).select((F.col("id") / 5000).alias("churn_probability"), (F.col("id") % 2).cast("int").alias("Exited"))
+    b = ev._bucketed(df, "churn_probability", "Exited", None, "range")
+    sizes = [r[1] for r in b.groupBy("b").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 400 and sum(sizes) == 5000
+
+
+def test_metrics_record_rounds_once(spark):
+    """An AUC of 0.84094996 is 0.8409; rounded to 0.840950 first, it would be 0.8410."""
+    pos, neg = 10_000, 2_500
+    below, part = divmod(round(0.84094996 * pos * neg), pos)   # negatives below all positives; the next one is below `part` of them
+    rows = [(0.1, 0)] * below + [(0.9, 0)] * (neg - below - 1) + [(0.4, 0)] + [(0.5, 1)] * part + [(0.3, 1)] * (pos - part)
+    df = spark.createDataFrame(rows, "churn_probability double, Exited int")
+    assert ev.auc_exact(df).first()["auc"] == 0.84095
+    assert ev.metrics_record(df, 0.5, clv=None, avg_clv=1.0).first()["test_auc"] == 0.8409
