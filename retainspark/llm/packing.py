@@ -22,10 +22,12 @@ which ranks go where; a piece's rank among those of its length comes from a wind
 (length, salt) and the counts of the salts before, so a length that a third of all
 pieces have is spread over as many tasks as others.
 
-White space of ASCII ends a token in any case, so the words between are tokenised once
-and kept for the texts that follow (``CACHE_WORDS`` of them at most, the oldest
-forgotten first).  Strings of special tokens in a text become those tokens, as the
-library has it by default.
+White space of ASCII ends a token in any case, and so does a mark behind a letter; the
+words between are tokenised once and kept for the texts that follow (``CACHE_WORDS`` of
+them at most, the oldest forgotten first).  A word of plain letters is its own only
+pre-token, so the tokenizer's model takes it as it is; any other goes through the whole
+tokenizer.  Strings of special tokens in a text become those tokens, as the library has
+it by default.
 
 Defined results: a null or empty text is one piece, its end token.  Rows with a null
 id and repeated rows are packed each; an empty table gives an empty result.
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -56,7 +59,9 @@ PLANS = [(16, 1 / 4), (48, 1 / 4), (64, 1 / 3), (32, 1 / 8)]
 #: Pieces ranked in one task.
 RANKED = 250_000
 #: Bytes of a text tokenised at once.
-_PART = 4 << 20
+_PART = 8 << 20
+#: Lower-case letters that normalising leaves as they are: ASCII and Latin-1.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 # --- tokens -----------------------------------------------------------------
@@ -67,8 +72,13 @@ class _Words:
     def __init__(self, json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(json)
+        self.model = self.tokenizer.model
+        # how the model's alphabet writes the letters' bytes
+        written = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: written(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -85,8 +95,16 @@ class _Words:
                 else:
                     young[w] = got
             out.append(got)
-        if missing:
-            for k, e in zip(missing, self.tokenizer.encode_batch_fast([words[k] for k in missing], add_special_tokens=False)):
+        odd = []
+        for k in missing:
+            w = words[k]
+            if _PLAIN.fullmatch(w):
+                said = w if w.isascii() else w.translate(self.letters)
+                out[k] = young[w] = b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(said)])
+            else:
+                odd.append(k)
+        if odd:
+            for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False)):
                 out[k] = young[words[k]] = np.array(e.ids, "<u4").tobytes()
         if len(young) > CACHE_WORDS // 2:
             self.old, self.young = young, {}
@@ -94,7 +112,8 @@ class _Words:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the tokens of all texts on end, and where each text's begin."""
-        split = pc.ascii_split_whitespace(texts)
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special tokens are read as written
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, "([a-z0-9])([.,;:!?])", r"\1 \2"))
         coded = split.flatten().dictionary_encode()
         each = self.tokens(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, each), np.int64, len(each)) >> 2
@@ -144,7 +163,7 @@ def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
     def run(batches):
         words = _words(json.value)
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, "text", _PART):
                 text = part.column("text").fill_null("")
                 if part.num_rows == 1 and len(text[0].as_buffer()) > _PART:
                     said = [words.encode(pa.array([x]))[0] for x in _parts(text[0].as_py())]
