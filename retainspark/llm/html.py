@@ -4,15 +4,20 @@ A page is read into text nodes, each with its root-to-leaf tag path.  Text
 length and punctuation are summed per path and divided by the path's nodes; the
 two ratios, smoothed over neighbouring nodes with a Gaussian, are fused into one
 score; nodes above a share of its spread, on paths that are above it too, are
-content.  The content container is the element that holds the content: the best
-``article`` or ``main`` if the page marks one (the outermost of those with the
-same content, without other articles that hold none), else the smallest that
-holds all content and is no paragraph, heading, list or table.  Its blocks are returned in page order, without what the page's
+content.  The content container is the element that holds the content: if the page
+marks an ``article`` or ``main``, the first whose content is a fair share of the
+largest one's (the outermost of those with the same content, without other articles
+that hold none), else the smallest element that holds all content and is no
+paragraph, heading, list or table.  Its blocks are returned in page order, without what the page's
 own markup declares not to be the article (navigation, footers, asides, forms,
-adverts, reader comments, ...), whose paths take no part in the ratios.  Inside
+adverts, ...), whose paths take no part in the ratios.  Inside
 the container a class, id or role that only contains a word for such parts
 ("side-effects") takes a block out only if its paths are below the threshold too.
 
+Reader comments are prose like the article, so no score can tell them: an element named
+for them ("comments", "comment-list", "commentlist", "discussion") goes out with all it
+holds, and an article inside it is never the page's.
+
 Defined results: null or empty html and pages without text: the empty string.
 Unclosed elements, comments and scripts end with the page.  Extra columns are
 ignored; repeated rows are extracted each; an empty table gives an empty result.
@@ -49,9 +54,16 @@ _KINDS = (
     r"(?:ads?|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|sidebar|side|widget|menu|nav\w*|breadcrumbs?|header|masthead|footer|"
     r"comments?|replies|reply|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|"
     r"social|related|recommend\w*|toolbar|search|form|complementary|contentinfo|hidden)")
+#: Words for a part of the layout, which tell nothing of what it holds.
+_PARTS = r"(?:box|boxes|lists?|posts?|articles?|stories|links?|items?|area|section|wrap|wrapper|container|blocks?|bar|unit|slot|panel|buttons?|icons?|group|inner|outer|feed)"
 _FURNITURE = re.compile(rf"(?:^|[\s_-]){_KINDS}(?:$|[\s_-])", re.I)
-#: The same as a whole name.
-_WHOLE = re.compile(rf"(?:^|\s){_KINDS}(?:$|\s)", re.I)
+#: The same as a whole name, maybe with words for parts ("ad-box", "related-posts").
+_WHOLE = re.compile(rf"(?:^|\s){_KINDS}(?:[_-]?(?:{_KINDS}|{_PARTS}))*(?:$|\s)", re.I)
+#: Names that end in a word for reader comments, but for those that say whether there are any ("no-comments").
+_COMMENTS = re.compile(
+    rf"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:comments?|commenters?|disqus|respond|replies)"
+    rf"(?:[_-]?(?:{_PARTS}|threads?|body|content|holder|stream|view|form))*(?:$|\s)", re.I)
+_DISCUSSION = re.compile(rf"(?:^|[\s_-])discussions?(?:[_-]?(?:{_PARTS}|threads?))*(?:$|\s)", re.I)
 #: Elements whose id is the address of a place in the text.
 _PLACES = frozenset("h1 h2 h3 h4 h5 h6 section p li dt dd a span".split())
 _TOKEN = re.compile(
@@ -62,13 +74,19 @@ _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、！？]")
 
 SIGMA = 1.0
 THRESHOLD = 0.8
+#: The least share of the best score that is content, where scores hardly spread.
+FLOOR = 0.1
+#: The share of the largest marked article's content that an earlier one needs.
+FIRST = 1 / 3
 
 
 class _Element:
-    __slots__ = ("tag", "path", "up", "out", "named")
+    __slots__ = ("tag", "path", "up", "out", "named", "comment")
 
-    def __init__(self, tag, names, up, out, named=False):
+    def __init__(self, tag, names, up, out, named=False, comment=False):
         self.tag, self.up, self.out = tag, up, out
+        #: in an article that is named for comments
+        self.comment = comment or bool(up and up.comment)
         #: the nearest element from here up that part of a name calls furniture
         self.named = self if named else up.named if up else None
         self.path = (up.path if up else "") + "/" + tag + ("." + names if names else "")
@@ -136,13 +154,19 @@ def text_nodes(html: str) -> list[tuple[str, _Element, int]]:
         aside = tag in ASIDE and not (tag == "header" and inside)
         hidden = "hidden" in has or has.get("aria-hidden", "").lower() == "true" or bool(_NOT_SHOWN.search(has.get("style", "")))
         named = whole = False
-        if names and tag not in ("html", "body", "article", "main") and _FURNITURE.search(names):
+        if names and tag not in ("html", "body", "article", "main"):
             layout = " ".join(has[a] for a in ("class", "role", *(() if tag in _PLACES else ("id",))) if has.get(a))
-            whole = bool(_WHOLE.search(layout))
-            named = bool(_FURNITURE.search(layout)) or tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
+            if _FURNITURE.search(names):
+                whole = bool(_WHOLE.search(layout))
+                named = bool(_FURNITURE.search(layout)) or tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
+            elif layout:  # two words as one: "adbox", "commentlist"
+                whole = bool(_WHOLE.search(layout))
+            said = names if tag == "section" else layout
+            whole = whole or bool(_COMMENTS.search(said)) or bool(_DISCUSSION.search(has.get("class", "")))
+        comment = tag == "article" and bool(_COMMENTS.search(has.get("class", "")))
         if not attributes.endswith("/") or tag in BLOCK:
             first = tag in ("article", "main") and not re.search(r"/(?:article|main)\b", now.path)
-            now = _Element(tag, names, now, now.out or aside or whole or hidden, named)
+            now = _Element(tag, names, now, now.out or aside or whole or hidden, named, comment)
             if first:  # what the page marks as its article is judged by itself, whatever it is wrapped in
                 now.named = None
     return nodes
@@ -231,6 +255,7 @@ def _furniture(every: list[tuple[str, _Element, int]], box: _Element, least: flo
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, joined by one line break."""
     every = [x for x in text_nodes(html or "") if not x[1].out]
+    every = [x for x in every if not x[1].comment] or every  # unless all of the page is named so
     nodes = [x for x in every if not x[0].isspace()]
     nodes = [x for x in nodes if not x[1].named] or nodes
     if not nodes:
@@ -238,7 +263,7 @@ def main_text(html: str | None) -> str:
     scores = path_scores(nodes)
     mean = sum(scores) / len(scores)
     spread = math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores))
-    least = min(THRESHOLD * spread, max(scores))
+    least = min(max(THRESHOLD * spread, FLOOR * max(scores)), max(scores))
     own = _fused(*path_ratios(nodes))  # a short link beside a long paragraph is not content
     chosen = [s >= least and o >= least for s, o in zip(scores, own)]
     if not any(chosen):
@@ -250,7 +275,9 @@ def main_text(html: str | None) -> str:
             if a.tag in ("article", "main"):
                 marked[a] += content * len(said) + 1e-6 * len(said)
     if marked:
-        box = max(marked, key=lambda a: (marked[a], -a.path.count("/")))
+        top = max(marked.values())
+        first = next(a for a in marked if marked[a] >= FIRST * top)  # the dictionary is in page order
+        box = max(reversed([a for a in _up(first) if a in marked]), key=marked.get)  # of equal ones the outermost
     else:
         box = _container(mass, [e for (_, e, _), content in zip(nodes, chosen) if content])
     gone = _furniture(every, box, least)

@@ -88,3 +88,43 @@ def test_furniture_in_the_article_goes(block):
 @pytest.mark.parametrize("tag", ["article", "div"])
 def test_an_article_in_a_named_wrapper(tag):
     assert m.main_text(f"<body><div class='header-fixed'><{tag}><h1>Head</h1><p>{LONG}</p></{tag}></div></body>").split("\n") == ["Head", LONG.strip()]
+
+
+COMMENT = f"<p>{LONG * 3}</p>"
+
+
+@pytest.mark.parametrize("comments", [
+    f'<section id="comments"><article>{COMMENT}</article></section>', f'<section id="comments" class="x"><article class="a">{COMMENT}</article><article>{COMMENT}</article></section>',
+    f'<ol class="comment-list"><li>{COMMENT}</li></ol>', f'<ul class="commentlist"><li><article>{COMMENT}</article></li></ul>', f'<div class="discussion">{COMMENT}</div>',
+    f'<div id="reader-comments">{COMMENT}</div>', f'<div id="disqus_thread">{COMMENT}</div>', f'<article class="comment">{COMMENT}</article>', f'<div class="replies">{COMMENT}</div>',
+    f'<div class="post-comments-area">{COMMENT}</div>', f'<section class="commentThread comment-thread">{COMMENT}</section>',
+])
+@pytest.mark.parametrize("page", ["<body><article><h1>Head</h1><p>{0}</p></article>{1}</body>", "<body><article><h1>Head</h1><p>{0}</p>{1}</article></body>",
+                                  "<body><main><h1>Head</h1><p>{0}</p>{1}</main></body>", "<body><div><h1>Head</h1><p>{0}</p></div>{1}</body>"])
+def test_reader_comments_go_however_long(page, comments):
+    assert m.main_text(page.format(LONG, comments)).split("\n") == ["Head", LONG.strip()]
+
+
+@pytest.mark.parametrize("name", ["no-comments", "has-comments", "comments-open", "with-comments"])
+def test_names_that_say_whether_there_are_comments(name):
+    assert m.main_text(f'<body><div class="post {name}"><article><h1>Head</h1><p>{LONG}</p></article></div></body>').split("\n") == ["Head", LONG.strip()]
+
+
+@pytest.mark.parametrize("name", ["ad-box", "adbox", "related-posts", "related_articles", "cookie-notice-wrapper", "newsletter-box", "social-links"])
+def test_prose_in_furniture_goes(name):
+    assert m.main_text(f'<body><article><h1>Head</h1><p>{LONG}</p><div class="{name}"><p>{LONG}</p></div></article></body>').split("\n") == ["Head", LONG.strip()]
+
+
+def test_pages_of_one_paragraph():
+    for furniture in ('<div class="share-buttons"><a>Tweet</a></div>', '<div class="side-effects-x"><a>Tweet</a></div>'):
+        assert m.main_text(f"<body><p>{LONG}</p>{furniture}</body>") == LONG.strip()
+
+
+def test_the_first_of_several_articles():
+    second = f"<article><p>{LONG}</p><p>{LONG}</p></article>"
+    assert m.main_text(f"<body><article><h1>Head</h1><p>{LONG}</p></article>{second}</body>").split("\n") == ["Head", LONG.strip()]
+    assert m.main_text(f"<body><article><p>A teaser, short.</p></article>{second}</body>").split("\n") == [LONG.strip()] * 2
+
+
+def test_an_article_named_for_comments_alone_on_its_page():
+    assert m.main_text(f'<body><article class="comment"><h1>Head</h1><p>{LONG}</p></article></body>').split("\n") == ["Head", LONG.strip()]
