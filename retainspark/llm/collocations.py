@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ LONGEST, LEAST_COUNT, TOP = 4, 30, 2000
 SCALE, INSIDE = 2_000_000, 80
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 #: Bytes of text whose polynomials are held at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
 
 _rng = np.random.default_rng(13)
@@ -47,13 +47,7 @@ _PRIME = np.uint64((1 << 31) - 1)
 _BASE, _WORD_BASE = (int(x) | 1 for x in _rng.integers(1 << 62, 1 << 63, 2, np.uint64))
 _BASE_2 = int(_rng.integers(1 << 20, 1 << 31) - 1)
 #: What a byte is: 0 in a word, 1 space or tab, 2 between pieces.
-_KIND = np.zeros(256, np.uint8)
-_KIND[[32, 9]] = 1
-_KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
-#: A random number for each byte, the same for both cases of A-Z.
-_VALUE = _rng.integers(0, 1 << 63, 256, np.uint64)
-_VALUE_2 = _rng.integers(1, (1 << 31) - 1, 256, np.uint64)
-_VALUE[65:91], _VALUE_2[65:91] = _VALUE[97:123], _VALUE_2[97:123]
+_KIND = bytes(2 if c in b".,;:!?\n\x0b\x0c\r" else c in b" \t" for c in range(256))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -96,10 +90,10 @@ class Slice:
     ``width`` bits count (fewer than 64 only to make collisions)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: list[str], width: int = 64):
-        n = len(data)
+        n, raw = len(data), data.tobytes()
         p = _POWERS.upto(n + 1)
-        self.data, self.langs, self.mask = data, langs, np.uint64((1 << width) - 1)
-        kind = _KIND[data]
+        self.low, self.langs, self.mask = raw.lower(), langs, np.uint64((1 << width) - 1)  # A-Z only
+        kind = np.frombuffer(raw.translate(_KIND), np.uint8)
         inside = kind == 0
         begin, stop = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
@@ -108,11 +102,17 @@ class Slice:
         begin[edge] |= inside[edge]
         stop[edge - 1] |= inside[edge - 1]
         self.start, self.stop = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        self.text = np.searchsorted(offsets, self.start, "right") - 1
-        self.piece = np.cumsum(kind == 2)[self.start] + self.text if n else self.start
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * p.byte[:n])])
+        self.text = np.repeat(np.arange(len(langs)), np.diff(np.searchsorted(self.start, offsets)))
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.start] + self.text
+        value = np.frombuffer(self.low, np.uint8).astype(np.uint64)
+        value += np.uint64(1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(value * p.byte[:n], out=total[1:])
         self.word = _mixed((total[self.stop] - total[self.start]) * p.byte_back[self.start])
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE_2[data] * p.two[:n] % _PRIME)])
+        # sums over 2^23 bytes stay below 2^64 without a modulo; in a longer text without
+        # a break they don't, and its phrases are counted by their words
+        value *= p.two[:n]
+        np.cumsum(value, out=total[1:])
         self.word_2 = (total[self.stop] - total[self.start]) % _PRIME * p.two_back[self.start] % _PRIME
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * p.word[:len(self.word)])])
         self.of_lang = np.array([xxhash.xxh64_intdigest(x, 13) for x in langs], np.uint64)
@@ -149,7 +149,7 @@ class Slice:
         return self._cut(_mixed(self.of_lang)), self.of_lang_2.astype(np.int32), np.bincount(self.text, minlength=len(self.langs))
 
     def said(self, order: int, at: int) -> str:
-        return " ".join(self.data[a:b].tobytes().lower().decode() for a, b in zip(self.start[at:at + order].tolist(), self.stop[at:at + order].tolist()))
+        return " ".join(self.low[a:b].decode() for a, b in zip(self.start[at:at + order].tolist(), self.stop[at:at + order].tolist()))
 
 
 class Bits:
@@ -175,14 +175,24 @@ class Bits:
         return (self.table[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _slices(part: pa.RecordBatch, width: int) -> Iterator[tuple[Slice, np.ndarray]]:
-    """The texts of a batch with the digests of their documents, in slices."""
+def _slices(part: pa.RecordBatch, width: int, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[Slice, np.ndarray]]:
+    """The texts of a batch with the digests of their documents, in slices;
+    ``wanted`` says which digests to read (all if not given)."""
     langs = part.column("lang").to_pylist()
     text = part.column("text").cast(pa.binary())
     at = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
     at -= at[0]
     digest = np.array([xxhash.xxh3_64_intdigest(data[a:b], zlib.crc32(x.encode())) for a, b, x in zip(at[:-1].tolist(), at[1:].tolist(), langs)], np.uint64).view(np.int64)
+    if wanted is not None:
+        read = wanted(digest)
+        if not read.all():
+            kept = np.flatnonzero(read).tolist()
+            if not kept:
+                return
+            data = np.concatenate([data[at[k]:at[k + 1]] for k in kept])
+            at = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.diff(at)[kept])])
+            langs, digest = [langs[k] for k in kept], digest[kept]
     if len(langs) > 1 or len(data) <= 2 * SLICE_BYTES:
         yield Slice(data, at, langs, width), digest
         return
@@ -196,7 +206,7 @@ def _slices(part: pa.RecordBatch, width: int) -> Iterator[tuple[Slice, np.ndarra
 
 def _reduced(order: int, fp, two, n, doc) -> dict:
     """One row for each fingerprint: count, least and greatest second hash, least document."""
-    by = np.argsort(fp, kind="stable")
+    by = np.argsort(fp)
     fp = fp[by]
     first = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.empty(0, np.int64)
     of = (lambda f, x: f.reduceat(x[by], first) if len(first) else x[:0])
@@ -262,33 +272,31 @@ def _written(docs: DataFrame, found: DataFrame, pointed: bool, width: int) -> Da
     sent = docs.sparkSession.sparkContext.broadcast((Bits.of(found, "fp"), Bits.of(found, "doc") if pointed else None))
 
     def run(batches):
-        fps, wanted = sent.value
+        fps, pointers = sent.value
         seen: set[int] = set()
+
+        def wanted(digest: np.ndarray) -> np.ndarray:
+            read = pointers.have(digest)
+            for k in np.flatnonzero(read).tolist():
+                read[k] = int(digest[k]) not in seen
+                if len(seen) < 1_000_000:  # later ones may be read twice
+                    seen.add(int(digest[k]))
+            return read
+
         for batch in batches:
             for part in pieces(batch, "text", SLICE_BYTES):
-                for s, digest in _slices(part, width):
-                    read = np.ones(len(digest), bool)
-                    if wanted is not None:
-                        read = wanted.have(digest)
-                        for k in np.flatnonzero(read).tolist():
-                            if len(s.langs) > 1:  # a long text comes in several slices
-                                read[k] = int(digest[k]) not in seen
-                                if len(seen) < 1_000_000:  # later ones may be read twice
-                                    seen.add(int(digest[k]))
-                    if not read.any():
-                        continue
+                for s, digest in _slices(part, width, None if pointers is None else wanted):
                     rows = []
                     fp, two, n = s.empty()
-                    rows += [(0, fp[k], two[k], digest[k], s.langs[k], "", n[k]) for k in np.flatnonzero(read & fps.have(fp)).tolist()]
+                    rows += [(0, fp[k], two[k], digest[k], s.langs[k], "", n[k]) for k in np.flatnonzero(fps.have(fp)).tolist()]
                     for order in range(1, LONGEST + 1):
                         at = s.places(order)
-                        at = at[read[s.text[at]]]
                         fp, two = s.grams(order, at)
                         ok = fps.have(fp)
                         at, fp, two = at[ok], fp[ok], two[ok]
                         doc = digest[s.text[at]]
-                        if wanted is not None:  # one place of each in a document is enough
-                            _, first = np.unique(np.stack([fp, doc]), axis=1, return_index=True) if len(at) else (None, np.empty(0, np.int64))
+                        if pointers is not None and len(at):  # one place of each in a document is enough
+                            _, first = np.unique(np.stack([fp, doc]), axis=1, return_index=True)
                             at, fp, two, doc = at[first], fp[first], two[first], doc[first]
                         rows += [(order, f, t, d, s.langs[k], s.said(order, a), 1) for f, t, d, k, a in zip(fp, two, doc, s.text[at].tolist(), at.tolist())]
                     names = ["order", "fp", "two", "doc", "lang", "phrase", "n"]
