@@ -115,6 +115,13 @@ def factor_array(k: int = 3, with_magnitude: bool = False, features: list[str] =
     return factor_texts(_phi_array(features), k, with_magnitude)
 
 
+def contributions(k: int = 10, features: list[str] = FEATURES) -> Column:
+    """X4 array form: the k largest |phi| of a row with ``phi_`` columns, as
+    (feature, phi), largest first."""
+    return F.transform(F.slice(F.sort_array(_phi_array(features), asc=False), 1, k),
+                       lambda s: F.struct(s["feature"].alias("feature"), s["phi"].alias("phi")))
+
+
 def factors_of(long_phi: DataFrame, k: int = 3, id_col: str = "CustomerId") -> DataFrame:
     """(id, top_risk_factors) from the long form; a row's group is its features."""
     entry = F.struct(F.abs(F.col("phi")).alias("abs_phi"), "feature_index", "feature", "phi")
@@ -164,29 +171,43 @@ def _hash(*parts) -> Column:
 
 def background_rows(background: DataFrame, features: list[str], size: int, seed: int, id_col: str) -> DataFrame:
     """(bidx, bvec): the ``size`` rows with the smallest seeded hash of their id,
-    fewer if the table has fewer (a sampling operator; its size is the bound)."""
+    fewer if the table has fewer (a sampling operator; its size is the bound).
+    A stored sample (``background_sample``) is taken as it is."""
+    if {"bidx", "bvec"} <= set(background.columns):
+        return background.select("bidx", "bvec")
     picked = (background.select(F.col(id_col), *[F.col(f).cast("double").alias(f) for f in features])
               .withColumn("_h", _hash(id_col, F.lit(seed))).orderBy("_h", id_col).limit(size))
     return picked.select((F.row_number().over(Window.orderBy("_h", id_col)) - 1).cast("int").alias("bidx"),
                          F.array(*[F.col(f) for f in features]).alias("bvec"))
 
 
+def background_sample(background: DataFrame, model_name: str, features: list[str] = FEATURES, size: int = 64,
+                      seed: int = 42, id_col: str = "CustomerId") -> DataFrame:
+    """S8 for a model that isn't linear: the background rows that X2 draws from,
+    with the features they stand for.  Stored beside the model, it explains it
+    without the training table."""
+    return background_rows(background, features, size, seed, id_col).select(
+        F.lit(model_name).alias("model_name"), F.lit(features).alias("features"), "bidx", "bvec")
+
+
 def sampled_paths(rows: DataFrame, background: DataFrame, features: list[str], permutations: int,
                   background_size: int, seed: int, id_col: str) -> DataFrame:
-    """(id, k, xvec, bvec, perm): each row once per permutation, with the
-    background row and the feature order drawn for it by hash.  The draw is
+    """(id, pair, k, xvec, bvec, perm): each row once per permutation, in pairs: one
+    background row and one feature order drawn by hash, and the same order
+    backwards (k = 1).  An odd number of permutations is rounded up.  The draw is
     modulo the number of background rows there are, so every row has a path."""
     bg = background_rows(background, features, background_size, seed, id_col)
     found = bg.count()                                     # <= background_size
     if not found:
         raise ValueError("sampled_shapley needs at least one background row")
-    draw = F.pmod(F.conv(F.substring(_hash(id_col, "k", F.lit(seed)), 1, 8), 16, 10).cast("long"), F.lit(found)).cast("int")
-    paths = (rows.select(F.col(id_col), F.array(*[F.col(f).cast("double") for f in features]).alias("xvec"))
-             .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("bidx", draw))
+    draw = F.pmod(F.conv(F.substring(_hash(id_col, "pair", F.lit(seed)), 1, 8), 16, 10).cast("long"), F.lit(found)).cast("int")
+    pairs = (rows.select(F.col(id_col), F.array(*[F.col(f).cast("double") for f in features]).alias("xvec"))
+             .withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit((permutations + 1) // 2 - 1)))).withColumn("bidx", draw))
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)),
-                                     lambda j: F.struct(_hash(id_col, "k", j, F.lit(seed + 1)).alias("h"), j.alias("j"))))
-    return (paths.join(F.broadcast(bg), "bidx")
-            .select(id_col, "k", "xvec", "bvec", F.transform(order, lambda s: s["j"]).alias("perm")))
+                                     lambda j: F.struct(_hash(id_col, "pair", j, F.lit(seed + 1)).alias("h"), j.alias("j"))))
+    drawn = (pairs.join(F.broadcast(bg), "bidx")
+             .select(id_col, "pair", "xvec", "bvec", F.transform(order, lambda s: s["j"]).alias("_drawn")))
+    return drawn.select(id_col, "pair", "xvec", "bvec", F.posexplode(F.array("_drawn", F.reverse("_drawn"))).alias("k", "perm"))
 
 
 def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: list[str] = FEATURES,
@@ -194,7 +215,7 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: lis
                     id_col: str = "CustomerId", digits: int | None = PHI_DIGITS) -> DataFrame:
     """Permutation-sampled Shapley values of a fitted Spark ML pipeline
     (probability of class 1) or of any scoring function (DataFrame -> DataFrame
-    with a column ``f``).
+    with a column ``f``), with their standard errors.
 
     A path leads from a drawn background row to the row, switching one feature
     after another; all its points are scored in one pass.  The step that
@@ -202,26 +223,38 @@ def sampled_shapley(model, rows: DataFrame, background: DataFrame, features: lis
     +f to the feature just switched and -f to the one switched next, so the sum
     per (row, feature) needs no order and is partially aggregated where the
     points are made.  Over the features of a row, phi adds up to the mean of
-    f(row) - f(background) over its paths."""
+    f(row) - f(background) over its paths.
+
+    Paths come in antithetic pairs; a pair's two contributions to a feature are
+    averaged, and ``stderr`` is the standard error of the mean over the pairs
+    (null with one pair): with n times the permutations expect it to shrink by
+    the root of n.  The rows are dealt out by id before they are multiplied, so
+    both sums stay in place."""
     from pyspark.ml.functions import vector_to_array
 
     nf = len(features)
-    paths = sampled_paths(rows, background, features, permutations, background_size, seed, id_col)
-    steps = paths.select(id_col, "k", "xvec", "bvec", "perm", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("step"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = sampled_paths(rows.repartition(tasks, id_col), background, features, permutations, background_size, seed, id_col)
+    steps = paths.select(id_col, "pair", "xvec", "bvec", "perm", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("step"))
     switched = F.slice("perm", F.lit(1), F.col("step"))
     point = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)),
                         lambda j: F.when(F.array_contains(F.col("_on"), j), F.get("xvec", j)).otherwise(F.get("bvec", j)))
     pts = steps.withColumn("_on", switched).withColumn("_point", point)
-    pts = pts.select(id_col, F.get("perm", F.col("step") - 1).alias("_now"), F.get("perm", F.col("step")).alias("_next"),
+    pts = pts.select(id_col, "pair", F.get("perm", F.col("step") - 1).alias("_now"), F.get("perm", F.col("step")).alias("_next"),
                      *[F.get("_point", F.lit(i)).alias(f) for i, f in enumerate(features)])
     if hasattr(model, "transform"):
-        scored = model.transform(pts).select(id_col, "_now", "_next", vector_to_array(F.col("probability"))[1].alias("f"))
+        scored = model.transform(pts).select(id_col, "pair", "_now", "_next", vector_to_array(F.col("probability"))[1].alias("f"))
     else:
-        scored = model(pts).select(id_col, "_now", "_next", "f")
+        scored = model(pts).select(id_col, "pair", "_now", "_next", "f")
     parts = F.array_compact(F.array(F.when(F.col("_now").isNotNull(), F.struct(F.col("_now").alias("j"), F.col("f").alias("v"))),
                                     F.when(F.col("_next").isNotNull(), F.struct(F.col("_next").alias("j"), (-F.col("f")).alias("v")))))
-    sums = (scored.select(id_col, F.explode(parts).alias("s")).groupBy(id_col, F.col("s.j").alias("feature_index"))
-            .agg((F.sum("s.v") / F.lit(permutations)).alias("phi")))
+    of_pair = (scored.select(id_col, "pair", F.explode(parts).alias("s")).groupBy(id_col, F.col("s.j").alias("feature_index"), "pair")
+               .agg((F.sum("s.v") / 2).alias("v")))
+    sums = (of_pair.groupBy(id_col, "feature_index")
+            .agg(F.avg("v").alias("phi"), F.when(F.count("*") > 1, F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("stderr")))
     names = F.array(*[F.lit(f) for f in features])
-    return sums.select(id_col, F.get(names, F.col("feature_index")).alias("feature"), "feature_index",
-                       (F.col("phi") if digits is None else F.bround("phi", digits) + F.lit(0.0)).alias("phi"))
+
+    def shown(c: str) -> Column:
+        return (F.col(c) if digits is None else F.bround(c, digits) + F.lit(0.0)).alias(c)
+
+    return sums.select(id_col, F.get(names, F.col("feature_index")).alias("feature"), "feature_index", shown("phi"), shown("stderr"))

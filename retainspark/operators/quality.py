@@ -3,7 +3,7 @@ column-presence selection (V6) and what-if defaulting (V7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,24 +13,48 @@ from ..schema import CONTRACT_BOUNDS, GENDER_CODES, GEOGRAPHY_CODES, LABEL, LABE
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def quality_gates(df: DataFrame, expected_rows: int | None = None, max_rows: int | None = None,
-                  label: str = LABEL, rate_range: tuple[float, float] = LABEL_RATE_RANGE) -> DataFrame:
-    """V1-V3 in one aggregate: row count, total null cells, label rate, and
-    a pass flag per gate."""
-    nulls = None
-    for c in df.columns:
-        term = F.count_if(F.col(c).isNull())
-        nulls = term if nulls is None else nulls + term
-    row = df.agg(F.count("*").cast("long").alias("rows"), nulls.cast("long").alias("null_cells"),
-                 F.avg(F.col(label)).alias("_rate"))
+def _gate_measures(columns: list[str], label: str) -> list[Column]:
+    """What V1-V3 look at: rows, null cells and the label rate."""
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
+    return [F.count("*").cast("long").alias("rows"), nulls.cast("long").alias("null_cells"), F.avg(F.col(label)).alias("_rate")]
+
+
+def _gate_flags(row: DataFrame, expected_rows: int | None, max_rows: int | None, rate_range: tuple[float, float]) -> DataFrame:
     n = F.col("rows")
     rows_ok = n == expected_rows if expected_rows is not None else n > 0
     if max_rows is not None:
         rows_ok = rows_ok & (n <= max_rows)
-    lo, hi = rate_range
     return row.select("rows", "null_cells", F.bround("_rate", 6).alias("label_rate"),
                       rows_ok.alias("rows_ok"), (F.col("null_cells") == 0).alias("nulls_ok"),
-                      F.col("_rate").between(lo, hi).alias("label_rate_ok"))
+                      F.col("_rate").between(*rate_range).alias("label_rate_ok"))
+
+
+def quality_gates(df: DataFrame, expected_rows: int | None = None, max_rows: int | None = None,
+                  label: str = LABEL, rate_range: tuple[float, float] = LABEL_RATE_RANGE) -> DataFrame:
+    """V1-V3 in one aggregate: row count, total null cells, label rate, and
+    a pass flag per gate."""
+    return _gate_flags(df.agg(*_gate_measures(df.columns, label)), expected_rows, max_rows, rate_range)
+
+
+class Gates:
+    """V1-V3 taken from the pass that stores a table: write ``watched``, then ask
+    for the ``result``; the table is not read again for it.
+
+    Give it a frame of a session of its own (``spark.newSession()``): once a
+    session has been observed, Spark can't send to the executors what refers to
+    that session, as a freshly fitted model's summary does."""
+
+    def __init__(self, df: DataFrame, label: str = LABEL):
+        self.seen = Observation("gates")
+        self.spark = df.sparkSession
+        self.watched = df.observe(self.seen, *_gate_measures(df.columns, label))
+
+    def result(self, expected_rows: int | None = None, max_rows: int | None = None,
+               rate_range: tuple[float, float] = LABEL_RATE_RANGE) -> DataFrame:
+        """The row that ``quality_gates`` gives; waits for the write."""
+        m = self.seen.get
+        row = self.spark.createDataFrame([(m["rows"], m["null_cells"], m["_rate"])], "rows long, null_cells long, _rate double")
+        return _gate_flags(row, expected_rows, max_rows, rate_range)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

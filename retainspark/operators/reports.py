@@ -8,12 +8,12 @@ Every sort carries CustomerId as the final tie-breaker.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions.money import money_avg, money_sum
 from ..schema import ENGINEERED, LABEL
 
@@ -115,6 +115,18 @@ def kpis(scored: DataFrame, threshold) -> DataFrame:
                       F.when(share > 0.25, "red").when(share > 0.15, "amber").otherwise("green").alias("risk_band"))
 
 
+def executive_kpis(scored: DataFrame, threshold: float, metrics: DataFrame) -> DataFrame:
+    """The KPI row (A7) beside the metrics record (E11) - AUC, catch rate and
+    net value at the business threshold - and the six cards as displayed."""
+    m = metrics.select(F.col("test_auc").alias("model_auc"), "catch_rate", F.col("net_value_at_optimal_threshold").alias("business_value"))
+    row = kpis(scored, threshold).crossJoin(F.broadcast(m))
+    cards = {"at_risk_card": F.concat(F.format_number("at_risk", 0), F.lit(" ("), display.percent(F.col("at_risk_share")), F.lit(" of base)")),
+             "revenue_at_risk_card": display.whole_euros(F.col("revenue_at_risk_high")),
+             "model_auc_card": F.format_string("%.4f", "model_auc"), "catch_rate_card": display.percent(F.col("catch_rate")),
+             "avg_clv_card": display.whole_euros(F.col("avg_clv")), "business_value_card": display.whole_euros(F.col("business_value"))}
+    return row.select("*", *[c.alias(name) for name, c in cards.items()])
+
+
 # A8 / R2 -------------------------------------------------------------------
 def score_histogram(scored: DataFrame, bins: int = 40, p: str = "churn_probability") -> DataFrame:
     """Equal-width bins on [0, 1]; empty bins are present with count 0."""
@@ -161,20 +173,30 @@ def mean_clv(df: DataFrame, default: float = 1000.0) -> DataFrame:
 # P1-P3, P6 -----------------------------------------------------------------
 # What each choice of the activity filter keeps
 ACTIVITY = {"Active": 1, "Inactive": 0}
+#: The choice that narrows nothing.
 EVERYTHING = "ALL"
 
 
-def call_filters(scored: DataFrame, risk: str = EVERYTHING, geo: str = EVERYTHING, min_rv: float = 0.0,
-                 active: str = EVERYTHING) -> DataFrame:
-    """P1-P3 as one condition, pushed into the scan: every option with the
-    predicate it stands for, of which those that don't narrow are left out."""
-    narrowing = [
-        (risk != EVERYTHING, lambda: F.col("risk_level") == risk),
-        (geo != EVERYTHING, lambda: F.col("Geography_Label") == geo),
-        (active in ACTIVITY, lambda: F.col("IsActiveMember") == ACTIVITY[active]),
-        ("retention_value" in scored.columns, lambda: F.col("retention_value") >= float(min_rv)),
-    ]
-    return scored.where(reduce(and_, (predicate() for chosen, predicate in narrowing if chosen), F.lit(True)))
+@dataclass(frozen=True)
+class CallFilter:
+    """The filters that the call list and the export share; None narrows nothing."""
+
+    risk: str | None = None
+    geo: str | None = None
+    min_rv: float = 0.0
+    is_active: int | None = None
+
+    @classmethod
+    def of(cls, risk: str = EVERYTHING, geo: str = EVERYTHING, min_rv: float = 0.0, active: str = EVERYTHING) -> CallFilter:
+        """From the choices of a form."""
+        return cls(None if risk == EVERYTHING else risk, None if geo == EVERYTHING else geo, float(min_rv), ACTIVITY.get(active))
+
+    def apply(self, scored: DataFrame) -> DataFrame:
+        """P1-P3; each condition is pushed into the scan."""
+        for name, wanted in (("risk_level", self.risk), ("Geography_Label", self.geo), ("IsActiveMember", self.is_active)):
+            if wanted is not None:
+                scored = scored.where(F.col(name) == wanted)
+        return scored.where(F.col("retention_value") >= self.min_rv) if "retention_value" in scored.columns else scored
 
 
 def customer_lookup(df: DataFrame, customer_id: int) -> DataFrame:
@@ -199,17 +221,26 @@ def first_call_list(scored: DataFrame, k: int = 10) -> DataFrame:
 
 
 # T2 / R8 / R9 / S10 --------------------------------------------------------
-SORTED_BY = "retention_value"
+#: The sorts there are, by the name a user asks for.
+CALL_SORTS = {"retention_value": "retention_value", "churn_probability": "churn_probability", "clv_estimated": "clv_estimated"}
 
 
-def call_list(scored: DataFrame, sort_col: str = SORTED_BY, k: int = 100, **options) -> DataFrame:
-    """The k first customers of the filtered table; an unknown sort column
-    falls back to the retention value."""
-    key = F.col(sort_col if sort_col in scored.columns else SORTED_BY)
-    shown = call_filters(scored, **options).orderBy(key.desc(), "CustomerId").limit(k)
+def call_list(scored: DataFrame, sort_col: str = "retention_value", k: int = 100, **choices) -> DataFrame:
+    """The k first customers of the filtered table, by one of ``CALL_SORTS``;
+    any other name sorts by retention value."""
+    by = CALL_SORTS.get(sort_col, "retention_value")
+    shown = CallFilter.of(**choices).apply(scored).orderBy(F.desc(by), "CustomerId").limit(k)
     return shown.select(*present(scored, CALL_COLUMNS))
 
 
+def call_list_shown(calls: DataFrame) -> DataFrame:
+    """R8 as displayed: ids cut to 10 characters, other texts to 40, money in whole
+    euros, the probability in percent."""
+    shown = {"CustomerId": lambda c: display.cut(c.cast("string"), 10), "churn_probability": display.percent}
+    shown |= dict.fromkeys(("Balance", "clv_estimated", "retention_value"), display.whole_euros)
+    return calls.select(*[shown.get(c, lambda x: display.cut(x.cast("string"), 40))(F.col(c)).alias(c) for c in calls.columns])
+
+
 def call_list_total(scored: DataFrame, **kw) -> DataFrame:
     shown = call_list(scored, **kw)
     return shown.agg(F.count("*").cast("long").alias("customers"),
@@ -219,7 +250,7 @@ def call_list_total(scored: DataFrame, **kw) -> DataFrame:
 def export_rows(scored: DataFrame, risk: str = "ALL", geo: str = "ALL", min_rv: float = 0.0,
                 active: str = "ALL") -> DataFrame:
     """The call-list filters without sort or row cap (content of the export)."""
-    return call_filters(scored, risk, geo, min_rv, active)
+    return CallFilter.of(risk, geo, min_rv, active).apply(scored)
 
 
 # T5 ------------------------------------------------------------------------

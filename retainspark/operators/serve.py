@@ -12,14 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions import features as fx
-from ..operators.explain import factor_array, factors_of, linear_shapley, sampled_shapley, scorecard_shapley, with_fallback
+from ..operators.explain import contributions, factor_array, factors_of, linear_shapley, sampled_shapley, scorecard_shapley, with_fallback
 from ..operators.features import high_value_quantiles, serving_features
 from ..operators.quality import split_valid
 from ..operators.scoring import score_model, score_scorecard
 from ..operators.train import is_linear, linear_weights
 from ..schema import MODEL_VERSION_SUFFIX
 from ..sources.files import explainer_weights
+from ..sources.published import Published
 
 
 def explained(probs: DataFrame, model=None, explainer: DataFrame | None = None, background: DataFrame | None = None,
@@ -27,7 +29,8 @@ def explained(probs: DataFrame, model=None, explainer: DataFrame | None = None,
     """``probs`` plus ``top_risk_factors`` of what gave the probabilities:
 
     * the scorecard (no model): X1 on its terms;
-    * a model with a stored explainer (S8): X1 with its weights and means;
+    * a model with a stored explainer (S8): X1 with its weights and means, or X2
+      over its background sample;
     * a linear model with a background: X1 with the model's own weights;
     * any other model with a background: X2;
     * else the fallback list (X6)."""
@@ -35,6 +38,8 @@ def explained(probs: DataFrame, model=None, explainer: DataFrame | None = None,
         if means is None and background is None:
             return with_fallback(probs, None, id_col)
         att = scorecard_shapley(probs, background, means)
+    elif explainer is not None and "bvec" in explainer.columns:
+        return with_fallback(probs, factors_of(sampled_shapley(model, probs, explainer, id_col=id_col), 3, id_col), id_col)
     elif explainer is not None:
         rows = explainer_weights(explainer).collect()             # one row per feature
         if not rows:
@@ -90,6 +95,33 @@ def score_requests(requests: DataFrame, threshold, background: DataFrame | None
     return out, quarantined
 
 
+def score_published(requests: DataFrame, published: Published) -> tuple[DataFrame, DataFrame]:
+    """(responses, quarantined) by what is published (``load_published``), without
+    the training table: the model or else the scorecard, its explainer or else the
+    fallback reasons, its threshold or else the default."""
+    return score_requests(requests, published.business_threshold, model=published.model, model_name=published.name,
+                          quantiles=published.quantiles, legacy=published.quantiles is None, explainer=published.explainer)
+
+
+#: Attributes shown beside a customer's scores.
+PROFILE_COLUMNS = ["CustomerId", "Geography", "Gender", "Age", "CreditScore", "Tenure", "Balance", "NumOfProducts", "IsActiveMember", "EstimatedSalary"]
+
+
+def customer_profile(cust: DataFrame, responses: DataFrame, background: DataFrame) -> DataFrame:
+    """Attributes, CLV, score, action, the three reasons as listed (arrow and
+    name), the ten largest contributions (X4) and the sentence above them."""
+    feat = serving_features(cust, legacy=True)
+    ten = scorecard_shapley(feat, background).withColumn("_c", contributions(10))
+    ten = ten.select("CustomerId", "clv_estimated", F.array_join(F.transform(
+        "_c", lambda s: F.concat(s["feature"], F.lit(":"), F.format_string("%.6f", s["phi"] + F.lit(0.0)))), "|").alias("contributions"))
+    reasons = F.transform("top_risk_factors", lambda f: F.concat(display.direction(f), F.lit(" "), display.before(f, " (")))
+    headline = F.concat(F.lit("This customer has a "), display.percent(F.col("churn_probability")), F.lit(" probability of leaving within 30 days."))
+    return (cust.select(*PROFILE_COLUMNS).join(ten, "CustomerId").join(responses, "CustomerId")
+            .select(*PROFILE_COLUMNS, "clv_estimated", "churn_probability", "retention_value_eur", "risk_level", "recommended_action",
+                    F.array_join("top_risk_factors", " | ").alias("top_risk_factors"), "contributions",
+                    F.array_join(reasons, " | ").alias("reasons"), headline.alias("headline")))
+
+
 def batch_summary(responses: DataFrame) -> DataFrame:
     """A10 over responses (retention value in the response's own column)."""
     from .reports import batch_summary as _bs

@@ -170,21 +170,20 @@ PROFILE_ID = 10000042
 
 
 @register("customer_profile", _serve_sql() + f"""
+ , con AS (SELECT CustomerId, string_agg(feature || ':' || printf('%.6f', phi + 0.0e0), '|' ORDER BY rnk) AS contributions
+           FROM rk WHERE rnk <= 10 GROUP BY CustomerId)
+ , rea AS (SELECT CustomerId, string_agg(CASE WHEN phi > 0 THEN '\u2191 ' ELSE '\u2193 ' END || split_part({O.factor_text_sql(False)}, ' (', 1), ' | ' ORDER BY rnk) AS reasons
+           FROM rk WHERE rnk <= 3 GROUP BY CustomerId)
  SELECT c.CustomerId, c.Geography, c.Gender, c.Age, c.CreditScore, c.Tenure, c.Balance, c.NumOfProducts,
         c.IsActiveMember, c.EstimatedSalary, sf.clv_estimated, r.churn_probability, r.retention_value_eur,
-        r.risk_level, r.recommended_action, r.top_risk_factors
+        r.risk_level, r.recommended_action, r.top_risk_factors, con.contributions, rea.reasons,
+        'This customer has a ' || printf('%.1f%%', round_even(r.churn_probability * 100, 1)) || ' probability of leaving within 30 days.' AS headline
  FROM cust c JOIN sf ON c.CustomerId = sf.CustomerId JOIN resp r ON c.CustomerId = r.CustomerId
+      JOIN con ON c.CustomerId = con.CustomerId JOIN rea ON c.CustomerId = rea.CustomerId
  WHERE c.CustomerId = {PROFILE_ID}""")
 def q_customer_profile(spark, sf):
     plan = base.Plan(spark, sf)
     cust = plan.cust.where(F.col("CustomerId") == PROFILE_ID)
     resp, _ = serve.score_requests(cust.select(*[c for c in cust.columns if c != "Exited"]), plan.biz,
                                    background=plan.feat, legacy=True)
-    clv = serving_features(cust).select("CustomerId", "clv_estimated")
-    return (cust.select("CustomerId", "Geography", "Gender", "Age", "CreditScore", "Tenure", "Balance",
-                        "NumOfProducts", "IsActiveMember", "EstimatedSalary")
-            .join(clv, "CustomerId").join(resp, "CustomerId")
-            .select("CustomerId", "Geography", "Gender", "Age", "CreditScore", "Tenure", "Balance",
-                    "NumOfProducts", "IsActiveMember", "EstimatedSalary", "clv_estimated", "churn_probability",
-                    "retention_value_eur", "risk_level", "recommended_action",
-                    F.array_join("top_risk_factors", " | ").alias("top_risk_factors")))
+    return serve.customer_profile(cust, resp, plan.feat)

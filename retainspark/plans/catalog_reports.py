@@ -46,6 +46,37 @@ def q_kpis(spark, sf):
     return rp.kpis(plan.scored, plan.biz)
 
 
+def _display_sql(kind: str, x: str) -> str:
+    return {"euros": f"'\u20ac' || format('{{:,.0f}}', round_even({x}, 0))", "percent": f"printf('%.1f%%', round_even(({x}) * 100, 1))"}[kind]
+
+
+def _executive_sql() -> str:
+    from .catalog import _metrics_doc_sql
+    share = "CASE WHEN customers > 0 THEN at_risk / customers ELSE 0.0e0 END"
+    return _metrics_doc_sql() + f""", {O.SCORED}
+ , k AS (SELECT count(*) AS customers,
+                count(*) FILTER (WHERE churn_probability >= biz_threshold) AS at_risk,
+                {O.msum("CASE WHEN risk_level = 'HIGH' THEN retention_value END")} AS revenue_at_risk_high,
+                {O.mavg("clv_estimated")} AS avg_clv
+         FROM scored CROSS JOIN biz)
+ , e AS (SELECT customers, at_risk, revenue_at_risk_high, avg_clv, round_even({share}, 6) AS at_risk_share,
+        CASE WHEN ({share}) > 0.25e0 THEN 'red' WHEN ({share}) > 0.15e0 THEN 'amber' ELSE 'green' END AS risk_band,
+        test_auc AS model_auc, catch_rate, net_value_at_optimal_threshold AS business_value
+        FROM k CROSS JOIN doc)
+ SELECT *, format('{{:,}}', at_risk) || ' (' || {_display_sql("percent", "at_risk_share")} || ' of base)' AS at_risk_card,
+        {_display_sql("euros", "revenue_at_risk_high")} AS revenue_at_risk_card, printf('%.4f', model_auc) AS model_auc_card,
+        {_display_sql("percent", "catch_rate")} AS catch_rate_card, {_display_sql("euros", "avg_clv")} AS avg_clv_card,
+        {_display_sql("euros", "business_value")} AS business_value_card
+ FROM e"""
+
+
+@register("executive_kpis", _executive_sql())
+def q_executive_kpis(spark, sf):
+    plan = base.Plan(spark, sf)
+    f1t = ev.best_f1_threshold(plan.prob).first()["threshold"]     # one resolved value
+    return rp.executive_kpis(plan.scored, plan.biz, ev.metrics_record(plan.prob, f1t))
+
+
 @register("score_histogram", S_F1 + """
  , h AS (SELECT CAST(least(39, greatest(0, floor(churn_probability * 40))) AS INTEGER) AS bin, count(*) AS n
          FROM scored GROUP BY 1)
@@ -119,6 +150,16 @@ def q_call_list_high_risk(spark, sf):
     return rp.call_list(base.Plan(spark, sf).report, risk="HIGH", sort_col="no_such_column")
 
 
+@register("call_list_shown", S + f"""
+ , l AS (SELECT {_CALL_COLS} FROM scored WHERE {_CALL_WHERE} ORDER BY churn_probability DESC, CustomerId ASC LIMIT 100)
+ SELECT left(CAST(CustomerId AS VARCHAR), 10) AS CustomerId, CAST(Age AS VARCHAR) AS Age, left(Geography_Label, 40) AS Geography_Label,
+        {_display_sql("euros", "Balance")} AS Balance, {_display_sql("euros", "clv_estimated")} AS clv_estimated,
+        {_display_sql("percent", "churn_probability")} AS churn_probability, {_display_sql("euros", "retention_value")} AS retention_value,
+        risk_level, left(recommended_action, 40) AS recommended_action FROM l""")
+def q_call_list_shown(spark, sf):
+    return rp.call_list_shown(rp.call_list(base.Plan(spark, sf).report, sort_col="churn_probability", **CALL_ARGS))
+
+
 @register("call_list_total", S + f"""
  , shown AS (SELECT retention_value FROM scored WHERE {_CALL_WHERE}
              ORDER BY churn_probability DESC, CustomerId ASC LIMIT 100)

@@ -30,6 +30,7 @@ from ..schema import FEATURES, LABEL_RATE_RANGE
 from ..session import build_session, table
 from ..sources import files
 from ..sources.customer_base import customer_base
+from ..sources.published import publish
 
 
 def _store(df: DataFrame, path: str) -> DataFrame:
@@ -42,8 +43,11 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, rounds: int = 4
                  select_on: str = "test", shapley_permutations: int = 4, shapley_background: int = 64) -> dict:
     p = lambda *a: os.path.join(out_dir, *a)
     # 1 ingest + gates (V1-V4)
-    cust = _store(customer_base(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")), p("raw"))
-    gates = qa.quality_gates(cust, expected_rows=expected_rows).first()
+    side = spark.newSession()   # observed, see Gates
+    checked = qa.Gates(customer_base(table(side, sf_dir, "customer"), table(side, sf_dir, "orders")))
+    files.write_parquet(checked.watched, p("raw"))
+    cust = spark.read.parquet(p("raw"))
+    gates = checked.result(expected_rows=expected_rows).first()
     if not (gates["rows_ok"] and gates["nulls_ok"] and gates["label_rate_ok"]):
         raise ValueError(f"quality gates failed: {gates.asDict()} (label rate range {LABEL_RATE_RANGE})")
     files.write_csv(cust, p("raw_csv"))
@@ -56,12 +60,11 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, rounds: int = 4
     # 3 split (M1, A11)
     splits = _store(stratified_split(feat), p("splits"))
     files.write_parquet(rp.split_rates(splits), p("split_rates"))
-    # 4 train / compare / select / persist
+    # 4 train / compare / select
     results, fitted = tr.compare_models(splits, rounds=rounds, trees=trees, names=models,
                                         cross_validate=cross_validate)
     results = _store(results, p("model_comparison"))
     best_name, best = tr.best_model(results, fitted)
-    tr.save_model(best, best_name, p("model"))
     # 5 evaluate (C2, E1-E12): F1 threshold on val; business threshold and report on test
     val = score_model(best, splits.where(F.col("split") == "val"))
     test = _store(score_model(best, splits.where(F.col("split") == "test")), p("test_scores"))
@@ -77,20 +80,23 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, rounds: int = 4
     files.write_csv(scored, p("scored_csv"))
     # 7 explanations (X1 for the linear model, X2 otherwise; X5, S8)
     train = splits.where(F.col("split") == "train")
-    if best_name == "LogisticRegression":
+    if tr.is_linear(best):
         w = tr.linear_weights(best)
         means = xp.feature_means(train)
         long_phi = xp.long_attributions(xp.linear_shapley(scored, w, means=means))
-        files.write_parquet(files.explainer_table(spark, w, means, best_name), p("explainer"))
+        explainer = files.explainer_table(spark, w, means, best_name)
     else:
-        long_phi = xp.sampled_shapley(best, scored, background=train, permutations=shapley_permutations,
-                                      background_size=shapley_background)
+        explainer = _store(xp.background_sample(train, best_name, size=shapley_background), p("background"))
+        long_phi = xp.sampled_shapley(best, scored, background=explainer, permutations=shapley_permutations)
+    explainer = _store(explainer, p("explainer"))
+    # 8 the model with all that serving it takes
+    version = publish(best, best_name, p("model"), explainer, f1_t, biz, (q["q_balance"], q["q_salary"]))
     long_phi = _store(long_phi, p("attributions"))
     importance = (long_phi.groupBy("feature", "feature_index").agg(F.bround(F.avg(F.abs("phi")), 6)
                                                                    .alias("mean_abs_shap"))
                   .orderBy(F.col("mean_abs_shap").desc(), "feature_index").limit(15))
     files.write_csv(importance.select("feature", "mean_abs_shap"), p("feature_importance"))
-    return {"model": best_name, "f1_threshold": f1_t, "business_threshold": biz, "out": out_dir,
+    return {"model": best_name, "version": version, "f1_threshold": f1_t, "business_threshold": biz, "out": out_dir,
             "gates": gates.asDict()}
 
 
