@@ -8,7 +8,8 @@ as the lanes of one matrix and memory doesn't grow with a text.
 
 The network is trained in numpy by backpropagation through time, on windows of a
 bounded sample: at most ``SAMPLE`` documents of each language, those with the
-smallest hash of their id, found without moving any text.
+smallest hash, found without moving any text.  A text over ``SAMPLE_BYTES`` gives
+windows from anywhere in it.
 
 Defined results: text that is null or has no letter: ``und``, score 0.  With
 nothing to learn from, all are ``und``.  Repeated rows are predicted each; an
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, keyed, pieces, table, without
 
 UNKNOWN = "und"
-#: The bound of the training sample: documents per language, and bytes of each.
+#: The bound of the training sample: documents per language, bytes of each, and of a
+#: window where a document is longer.
 SAMPLE = 400
-SAMPLE_BYTES = 4096
+SAMPLE_BYTES, DRAWN_BYTES = 4096, 256
 HIDDEN = 8
 STEPS, LANES, WINDOW, RATE = 500, 128, 48, 0.02
 SEGMENT, CONTEXT = 512, 24
@@ -236,18 +238,37 @@ def _advance(gru: Gru, byte: np.ndarray, h: np.ndarray) -> np.ndarray:
     return h
 
 
+def drawn(text: bytes, seed: int) -> bytes:
+    """What a text gives to the sample: all of it, or of a longer one windows from
+    anywhere in it."""
+    if len(text) <= SAMPLE_BYTES:
+        return text
+    starts = np.sort(np.random.default_rng(seed).integers(0, len(text) - DRAWN_BYTES + 1, SAMPLE_BYTES // DRAWN_BYTES))
+    return b"".join(text[a:a + DRAWN_BYTES] for a in starts.tolist())
+
+
 def sample(docs: DataFrame, per_lang: int = SAMPLE) -> list[tuple[bytes, str]]:
-    """The training sample: (text, language) of rows outside the held-out fold."""
+    """The training sample: (text or windows of it, language) of rows outside the
+    held-out fold, ``per_lang`` of each language, those with the smallest hash.
+    A language's count says which hashes can be among them; only these few meet."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), HELD_OUT_MOD) != HELD_OUT))
-    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("salt"))
-    for by in (["lang", "salt"], ["lang"]):  # the smallest of each salted part, then of these, so no language meets in one task
-        n = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
-        chosen = chosen.withColumn("n", n).where(F.col("n") <= per_lang).drop("n")
-    ids = sorted(r[0] for r in chosen.select("doc_id").distinct().collect())
-    got = usable.where(F.col("doc_id").isin(ids)) if ids else usable.limit(0)
-    got = got.select("doc_id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    return [(r[2].encode(), r[1]) for r in sorted(got.collect(), key=lambda r: (r[0], r[1], r[2]))]
+    usable = usable.withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = usable.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), 2.0 * per_lang / F.col("n"))
+    low = usable.select("doc_id", "lang", "h").join(counts, F.col("lang") == F.col("of")).where(F.col("h").cast("double") <= share * 2.0 ** 64 - 2.0 ** 63)
+    n = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = low.select("doc_id", "lang", "h").distinct().withColumn("n", n).where(F.col("n") <= per_lang)
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column("h").to_pylist()
+            text = [drawn(t, x & 0xFFFFFFFF) for t, x in zip(batch.column("text").cast(pa.binary()).to_pylist(), h)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "h": batch.column("h"), "text": pa.array(text, pa.binary())})
+
+    got = usable.join(F.broadcast(chosen.drop("n")), ["doc_id", "lang", "h"]).select("doc_id", "lang", "h", "text")
+    got = got.mapInArrow(run, "doc_id long, lang string, h long, text binary").dropDuplicates(["doc_id", "lang", "h"])
+    return [(bytes(r[3]), r[1]) for r in sorted(got.collect())]
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:
