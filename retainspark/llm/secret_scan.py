@@ -25,6 +25,7 @@ null id are scanned but never trained on.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -47,9 +48,10 @@ _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run of the base's class that is long enough is found whole
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
-SAMPLE = 600
-SAMPLE_CHARS = 20_000
-WRITTEN = 400
+#: The bound of the training sample: texts with base spans and texts of any kind, and
+#: runs of each, drawn from the whole text.
+SAMPLE, RUNS = 600, 48
+WRITTEN = 500
 STEPS, RATE, L2 = 250, 0.1, 1e-3
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 _TOKEN = re.compile(r"[\w+/=.\-]+|[^\w\s]")
@@ -80,11 +82,14 @@ def possible(token: str) -> bool:
     return len(token) >= 20 or (len(token) >= 8 and any(c in "0123456789" for c in token)) or bool(_ODD.search(token))
 
 
-def _in_chain(tokens: list[tuple[int, int, str]]) -> list[bool]:
+def _in_chain(tokens: list[tuple[int, int, str]], line: str) -> list[bool]:
     """Which tokens of a line are not outside by constraint."""
-    may, key = [], -NEAR - 1
-    for i, (_, _, t) in enumerate(tokens):
-        may.append(possible(t) or i - key <= NEAR and any(c.isalnum() for c in t))
+    may, key, value = [], -NEAR - 1, False
+    for i, (a, b, t) in enumerate(tokens):
+        # behind a key word, or going on with a value there
+        value = i - key <= NEAR or value and tokens[i - 1][1] == a
+        password = line[b:b + 1] == "@" and line[a - 1:a] == ":" and _in_address(line, a)
+        may.append(possible(t) or (value or password) and any(c.isalnum() for c in t))
         if _KEY_WORD.search(t):
             key = i
     for i in range(1, len(tokens) - 1):  # glue between two possible tokens that touch it
@@ -93,6 +98,12 @@ def _in_chain(tokens: list[tuple[int, int, str]]) -> list[bool]:
     return may
 
 
+def _in_address(line: str, at: int) -> bool:
+    """Whether an address with a scheme goes on up to ``at``."""
+    begin = line.rfind("://", max(0, at - 80), at)
+    return begin >= 0 and not any(c.isspace() for c in line[begin:at])
+
+
 def _shape(token: str) -> list[str]:
     n = len(token)
     count = Counter(token)
@@ -104,7 +115,8 @@ def _shape(token: str) -> list[str]:
         "HEX" if all(c in "0123456789ABCDEF" for c in token) else "word" if token.isalpha() else "ascii" if token.isascii() else "other"
     return [f"len{min(n // 4, 12)}", f"kind_{kind}", f"entropy{int(2 * entropy)}", f"digits{int(5 * digits / n)}", f"flips{min(flips, 8)}",
             f"case{int(upper > 0)}{int(lower > 0)}{int(digits > 0)}", f"kind_{kind}_len{min(n // 8, 6)}",
-            f"marks{''.join(c for c in '_-./+=' if c in count)}"]
+            f"marks{''.join(c for c in '_-./+=' if c in count)}", f"dots{min(count['.'], 3)}",
+            *([f"start_{token[:3]}", f"start_{token[:3]}_{kind}"] if n >= 12 else ())]
 
 
 def runs(text: str) -> list[list[tuple[int, int, list[str]]]]:
@@ -118,7 +130,7 @@ def runs(text: str) -> list[list[tuple[int, int, list[str]]]]:
         if _POSSIBLE.search(line) or keys and _KEY_WORD.search(line):
             tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(line)]
             tokens = [p for t in tokens for p in _parts(t)]
-            may = _in_chain(tokens)
+            may = _in_chain(tokens, line)
             file = file or _file_features(text, lines)
             for i, (a, b, _) in enumerate(tokens):
                 if may[i]:
@@ -153,6 +165,9 @@ def _features(tokens: list[tuple[int, int, str]], i: int, line: str) -> list[str
     out = ["bias", *_shape(said), f"before_{mark if len(mark) == 1 and not mark.isalnum() else 'word' if mark else 'start'}",
            f"after_{after[0] if after and len(after[0]) == 1 and not after[0].isalnum() else 'word' if after else 'end'}",
            f"quoted{int(bool(before) and before[-1] in chr(34) + chr(39) + '`')}", f"key{min(len(near), 2)}"]
+    a, b, _ = tokens[i]
+    if _in_address(line, a):
+        out.append(f"address_{'password' if line[a - 1:a] == ':' and line[b:b + 1] == '@' else 'other'}")
     odd = f"odd{int(bool(_ODD.search(said)))}"
     out += [odd, f"{odd}_key{int(bool(near))}"]
     if near:
@@ -317,6 +332,7 @@ def written(n: int = WRITTEN, seed: int = 5) -> list[tuple[list[list[str]], list
                                f"https://example.org/a{rng.randint(100, 99999)}/index.html", f"{rng.randint(10**8, 10**11)}", "antidisestablishmentarianism", f"version-{rng.randint(1, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 9)}"])
         out += tagged(f"{rng.choice(['of the', 'see', 'call', 'the key is in', 'by'])} {harmless} and then", [])
         out += _written_words(rng)
+        out += _written_formats(rng)
     return out
 
 
@@ -341,23 +357,73 @@ def _written_words(rng: random.Random) -> list[tuple[list[list[str]], list[int]]
     return out
 
 
-def sample(docs: DataFrame, n: int = SAMPLE) -> list[str]:
-    """The texts the field is trained on."""
-    rows = keyed(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    order = lambda d: [r[0] for r in d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+#: How keys of well-known services begin.
+PREFIXES = ("sk_live_ sk_test_ pk_live_ rk_live_ ghp_ gho_ ghs_ github_pat_ glpat- xoxb- xoxp- xapp- AIza ya29. SG. npm_ hf_ dop_v1_ shpat_ sq0atp- pypi- "
+            "sk-proj- key-").split()
+SCHEMES = "postgres postgresql mysql redis amqp mongodb https ftp ssh smtp".split()
+_ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def _written_formats(rng: random.Random) -> list[tuple[list[list[str]], list[int]]]:
+    """Tagged lines of secrets that no key word announces, of passwords with marks,
+    and of values that look like secrets and are none."""
+    pick = lambda alphabet, lo, hi: "".join(rng.choices(alphabet, k=rng.randint(lo, hi)))
+    word = lambda: pick("abcdefghijklmnoprstuvw", 3, 9)
+    quote = rng.choice(["", "", '"', "'"])
+    prefix = rng.choice(PREFIXES)
+    parts = [pick(_ALNUM, 10, 14) for _ in range(3)] if prefix.startswith("x") else [pick(_ALNUM, 16, 60)]
+    token = prefix + "-".join(parts)
+    webtoken = ".".join(["eyJ" + pick(_ALNUM, 15, 40), "eyJ" + pick(_ALNUM + "-_", 20, 120), pick(_ALNUM + "-_", 30, 60)])
+    out = []
+    for value in (token, webtoken):
+        line = rng.choice([f"{word()} ", f"{word()} = {quote}", f"{word()}: {quote}", f"curl -H {quote}", "", f"{word()} {word()} {quote}"])
+        out += tagged(f"{line}{value}{quote} {word()} {word()}", [(len(line), len(line) + len(value))])
+    line = f"{rng.choice([word() + ' ', word() + ' = ' + quote, ''])}{rng.choice(SCHEMES)}://{word()}:"
+    value = rng.choice([pick(_ALNUM, 6, 24), pick(_ALNUM + "!$%*~", 8, 20), word().capitalize() + word().capitalize(), word()])
+    out += tagged(f"{line}{value}@{word()}.{word()}.com{rng.choice(['', ':' + str(rng.randint(80, 9999)), '/' + word()])}{quote} {word()}", [(len(line), len(line) + len(value))])
+    key, mark = rng.choice(KEY_WORDS), rng.choice([": ", "=", " = ", ":", " is "])
+    value = pick(_ALNUM, 3, 6) + rng.choice("!#$%&*^~?@") + pick(_ALNUM + "!#$%&*^~?", 3, 12) + pick(_ALNUM, 1, 4)
+    line = f"{rng.choice(['', word() + '_', 'the '])}{rng.choice([key, key.upper()])}{mark}{quote}"
+    out += tagged(f"{line}{value}{quote}{rng.choice(['', ' ' + word()])}", [(len(line), len(line) + len(value))])
+    digits, low = "0123456789", "0123456789abcdef"
+    harmless = rng.choice([
+        "-".join(pick(low, n, n) for n in (8, 4, 4, 4, 12)), f"+{pick(digits, 1, 2)}-{pick(digits, 3, 3)}-{pick(digits, 4, 4)}-{pick(digits, 4, 4)}", f"978-{pick(digits, 1, 1)}-{pick(digits, 4, 4)}-{pick(digits, 4, 4)}-{pick(digits, 1, 1)}",
+        f"INV-{rng.randint(2000, 2030)}-{pick(digits, 5, 6)}", f"src/{word()}/{word().capitalize()}{rng.randint(1, 9)}.java", f"get{word().capitalize()}{word().capitalize()}{rng.randint(1, 9)}()", f"#{pick(low, 6, 6)}",
+        ":".join(pick(low, 2, 2) for _ in range(6)), f"https://{word()}.org/{rng.randint(2000, 2030)}/{rng.randint(10, 12)}/{word()}-{word()}-{rng.randint(2, 99)}-{word()}", f"https://{word()}.net:{rng.randint(1000, 9999)}/{word()}{rng.randint(1, 99)}",
+        f"{pick('ABCDEFGHIKLMNRSTX', 2, 4)}{pick(digits, 3, 5)}{rng.choice(['', 'Ti', 'x'])}", "C6H12O6", f"{word()}{rng.randint(1, 99)}@{word()}.com", f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 99)}-beta{rng.randint(1, 9)}",
+        f"commit {pick(low, 7, 10)}", f"{word()}_{word()}_{rng.randint(1, 99)}_{word()}", f"{rng.randint(1, 31)}T{pick(digits, 2, 2)}:{pick(digits, 2, 2)}:{pick(digits, 2, 2)}Z", f"{word().capitalize()}{word().capitalize()}{word().capitalize()}",
+        f"window.{word()}.{word().capitalize()}{word().capitalize()}", f"{word()}.{word()}.{word()}{rng.randint(1, 9)}.com", f"{pick(digits, 4, 4)} {pick(digits, 4, 4)} {pick(digits, 4, 4)}", f"{word()}-{word()}-{word()}-{word()}-{rng.randint(1, 99)}"])
+    for said in ("{0} {1} {2} and {0}", "{0} = {1}", rng.choice(["the id {1}, of {0}", "see {1} for {0}", "{0}: {1}"])):
+        out += tagged(said.format(word(), harmless, word()), [])
+    return out
+
+
+def examples(docs: DataFrame, n: int = SAMPLE) -> list[tuple[list[list[str]], list[int]]]:
+    """Runs of the sampled texts, the base's spans as secrets.  Texts are tagged where
+    they lie; of each at most ``RUNS`` runs, with and without a secret, from the whole text."""
+    rows = keyed(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    lowest = lambda d: d.select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(n)
     found = rows.where(F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"))
-    ids = sorted({*order(found), *order(rows)})
-    got = rows.where(F.col("doc_id").isin(ids)).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")) if ids else rows.limit(0)
-    return [r[1] for r in sorted(got.collect())]
+    chosen = lowest(found).unionAll(lowest(rows)).distinct()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+                rng = random.Random(h)
+                all_runs = tagged(text, [(a, b) for a, _, b in base_spans(text)])
+                secret = [r for r in all_runs if any(t != OUTSIDE for t in r[1])]
+                plain = [r for r in all_runs if all(t == OUTSIDE for t in r[1])]
+                out.append(json.dumps([r for some in (secret, plain) for r in rng.sample(some, min(len(some), RUNS // 2))]))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "runs": pa.array(out, pa.string())})
+
+    got = rows.join(F.broadcast(chosen), ["doc_id", "h"]).select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, runs string").dropDuplicates(["doc_id", "h"])
+    return [(x, y) for r in sorted(got.collect()) for x, y in json.loads(r[2])]
 
 
 def fit(docs: DataFrame) -> Field:
     """Train on the sample (the base's spans as secrets) and the written lines."""
-    examples = written()
-    for text in sample(docs):
-        values = [(a, b) for a, _, b in base_spans(text)]
-        examples += tagged(text, values)
-    return train(examples)
+    return train(written() + examples(docs))
 
 
 def spans(text: str, field: Field) -> list[tuple[int, int, int]]:

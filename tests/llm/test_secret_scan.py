@@ -1,3 +1,5 @@
+import string
+import random
 import hashlib
 import itertools
 import re
@@ -126,3 +128,75 @@ def test_secrets_of_letters_or_few_characters(line, secret):
 def test_only_outside_tokens_cut_a_run():
     text = "of Ab12345678 Cd12345678\n\nEf12345678 of Gh12345678"
     assert [[text[a:b] for a, b, _ in run] for run in m.runs(text)] == [["Ab12345678", "Cd12345678", "Ef12345678"], ["Gh12345678"]]
+
+
+def held_out(seed=99, n=400):
+    """(text, secret or None) of lines that share no template with the training lines:
+    prose, source code, configuration, logs and commands."""
+    rng = random.Random(seed)
+    c = string.ascii_letters + string.digits
+    pick = lambda lo, hi, a=c: "".join(rng.choices(a, k=rng.randint(lo, hi)))
+    names = "orders billing search mailer worker report gateway".split()
+    people = "maria john wei fatima olga pedro".split()
+    out = []
+    for _ in range(n):
+        name, person = rng.choice(names), rng.choice(people)
+        value = rng.choice([
+            "sk_live_" + pick(24, 34), "ghp_" + pick(36, 36), "glpat-" + pick(20, 20), "AIza" + pick(35, 35, c + "-_"), "xoxb-" + pick(11, 12, string.digits) + "-" + pick(24, 24),
+            "eyJ" + pick(20, 33) + ".eyJ" + pick(40, 90, c + "-_") + "." + pick(43, 43, c + "-_"), "npm_" + pick(36, 36), "SG." + pick(22, 22) + "." + pick(43, 43)])
+        out.append((rng.choice(["{n}.authenticate('{v}')", "{p} pasted {v} into the chat.", "export {n}={v}", "- name: {n}\n  value: {v}", "run --with {v} --dry", "<{n}>{v}</{n}>", "{v}"])
+                    .format(n=name, p=person, v=value), value))
+        value = rng.choice([pick(9, 20), pick(4, 6) + rng.choice("!#$%&*^?") + pick(4, 8), person.capitalize() + rng.choice(names).capitalize() + str(rng.randint(1, 99))])
+        out.append((rng.choice(["db = connect('{s}://{p}:{v}@{n}.internal:5432/{n}')", "{s}://{p}:{v}@{n}.example.net", "DSN {s}://svc-{n}:{v}@10.0.0.{k}/0 loaded"])
+                    .format(s=rng.choice(["postgres", "mysql", "amqp", "redis"]), p=person, n=name, v=value, k=rng.randint(1, 250)), value))
+        out.append((rng.choice(["{n}_password: '{v}'", "login as {p}, the password is {v}", "os.environ['{n}_TOKEN'] = \"{v}\"", "client_secret={v}", "passphrase = \"{v}\"  # of {p}", "Authorization: Bearer {v}"])
+                    .format(n=name, p=person, v=value), value))
+        for harmless in (rng.choice(["{p} wrote on {y}-0{m}-1{m} at 1{m}:2{m}:3{m} to {p}{k}@{n}.org", "trace {u} took {k}ms", "call {p} on +44 20 7946 0{m}{k}", "ticket {N}-{k}{m}{k} is closed", "see https://{n}.com/{y}/{m}/{p}-and-{n}-{k}"]),
+                         rng.choice(["import {n}.{p}.Abstract{P}Factory{m};", "const {n}{P}Id = items[{k}].get{P}{m}();", "color: #{h}; margin: {m}px {k}px;", "HTTP/1.1 200 OK in {m}.{k}s (Mozilla/5.0 Gecko/2010{k})", "git checkout {h} -- src/{n}/{p}{m}.py",
+                                     "model RTX{y}Ti with DDR5-{y}", "C{m}H1{m}O{m}N2 at 2{m}.{k}C", "{n}-{m}.{k}.{m}-py3-none-any.whl", "IBAN DE89 3704 0044 0532 01{k}", "the token ring of {p} was a network", "a secret garden, the key to {n}", "keyboard layout {n}{m}",
+                                     "session {m} of the {n} course", "the private road to {p}'s house was closed", "{n} = {n}_{k}_{p}_v{m}", "0x{h} + 0x{h}"])):
+            out.append((harmless.format(p=person, P=person.capitalize(), n=name, N=name[:3].upper(), y=rng.randint(1990, 2030), m=rng.randint(1, 9), k=rng.randint(10, 250),
+                                        u="-".join(pick(x, x, "0123456789abcdef") for x in (8, 4, 4, 4, 12)), h=pick(6, 7, "0123456789abcdef")), None))
+    return out
+
+
+@pytest.fixture(scope="module")
+def full_field():
+    return m.train(m.written())
+
+
+def test_recall_and_precision_on_held_out_lines(full_field):
+    found = right = wrong = secrets = whole = 0
+    for text, secret in held_out():
+        spans = m.spans(text, full_field)
+        if secret is None:
+            wrong += sum(k == 3 for _, k, _ in spans)
+            continue
+        secrets += 1
+        a = text.index(secret)
+        covered = {i for s, _, e in spans for i in range(s, e)}
+        right += set(range(a, a + len(secret))) <= covered
+        mine = [(s, e) for s, k, e in spans if k == 3]
+        found += len(mine)
+        whole += sum(a - 1 <= s < e <= a + len(secret) + 1 for s, e in mine)
+    print(f"recall {right / secrets:.3f} of {secrets}, precision {whole / (found + wrong):.3f} of {found + wrong} added spans, {wrong} on harmless lines")
+    assert right / secrets >= 0.9 and whole / (found + wrong) >= 0.9
+
+
+@pytest.mark.parametrize("text, secret", [
+    ("key sk_live_51H8xY2eZvKYlo2C0abcdEFgh here", "sk_live_51H8xY2eZvKYlo2C0abcdEFgh"), ("use xoxb-123456789012-abcdefGHIJ-klmnop now", "xoxb-123456789012-abcdefGHIJ-klmnop"),
+    ("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"),
+    ("postgres://user:S3cr3tPass99@host", "S3cr3tPass99"), ("ghp_Xq0123456789abcdefQWERTY", "ghp_Xq0123456789abcdefQWERTY"), ("AIzaSyD4f3a9_0123456789abcdefXYZqwe", "AIzaSyD4f3a9_0123456789abcdefXYZqwe"),
+    ('client_secret: "Zq8!kk#2pP"', "Zq8!kk#2pP"),
+])
+def test_whole_values_without_a_base_span(full_field, text, secret):
+    a = text.index(secret)
+    assert (a, 3, a + len(secret)) in m.spans(text, full_field)
+
+
+def test_examples_come_from_the_whole_text(make_docs, prose):
+    late = prose(1, 9000) + "\npassword = Abcd1234efgh5678\n" + prose(2, 50)
+    got = m.examples(make_docs([(1, late), (1, late), (2, prose(3, 40)), (None, "password = Abcd1234efgh5678"), (3, None)], clashes=True))
+    assert sum(m.BEGIN in tags for _, tags in got) == 1
+    many = "\n".join(f"token = Abcd1234efgh{i:04}" for i in range(500))
+    assert len(m.examples(make_docs([(1, many)]))) <= m.RUNS
