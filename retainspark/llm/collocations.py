@@ -267,12 +267,13 @@ def frequent(docs: DataFrame, width: int = 64) -> DataFrame:
 
 def _written(docs: DataFrame, found: DataFrame, pointed: bool, width: int) -> DataFrame:
     """(order, fp, two, doc, lang, phrase, n): the phrases of fingerprints in ``found``
-    (and maybe of others) by slice; ``pointed``: only of the documents pointed to, each
+    (and maybe of others) by slice; ``pointed``: only where the pointers point, each
     text once a task."""
-    sent = docs.sparkSession.sparkContext.broadcast((Bits.of(found, "fp"), Bits.of(found, "doc") if pointed else None))
+    places = found.withColumn("place", F.col("fp").bitwiseXOR(F.col("doc")) if pointed else F.col("fp"))
+    sent = docs.sparkSession.sparkContext.broadcast((Bits.of(places, "place"), Bits.of(found, "doc") if pointed else None))
 
     def run(batches):
-        fps, pointers = sent.value
+        places, pointers = sent.value
         seen: set[int] = set()
 
         def wanted(digest: np.ndarray) -> np.ndarray:
@@ -288,13 +289,13 @@ def _written(docs: DataFrame, found: DataFrame, pointed: bool, width: int) -> Da
                 for s, digest in _slices(part, width, None if pointers is None else wanted):
                     rows = []
                     fp, two, n = s.empty()
-                    rows += [(0, fp[k], two[k], digest[k], s.langs[k], "", n[k]) for k in np.flatnonzero(fps.have(fp)).tolist()]
+                    rows += [(0, fp[k], two[k], digest[k], s.langs[k], "", n[k]) for k in np.flatnonzero(places.have(fp if pointers is None else fp ^ digest)).tolist()]
                     for order in range(1, LONGEST + 1):
                         at = s.places(order)
                         fp, two = s.grams(order, at)
-                        ok = fps.have(fp)
-                        at, fp, two = at[ok], fp[ok], two[ok]
                         doc = digest[s.text[at]]
+                        ok = places.have(fp if pointers is None else fp ^ doc)
+                        at, fp, two, doc = at[ok], fp[ok], two[ok], doc[ok]
                         if pointers is not None and len(at):  # one place of each in a document is enough
                             _, first = np.unique(np.stack([fp, doc]), axis=1, return_index=True)
                             at, fp, two, doc = at[first], fp[first], two[first], doc[first]
