@@ -51,13 +51,13 @@ def publish(model: PipelineModel, name: str, path: str, explainer: DataFrame | N
         explainer.write.parquet(os.path.join(at, "explainer"))
     record = spark.createDataFrame([(version, name, explainer is not None, float(f1_threshold), float(business_threshold),
                                       *(map(float, quantiles) if quantiles else (None, None)))], RECORD)
-    record.coalesce(1).write.mode("append").parquet(os.path.join(path, "records"))
+    record.coalesce(1).write.parquet(os.path.join(path, "records", f"record={version}"))
     return version
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Every published version, newest first."""
-    return optional_table(spark, os.path.join(path, "records"), RECORD).orderBy("version", ascending=False)
+    return optional_table(spark, os.path.join(path, "records"), RECORD).select(*RECORD.names).orderBy("version", ascending=False)
 
 
 def load_published(spark: SparkSession, path: str, version: str | None = None) -> Published:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,8 +78,10 @@ SINKS = ("responses", "quarantine")
 
 
 def _record(spark: SparkSession, output_dir: str, rows: list[tuple[int, str]]) -> None:
-    """One file, so that all of ``rows`` appear together."""
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(os.path.join(output_dir, "manifest"))
+    """One file, so that all of ``rows`` appear together, in a folder of its own, so
+    that a stream and a compaction can both write."""
+    name = f"record={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(os.path.join(output_dir, "manifest", name))
 
 
 def manifest(spark: SparkSession, output_dir: str) -> DataFrame:

@@ -230,3 +230,45 @@ def test_leaderboard_fits_the_full_models(spark, sf_small, monkeypatch):
     monkeypatch.setattr(cm.tr, "compare_models", compare)
     cm.q_leaderboard(spark, sf_small)
     assert got == [(400, 300, None, True)]
+
+
+def test_a_stopped_comparison_goes_on(spark, splits, monkeypatch):
+    """Finished fits are rows; only the others are made again, and the results are the same."""
+    kw = dict(rounds=2, trees=3, names=["LogisticRegression", "RandomForest"], parallelism=2)
+    store = tempfile.mkdtemp(prefix="fits-", dir="/tmp")
+    want = [tuple(r) for r in tr.compare_models(splits, **kw, store=os.path.join(store, "a"))[0].collect()]
+    made, add = [], tr.TrainingTable.add
+
+    def stopping(self, row, model=None):
+        if len(made) == 5:
+            raise RuntimeError("stopped")
+        made.append(row[:2])
+        add(self, row, model)
+    monkeypatch.setattr(tr.TrainingTable, "add", stopping)
+    with pytest.raises(RuntimeError, match="stopped"):
+        tr.compare_models(splits, **kw, store=os.path.join(store, "b"))
+    first = tr.TrainingTable(spark, os.path.join(store, "b")).done()
+    assert len(first) == 5
+    made.clear()
+    monkeypatch.setattr(tr.TrainingTable, "add", lambda self, row, model=None: (made.append(row[:2]), add(self, row, model)))
+    res, models = tr.compare_models(splits, **kw, store=os.path.join(store, "b"))
+    assert len(made) == 7 and not first & set(made) and set(models) == set(kw["names"])
+    assert [tuple(r) for r in res.collect()] == want
+    made.clear()
+    tr.compare_models(splits, **kw, store=os.path.join(store, "b"))
+    assert made == []
+
+
+def test_training_key_follows_data_and_sizes(splits):
+    key = tr.training_key(splits, 1, 2)
+    assert key == tr.training_key(splits.repartition(5), 1, 2) != tr.training_key(splits, 1, 3)
+    assert key != tr.training_key(splits.where(F.col("CustomerId") % 7 > 0), 1, 2)
+
+
+def test_certificate_tells_an_optimum(splits):
+    train = sp.with_weights(splits.where(F.col("split") == "train")).cache()
+    pipe = tr.estimators(train.count())["LogisticRegression"]
+    rows = tr.fit_certificate(pipe.fit(train), train).collect()
+    assert len(rows) == len(FEATURES) + 1 and all(r.optimal for r in rows) and any(abs(r.gradient_at_start) > 0.01 for r in rows)
+    pipe.getStages()[-1].setMaxIter(1)
+    assert not all(r.optimal for r in tr.fit_certificate(pipe.fit(train), train).collect())
