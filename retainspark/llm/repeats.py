@@ -188,8 +188,10 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = keyed(docs).mapInArrow(run_ids, "doc_id long, text_key binary, n_bytes long, whole string")
     found = suffixes(docs, length)
     shared = found.groupBy(F.col("suffix").alias("same")).agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where(F.col("n") > 1)
-    met = found.join(shared, F.col("suffix") == F.col("same"))
-    met = stored(met.select("suffix", "around", "text_key", "at", (F.col("a") != F.col("b")).alias("differs")), "repeats-met")
+    # stored, so that the join has a shuffle of its own on either side: a suffix with very
+    # many triggers is then split over tasks (adaptive skew join) instead of meeting in one
+    shared = stored(shared.select("same", (F.col("a") != F.col("b")).alias("differs")), "repeats-shared")
+    met = stored(found.join(shared, F.col("suffix") == F.col("same")).select("suffix", "around", "text_key", "at", "differs"), "repeats-met")
     reps = met.where("differs").groupBy("suffix", "around").agg(F.count("*").alias("copies"), F.min(F.struct("text_key", "at")).alias("r"))
     by_text = reps.select(F.col("r.text_key").alias("of"), F.struct(F.col("r.at").alias("at"), "suffix", "around", "copies").alias("rep"))
     by_text = by_text.groupBy("of").agg(F.collect_list("rep").alias("reps"))
