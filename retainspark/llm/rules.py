@@ -13,7 +13,10 @@ without a fixed list are counted from their documents.
 
 DataFrame functions only: words, windows and histograms are array expressions
 inside the row, so windows are not shuffled, and words only as counts of the
-languages without a list; the references are one small aggregate.
+languages without a list; the references are one small aggregate.  A row's common
+words are counted once, whatever number of languages lists them, and all references
+are one array that one expression goes through, so that columns and expressions don't
+grow with the languages, and a language costs a row the look-up of its list.
 
 Defined results: null text: no words, ``base_failed``.  A language without a
 document to learn from has no reference, and its documents aren't judged by
@@ -62,9 +65,9 @@ def common_words(docs: DataFrame) -> dict[str, tuple[str, list[str]]]:
 
 
 def measured(docs: DataFrame, lists: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
-    """One row per document: counts of the base rules, and the histograms as
-    shares: ``p_classes`` (character classes, white space and the rest last) and
-    for each key of ``lists`` ``p_<key>`` (its language's common words, all other words last)."""
+    """One row per document: counts of the base rules, ``p_classes`` (shares of the
+    character classes, white space and the rest last), and ``common`` and ``times``
+    (the words that any of ``lists`` has and how often they occur)."""
     common = {g: ws for g, (_, ws) in lists.items()} if lists else COMMON_WORDS
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
@@ -87,59 +90,71 @@ def measured(docs: DataFrame, lists: dict[str, tuple[str, list[str]]] | None = N
     d = d.withColumn("p", F.sort_array(F.transform(F.filter("s", lambda x, i: same(x, F.get("s", i - 1)) | same(x, F.get("s", i + 1))), lambda x: x["i"])))
     steps = F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3))))
     repeat = F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
-    count = lambda w: F.size("c") - F.size(F.array_remove("c", w))
-    d = d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), "classes",
-                 *[F.array(*[count(w) for w in ws]).alias(f"common_{g}") for g, ws in common.items()])
-    # the histograms as shares, worked out once: a language's common words with all other words last
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    share = lambda c, of: F.transform(c, lambda x: x / of)
-    d = d.withColumns({"chars": F.greatest(total("classes"), F.lit(1)), "words": F.greatest("n_words", F.lit(1)),
-                       **{f"known_{g}": total(f"common_{g}") for g in common}})
-    d = d.withColumns({"p_classes": share("classes", F.col("chars")),
-                       **{f"p_{g}": F.concat(share(f"common_{g}", F.col("words")), F.array((F.col("words") - F.col(f"known_{g}")) / F.col("words"))) for g in common}})
-    d = d.drop("classes", "chars", "words", *[f"{c}_{g}" for c in ("common", "known") for g in common])
+    d = d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), "classes", F.sort_array("c").alias("c"))
+    d = d.withColumns({"chars": F.greatest(total("classes"), F.lit(1)), "common": F.array_distinct("c")})
+    # equal words stand together: from the first of one to the first of the next
+    first = lambda w: F.array_position("c", w)
+    d = d.withColumn("times", F.transform("common", lambda w, i: (F.coalesce(first(F.get("common", i + 1)), F.size("c") + 1) - first(w)).cast("int")))
+    d = d.withColumn("p_classes", F.transform("classes", lambda x: x / F.col("chars"))).drop("classes", "chars", "c")
     failed = (F.col("n_words") < BASE_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * BASE_REPEAT_PERCENT)
     return d.withColumn("base_failed", failed)
 
 
+def _counts(words: Column) -> Column:
+    """How often each of some words occurs in a measured row."""
+    return F.transform(words, lambda w: F.coalesce(F.get("times", (F.array_position("common", w) - 1).cast("int")), F.lit(0)))
+
+
+def _shares(counts: Column) -> Column:
+    """The counts as shares of the row's words, all other words last."""
+    n = F.greatest("n_words", F.lit(1))
+    known = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.transform(F.concat(F.transform(counts, lambda x: x.cast("long")), F.array(n - known)), lambda x: x / n)
+
+
 def references(rows: DataFrame, lists: dict[str, tuple[str, list[str]]]) -> dict[str, tuple[list[float], list[float]]]:
     """Mean histograms of each language's documents that pass the base rules:
     one row per language comes to the driver."""
-    out = {}
-    langs = [lang for lang, _ in lists.values()]
-    picked = rows.where(~F.col("base_failed") & F.col("lang").isin(langs))
-    k, m = len(CLASSES) + 2, len(next(iter(lists.values()))[1]) + 1
-    own = F.coalesce(*[F.when(F.col("lang") == lang, F.col(f"p_{g}")) for g, (lang, _) in lists.items()])
-    flat = picked.select("lang", "p_classes", own.alias("p_own"))
+    if not lists:
+        return {}
+    of = {lang: ws for lang, ws in lists.values()}
+    own = F.element_at(F.map_from_arrays(F.lit(list(of)), F.array(*[F.lit(ws) for ws in of.values()])), F.col("lang"))
+    picked = rows.where(~F.col("base_failed") & F.col("lang").isin(list(of))).select("*", own.alias("own"))
+    flat = picked.withColumn("own", _counts(F.col("own"))).select("lang", "p_classes", _shares(F.col("own")).alias("p_own"))
+    k, m = len(CLASSES) + 2, len(next(iter(of.values()))) + 1
     flat = flat.select("lang", *[F.get("p_classes", F.lit(j)).alias(f"a{j}") for j in range(k)], *[F.get("p_own", F.lit(j)).alias(f"b{j}") for j in range(m)])
-    for r in flat.groupBy("lang").agg(*[F.avg(f"a{j}") for j in range(k)], *[F.avg(f"b{j}") for j in range(m)]).collect():
-        out[r[0]] = (list(r[1:1 + k]), list(r[1 + k:]))
-    return out
+    return {r[0]: (list(r[1:1 + k]), list(r[1 + k:]))
+            for r in flat.groupBy("lang").agg(*[F.avg(f"a{j}") for j in range(k)], *[F.avg(f"b{j}") for j in range(m)]).collect()}
 
 
-def divergence(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of a row's shares, an array, from
-    fixed ones."""
+def divergence(p: Column, q: Column | list[float]) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of shares."""
     def part(x: Column, y: Column) -> Column:
         m = (x + y) / 2
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0)) + F.when(y > 0, y * F.log2(y / m)).otherwise(F.lit(0.0))
-    terms = F.zip_with(p, F.array(*[F.lit(float(y)) for y in q]), part)
+    terms = F.zip_with(p, q if isinstance(q, Column) else F.lit([float(y) for y in q]), part)
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
+def nearest(known: dict[str, tuple[list[float], list[float]]], lists: dict[str, tuple[str, list[str]]]) -> Column:
+    """A measured row's distance to the nearest reference; null if there is none."""
+    refs = [F.struct(F.lit(known[lang][0]).alias("classes"), F.lit(ws).alias("words"), F.lit(known[lang][1]).alias("shares")) for lang, ws in lists.values() if lang in known]
+    if not refs:
+        return F.lit(None).cast("double")
+    counted = F.transform(F.array(*refs), lambda r: F.struct(r["classes"].alias("classes"), r["shares"].alias("shares"), _counts(r["words"]).alias("n")))
+    return F.array_min(F.transform(counted, lambda r: (divergence(F.col("p_classes"), r["classes"]) + divergence(_shares(r["n"]), r["shares"])) / 2))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """Counts, ``base_failed``, ``distance`` (to the nearest reference; null if
     there is none or the text is too short) and ``kept`` for each document."""
     lists = common_words(docs)
     rows = stored(measured(docs, lists), "rules-measured")
     known = references(rows, lists)
-    each = []
-    for g, (lang, _) in lists.items():
-        if lang in known:
-            each.append((divergence(F.col("p_classes"), known[lang][0]) + divergence(F.col(f"p_{g}"), known[lang][1])) / 2)
-    nearest = each[0] if len(each) == 1 else F.least(*each) if each else F.lit(None).cast("double")
     limit = F.lit(MAX_DISTANCE) + F.lit(WIDENING) / F.sqrt(F.greatest("n_words", F.lit(1)))
-    d = rows.withColumn("distance", F.when((F.col("n_words") >= MIN_WORDS) & (F.col("lang").isNull() | F.col("lang").isin(list(known))), nearest))
+    asked = (F.col("n_words") >= MIN_WORDS) & (F.col("lang").isNull() | F.col("lang").isin(list(known)))
+    d = rows.withColumn("distance", F.when(asked, nearest(known, lists)))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= limit)))
 
 

@@ -75,3 +75,38 @@ def test_every_language_of_the_corpus_has_a_reference(spark, make_docs, prose):
     rows += [(200, " ".join(f"{w}*** |" for w in prose(99, 120).split()), "ru.x")]
     got = {r.doc_id: r for r in m.judged(make_docs(rows)).collect()}
     assert all(got[i].kept and got[i].distance is not None for i in got if i != 200) and not got[200].kept
+
+
+def test_counts_of_common_words(spark, make_docs):
+    text = "the The of of xyz of to, to be bee"
+    r = m.measured(make_docs([(1, text)])).first()
+    assert dict(zip(r.common, r.times)) == {"the": 2, "of": 3, "to": 1, "be": 1}
+
+
+def test_fifty_languages(spark, make_docs):
+    """One expression for all references: columns don't grow, and each language's own text is near its own."""
+    import random
+    rng = random.Random(3)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    own = {f"l{i}": rng.sample(syllables, 8) for i in range(50)}
+    say = lambda g, n: " ".join("".join(rng.choices(own[g], k=rng.randint(1, 2))) for _ in range(n)).capitalize() + "."
+    rows = [(i * 10 + j, say(g, 150), g) for i, g in enumerate(own) for j in range(4)] + [(9000, " ".join(f"{x}*** |" for x in say("l3", 150).split()), "l3")]
+    docs = make_docs(rows)
+    lists = m.common_words(docs)
+    assert len(lists) == 54
+    got = {r.doc_id: r for r in m.judged(docs).collect()}
+    assert all(got[i].kept and got[i].distance is not None for i in got if i != 9000) and not got[9000].kept
+    assert len(m.measured(docs, lists).columns) == len(m.measured(docs).columns)
+    # the nearest reference by a plain computation
+    rows_ = m.stored(m.measured(docs, lists), "fifty")
+    known = m.references(rows_, lists)
+    js = lambda p, q: np.sqrt(max(0, sum((x * np.log2(2 * x / (x + y)) if x else 0) + (y * np.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)) / 2))
+    by = {r.doc_id: r for r in rows_.collect()}
+    for i in (0, 123, 250, 9000):
+        r, count = by[i], Counter(w.lower() for w in dict((d, t) for d, t, _ in rows)[i].split())
+        best = 9.0
+        for lang, words in lists.values():
+            if lang in known:
+                p = [count[w] / r.n_words for w in words]
+                best = min(best, (js(r.p_classes, known[lang][0]) + js([*p, 1 - sum(p)], known[lang][1])) / 2)
+        assert got[i].distance == pytest.approx(best, abs=1e-9)
