@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, table
 
-__all__ = ["arrow_map", "components", "crc_mod", "keyed", "pieces", "stored", "table", "without"]
+__all__ = ["arrow_map", "components", "crc_mod", "keep_rows", "keyed", "pieces", "stored", "table"]
 
 #: Edges that a round of ``components`` writes to one file.
 EDGES_PER_FILE = 250_000
@@ -38,14 +38,20 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
 
 
-def without(docs: DataFrame, bad: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose key is in ``bad``; rows with a null key stay.
-    Works whatever other columns ``docs`` has."""
-    gone = bad.select(F.col(key).alias("__gone")).where(F.col("__gone").isNotNull()).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+def keep_rows(docs: DataFrame, fn: Callable[[list[str | None]], np.ndarray], limit: int = PIECE_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose texts ``fn`` says yes to, with all their columns.
+    Each row is judged by its own text, whatever ids and columns there are; no row
+    is moved."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, at, limit):
+                yield part.filter(pa.array(fn(part.column(at).to_pylist()), pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str | int = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text (one row at least)."""
     n = batch.num_rows
     if not n:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keyed, pieces, table, without
+from .common import crc_mod, keep_rows, keyed, pieces, table
 
 UNKNOWN = "und"
 #: The bound of the training sample: documents per language, bytes of each, and of a
@@ -256,7 +256,8 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE) -> list[tuple[bytes, str]]:
     usable = usable.withColumn("h", F.xxhash64("doc_id", "text"))
     counts = usable.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("h").alias("n"))
     share = F.least(F.lit(1.0), 2.0 * per_lang / F.col("n"))
-    low = usable.select("doc_id", "lang", "h").join(counts, F.col("lang") == F.col("of")).where(F.col("h").cast("double") <= share * 2.0 ** 64 - 2.0 ** 63)
+    low = usable.select("doc_id", "lang", "h").join(F.broadcast(counts), F.col("lang") == F.col("of"))  # counts: a row for each language
+    low = low.where(F.col("h").cast("double") <= share * 2.0 ** 64 - 2.0 ** 63)
     n = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = low.select("doc_id", "lang", "h").distinct().withColumn("n", n).where(F.col("n") <= per_lang)
 
@@ -271,21 +272,22 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE) -> list[tuple[bytes, str]]:
     return [(bytes(r[3]), r[1]) for r in sorted(got.collect())]
 
 
+def judged(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Each text's language and its probability; ``und`` and 0 without a letter."""
+    known = [bool(net.langs) and bool(t) and bool(_LETTER.search(t)) for t in texts]
+    p = probabilities(net, [t.encode() if k else b"" for t, k in zip(texts, known)]) if net.langs else np.zeros((len(texts), 1))
+    best = p.argmax(axis=1)
+    score = np.clip(p[np.arange(len(best)), best], 0, 1)
+    return [net.langs[b] if k else UNKNOWN for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(score, known)]
+
+
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``."""
-    def fn(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("text").to_pylist()
-        known = [bool(net.langs) and bool(t) and bool(_LETTER.search(t)) for t in texts]
-        p = probabilities(net, [t.encode() if k else b"" for t, k in zip(texts, known)]) if net.langs else np.zeros((len(texts), 1))
-        best = p.argmax(axis=1)
-        score = np.clip(p[np.arange(len(best)), best], 0, 1)
-        return {"doc_id": batch.column("doc_id"), "lang_pred": pa.array([net.langs[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
-                "score": pa.array([float(s) if k else 0.0 for s, k in zip(score, known)], pa.float64())}
-
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", SLICE_BYTES):
-                yield pa.RecordBatch.from_pydict(fn(part))
+                lang, score = judged(net, part.column("text").to_pylist())
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
     return keyed(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -304,5 +306,10 @@ def op3_langid(spark, sf_dir) -> DataFrame:
 def langid_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language: ``und``, or no language reaches a mean
     probability of ``MIN_SCORE``."""
-    bad = identify(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < MIN_SCORE))
-    return without(docs, bad)
+    net = train(sample(docs))
+
+    def known(texts: list[str | None]) -> np.ndarray:
+        lang, score = judged(net, texts)
+        return np.array([x != UNKNOWN and s >= MIN_SCORE for x, s in zip(lang, score)], bool)
+
+    return keep_rows(docs, known, SLICE_BYTES)

@@ -53,13 +53,14 @@ def simhash(data: bytes | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's bit pattern as a long."""
+    """(doc_id, digest, fp) with the fingerprint's bit pattern as a long, and a digest
+    of the text, which tells rows with one id apart."""
     def fn(batch: pa.RecordBatch) -> dict:
         data = batch.column("text").cast(pa.binary()).to_pylist()
         fps = np.array([simhash(x, words) for x in data], np.uint64).view(np.int64)
-        return {"doc_id": batch.column("doc_id"), "fp": pa.array(fps)}
+        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "fp": pa.array(fps)}
 
-    return arrow_map(keyed(docs), fn, "doc_id long, fp long")
+    return arrow_map(keyed(docs).withColumn("digest", F.xxhash64("text")), fn, "doc_id long, digest long, fp long")
 
 
 def ball(values: np.ndarray, width: int, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -196,16 +197,22 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, segments: int = SEGMENTS) -
     return met.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+def grouped(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, digest, fp, root, component_id) for every row of ``docs``; a component
+    is known by its ``root``, the smallest fingerprint in it."""
     fps = stored(fingerprints(docs, words), "simhash-fps")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     roots = components(links(distinct, bits), "simhash")
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left")
     named = named.select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    place = named.join(lowest, "root").select(F.col("fp").alias("fp_"), "component_id")
-    return fps.join(place, fps["fp"] == place["fp_"]).select("doc_id", "fp", "component_id")
+    place = named.join(lowest, "root").select(F.col("fp").alias("fp_"), "root", "component_id")
+    return fps.join(place, fps["fp"] == place["fp_"]).select("doc_id", "digest", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    return grouped(docs, words, bits).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):
@@ -220,9 +227,12 @@ def op7_simhash(spark, sf_dir) -> DataFrame:
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group the document with the smallest id (one row of it if
-    rows repeat); rows with a null id are kept."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    held = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    """Keep of each group the document with the smallest id (one row of it if rows
+    repeat; of several texts with that id one).  Texts that share an id are told
+    apart, so each group keeps its own.  Rows with a null id are kept."""
+    found = grouped(docs).where(F.col("doc_id").isNotNull())
+    keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select(F.col("k.doc_id").alias("__keep"), F.col("k.digest").alias("__of"))
+    known = docs.withColumn("__digest", F.xxhash64(F.col("text").cast("string")))
+    held = known.join(keep, (F.col("doc_id") == F.col("__keep")) & (F.col("__digest") == F.col("__of")), "left_semi")
+    held = held.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
     return held.unionByName(docs.where(F.col("doc_id").isNull()))
