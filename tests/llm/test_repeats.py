@@ -79,6 +79,28 @@ def test_query_equals_brute_force(spark, sf_small):
     assert got == want
 
 
+def test_query_equals_brute_force_on_a_larger_table(spark):
+    """Strings by 128-bit digest, as a table of them whole would fill the memory."""
+    import xxhash
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    digest, length = xxhash.xxh3_128_digest, m.LENGTH
+    strings = [[digest(d[i:i + length]) for i in range(len(d) - length + 1)] for _, d in docs]
+    n = Counter(x for xs in strings for x in xs)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in m.op8_repeats(spark, sf).collect()}
+    lost = 0
+    for (doc, d), xs in zip(docs, strings):
+        edge = np.zeros(len(d) + 1, np.int64)
+        at = np.array([i for i, x in enumerate(xs) if n[x] > 1], np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+        on = np.cumsum(edge[:-1]) > 0
+        runs = int((np.diff(np.r_[0, on.astype(int)]) == 1).sum())
+        assert got[doc] == (len(d), int(on.sum()), runs, hashlib.sha256(np.frombuffer(d, np.uint8)[~on].tobytes()).hexdigest())
+        lost += bool(len(at))
+    assert len(got) == len(docs) and lost > 100
+
+
 def test_hard_rows(spark, make_docs, hard):
     rows = m.repeated(make_docs(hard, clashes=True), 200).collect()
     assert len(rows) == len(hard)
