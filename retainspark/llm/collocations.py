@@ -4,7 +4,7 @@ Texts are read as bytes.  A prefix polynomial over a slice's bytes gives every w
 hash by one difference, and one over the words gives every n-gram's fingerprint, all in
 numpy.  The shuffle adds up fingerprints, never phrases: each row is a fingerprint with
 its count, the least and the greatest of a second hash (modulo a prime) and a pointer,
-the digest of a document that holds it.  Orders are counted one after another, as a
+some bits of the digest of a document that holds it (all that share them are read).  Orders are counted one after another, as a
 frequent phrase has frequent parts only: words first, then pairs of frequent words, then
 what consists of frequent pairs.  "Frequent" is sent as a table of bits by fingerprint of
 at most ``MOST_BITS``; too full a table lets more through and changes no result.
@@ -38,6 +38,8 @@ from .common import pieces, stored, table
 LONGEST, LEAST_COUNT, TOP = 4, 30, 2000
 SCALE, INSIDE = 2_000_000, 80
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+#: The bits of a document's digest that its pointers have.
+POINTER = np.uint64(0x7FFFFFFF)
 #: Bytes of text whose polynomials are held at once.
 SLICE_BYTES = 1 << 19
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
@@ -164,7 +166,7 @@ class Bits:
         count, size = df.count(), LEAST_BITS
         while size < min(16 * count, MOST_BITS):
             size *= 2
-        x = F.col(column).bitwiseAND(F.lit(size - 1))
+        x = F.col(column).cast("long").bitwiseAND(F.lit(size - 1))
         words = df.select(F.shiftright(x, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         table = np.zeros(size // 64, np.int64)
         table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
@@ -176,14 +178,14 @@ class Bits:
 
 
 def _slices(part: pa.RecordBatch, width: int, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[Slice, np.ndarray]]:
-    """The texts of a batch with the digests of their documents, in slices;
+    """The texts of a batch with the pointers to their documents, in slices;
     ``wanted`` says which digests to read (all if not given)."""
     langs = part.column("lang").to_pylist()
     text = part.column("text").cast(pa.binary())
     at = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
     at -= at[0]
-    digest = np.array([xxhash.xxh3_64_intdigest(data[a:b], zlib.crc32(x.encode())) for a, b, x in zip(at[:-1].tolist(), at[1:].tolist(), langs)], np.uint64).view(np.int64)
+    digest = np.array([xxhash.xxh3_64_intdigest(data[a:b], zlib.crc32(x.encode())) for a, b, x in zip(at[:-1].tolist(), at[1:].tolist(), langs)], np.uint64)
     if wanted is not None:
         read = wanted(digest)
         if not read.all():
@@ -193,6 +195,7 @@ def _slices(part: pa.RecordBatch, width: int, wanted: Callable[[np.ndarray], np.
             data = np.concatenate([data[at[k]:at[k + 1]] for k in kept])
             at = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.diff(at)[kept])])
             langs, digest = [langs[k] for k in kept], digest[kept]
+    digest = (digest & POINTER).astype(np.int64)
     if len(langs) > 1 or len(data) <= 2 * SLICE_BYTES:
         yield Slice(data, at, langs, width), digest
         return
@@ -212,7 +215,7 @@ def _reduced(order: int, fp, two, n, doc) -> dict:
     of = (lambda f, x: f.reduceat(x[by], first) if len(first) else x[:0])
     n = np.diff(np.r_[first, len(fp)]) if n is None else of(np.add, n)
     return {"order": pa.array(np.full(len(first), order, np.int8)), "fp": pa.array(fp[first]), "n": pa.array(n.astype(np.int64)), "low": pa.array(of(np.minimum, two)),
-            "high": pa.array(of(np.maximum, two)), "doc": pa.array(of(np.minimum, doc))}
+            "high": pa.array(of(np.maximum, two)), "doc": pa.array(of(np.minimum, doc).astype(np.int32))}
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -251,7 +254,7 @@ def counted(docs: DataFrame, orders: list[int], words: Bits | None = None, pairs
                             out = _reduced(0, *s.empty(), digest)
                         yield pa.RecordBatch.from_pydict(out)
 
-    rows = _read(docs).mapInArrow(run, "order byte, fp long, n long, low int, high int, doc long")
+    rows = _read(docs).mapInArrow(run, "order byte, fp long, n long, low int, high int, doc int")
     rows = rows.groupBy("order", "fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("doc").alias("doc"))
     return stored(rows.where((F.col("n") >= LEAST_COUNT) | (F.col("order") == 0)), "collocations-counts")
 
@@ -269,7 +272,7 @@ def _written(docs: DataFrame, found: DataFrame, pointed: bool, width: int) -> Da
     """(order, fp, two, doc, lang, phrase, n): the phrases of fingerprints in ``found``
     (and maybe of others) by slice; ``pointed``: only where the pointers point, each
     text once a task."""
-    places = found.withColumn("place", F.col("fp").bitwiseXOR(F.col("doc")) if pointed else F.col("fp"))
+    places = found.withColumn("place", F.col("fp").bitwiseXOR(F.col("doc").cast("long")) if pointed else F.col("fp"))
     sent = docs.sparkSession.sparkContext.broadcast((Bits.of(places, "place"), Bits.of(found, "doc") if pointed else None))
 
     def run(batches):
@@ -277,7 +280,7 @@ def _written(docs: DataFrame, found: DataFrame, pointed: bool, width: int) -> Da
         seen: set[int] = set()
 
         def wanted(digest: np.ndarray) -> np.ndarray:
-            read = pointers.have(digest)
+            read = pointers.have((digest & POINTER).astype(np.int64))
             for k in np.flatnonzero(read).tolist():
                 read[k] = int(digest[k]) not in seen
                 if len(seen) < 1_000_000:  # later ones may be read twice
@@ -301,10 +304,10 @@ def _written(docs: DataFrame, found: DataFrame, pointed: bool, width: int) -> Da
                             at, fp, two, doc = at[first], fp[first], two[first], doc[first]
                         rows += [(order, f, t, d, s.langs[k], s.said(order, a), 1) for f, t, d, k, a in zip(fp, two, doc, s.text[at].tolist(), at.tolist())]
                     names = ["order", "fp", "two", "doc", "lang", "phrase", "n"]
-                    types = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                    types = [pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    return _read(docs).mapInArrow(run, "order byte, fp long, two int, doc long, lang string, phrase string, n long")
+    return _read(docs).mapInArrow(run, "order byte, fp long, two int, doc int, lang string, phrase string, n long")
 
 
 def phrases(docs: DataFrame, width: int = 64) -> DataFrame:
