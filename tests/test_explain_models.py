@@ -3,6 +3,8 @@ stream = batch (Z1), file sources/sinks (S1-S9)."""
 
 import os
 import tempfile
+from functools import reduce
+from operator import add
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,6 +261,16 @@ def test_a_stopped_comparison_goes_on(spark, splits, monkeypatch):
     assert made == []
 
 
+def test_mean_of_folds_does_not_depend_on_the_order_of_rows(spark):
+    """As read from a training table: a row a file, in whatever order."""
+    aucs = [0.73, 0.68, 0.69, 0.6, 0.54, None]
+    orders = [[0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [3, 1, 4, 0, 2], [2, 0, 1, 4, 3]]
+    added = [reduce(add, (aucs[k] for k in o)) for o in orders]  # sum() would make up for lost digits
+    assert len(set(added)) > 1
+    rows = [spark.createDataFrame([("m", k, aucs[k]) for k in [*o, 5]], "model string, fold int, auc double").coalesce(1) for o in orders]
+    assert {tr.mean_auc(r).first()["cv"] for r in rows} == {added[0] / 5}
+
+
 def test_training_key_follows_data_and_sizes(splits):
     key = tr.training_key(splits, 1, 2)
     assert key == tr.training_key(splits.repartition(5), 1, 2) != tr.training_key(splits, 1, 3)
