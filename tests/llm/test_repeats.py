@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -105,3 +106,23 @@ def test_hard_rows(spark, make_docs, hard):
     rows = m.repeated(make_docs(hard, clashes=True), 200).collect()
     assert len(rows) == len(hard)
     assert all(r.n_removed == r.n_bytes > 200 for r in rows if r.doc_id in (4, 7)) and m.repeated(make_docs([])).collect() == []
+
+
+def test_a_common_surrounding_is_split_over_tasks(spark, make_docs, prose):
+    """A passage that many texts hold with the same bytes around it, and a few cut off: its triggers don't meet in one task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    common = prose(1, 60)
+    texts = [f"{prose(i, 12)} {common} {prose(i + 1000, 12)}" for i in range(2, 600)] + [f"{prose(i, 12)} {common[k:]}" for i, k in ((700, 90), (701, 110), (702, 130))]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = m.repeated(make_docs(list(enumerate(texts))), 60)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == dict(enumerate(brute(texts, 60)))
+    assert re.search(r"SortMergeJoin\(skew=true\)[^\n]*LeftSemi", plan)
