@@ -17,7 +17,9 @@ step, which takes as many joins as the logarithm of the longest chain, itself at
 the logarithm of the largest count.
 
 Words are counted in Arrow batches (bounded tables, summed by a shuffle); all that
-follows are DataFrame operations.
+follows are DataFrame operations.  Both sides of every join grow with the words, so
+all are merge joins by hint: Spark sizes a stored table by its compressed files and an
+explode by its input, and would broadcast the chunks of hundreds of thousands of words.
 
 Defined results: null and empty texts have no words; a null id counts as empty in the
 digest that alters a run; repeated rows are counted each; an empty table gives an
@@ -114,7 +116,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     same, longer = _keys(F.col("word"), length, 0), _keys(F.col("word"), length - 1, 1)
     grams = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(F.concat(same, longer)).alias("g"))
     grams = grams.select("b", "b_n", F.col("g.which").alias("w"), F.col("g.chunked").alias("s"), F.col("g.gram").alias("g")).where(F.col("s") >= LEAST_CHARS)
-    met = chunked.join(grams, (F.col("gram") == F.col("g")) & (F.col("size") == F.col("s")) & (F.col("which") == F.col("w"))
+    met = chunked.hint("merge").join(grams.hint("merge"), (F.col("gram") == F.col("g")) & (F.col("size") == F.col("s")) & (F.col("which") == F.col("w"))
                        & ((F.char_length("b") > F.col("size")) | (F.col("a") < F.col("b"))))
     met = met.where(F.levenshtein("a", "b", 1) == 1)
     # the first key that both words share; they may share several
@@ -133,7 +135,7 @@ def forms(words: DataFrame) -> DataFrame:
     pairs = near_pairs(words)
     both = pairs.unionAll(pairs.select("near", "near_n", "word", "n"))
     best = both.groupBy(F.col("word").alias("w")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
-    out = words.join(best, F.col("word") == F.col("w"), "left")
+    out = words.hint("merge").join(best.hint("merge"), F.col("word") == F.col("w"), "left")
     enough = -F.col("best.less") >= RATIO * F.col("n")
     return out.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.form")).alias("form"),
                       F.when(enough, -F.col("best.less")).alias("form_n"))
@@ -144,12 +146,12 @@ def rooted(formed: DataFrame) -> DataFrame:
     step = stored(formed.where("form is not null").select(F.col("word").alias("from"), F.col("form").alias("to")), "spelling-steps")
     while True:
         ahead = step.select(F.col("from").alias("at"), F.col("to").alias("then"))
-        step = stored(step.join(ahead, F.col("to") == F.col("at"), "left").select("from", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")), "spelling-steps")
+        step = stored(step.hint("merge").join(ahead.hint("merge"), F.col("to") == F.col("at"), "left").select("from", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")), "spelling-steps")
         moved = step.agg(F.max("moved")).first()[0]
         step = step.drop("moved")
         if not moved:
             break
-    return formed.join(step, F.col("word") == F.col("from"), "left").select(
+    return formed.hint("merge").join(step.hint("merge"), F.col("word") == F.col("from"), "left").select(
         "word", "form", F.coalesce("to", "word").alias("root"), "n", "n_near", "form_n")
 
 

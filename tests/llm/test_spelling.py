@@ -82,6 +82,16 @@ def test_chains_longer_than_a_doubling(spark):
     assert {r.root for r in s.rooted(formed).collect()} == {names[-1]}
 
 
+def test_no_join_is_a_broadcast(spark, make_docs):
+    """However small Spark takes a side to be: it sizes an explode by its input."""
+    words = spark.createDataFrame([(w, n) for n, w in enumerate(["colour", "colours", "color", "center", "centre"], 3)], "word string, n long")
+    formed = s.stored(s.forms(words), "test-forms")
+    for df in (s.near_pairs(words), s.forms(words), s.rooted(formed), s.variants(make_docs(corpus()))):
+        assert df.count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.sets(st.text("ab", min_size=5, max_size=8), min_size=2, max_size=40))
 def test_pairs_are_found_once(spark, words):
